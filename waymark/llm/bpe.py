@@ -93,7 +93,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encoded's columns plus decoded (binary): the joined bytes of ids; null ids decode to nothing."""
+    """encoded's columns plus decoded (binary): the joined bytes of ids; null ids decode to nothing.
+    An id outside the ranks raises IndexError."""
 
     @F.pandas_udf("binary")
     def decode(ids: pd.Series) -> pd.Series:

@@ -282,8 +282,9 @@ def cut(text: str, mark: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") -> DataFrame:
-    """docs with every repeated passage cut from its text; texts without one, and other columns, are unchanged."""
+def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with every repeated passage cut from its text; texts without one, and other columns, are unchanged,
+    but that length_col, if named, gets the number of characters of each text that was cut."""
     index = build_index(_numbered(docs, text_col), window)
 
     @F.pandas_udf("string")
@@ -292,4 +293,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text") ->
         marks = (m for _, m in _marks(whole, window, index))
         return pd.Series([t if t is None or not m.any() else cut(t, m) for t, m in zip(whole, marks, strict=True)], dtype=object)
 
-    return docs.withColumn(text_col, left(F.col(text_col)))
+    whole = docs.columns
+    new = docs.withColumn("_left", left(F.col(text_col)))
+    if length_col:
+        same = F.col("_left").eqNullSafe(F.col(text_col))
+        kind = docs.schema[length_col].dataType
+        new = new.withColumn(length_col, F.when(same, F.col(length_col)).otherwise(F.length("_left").cast(kind)))
+    return new.withColumn(text_col, F.col("_left")).select(*whole)
