@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ def local_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     no Python process takes part, unlike with createDataFrame."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = [f.name for f in kind]
-    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    text = json.dumps([r.asDict(recursive=True) if isinstance(r, Row) else dict(zip(names, r, strict=True)) for r in rows])
     one = spark.range(0, 1, 1, 1).select(F.from_json(F.lit(text), T.ArrayType(kind)).alias("rows"))
     return one.select(F.inline("rows"))
 
