@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -101,5 +100,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+#: a row's number, under a name that tables won't have
+ROW = "__waymark_row"
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Column names for select(), whatever characters they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]

@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import ROW, materialize, quoted
 
 #: sketch rows up to which the search broadcasts them (two longs and an int each: under 64 MB)
 BROADCAST_ROWS = 1_000_000
@@ -92,9 +92,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, similarity: float
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, that contain no test item."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    bad = contained_items(numbered.select("_row", "doc_id", "text"), items, k, similarity).select("_row").distinct()
-    return numbered.join(materialize(bad), "_row", "left_anti").select(*docs.columns)
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    slim = numbered.select(F.col(ROW).alias("_row"), "doc_id", "text")
+    bad = contained_items(slim, items, k, similarity).select(F.col("_row").alias(ROW)).distinct()
+    return numbered.join(materialize(bad), ROW, "left_anti").select(*quoted(docs.columns))
 
 
 #: The pairs of find_leaks in DuckDB SQL.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialize, words
+from .common import ROW, connected_components, materialize, quoted, words
 
 SEED = 42
 CHUNK = 1 << 16
@@ -211,8 +211,8 @@ def near_dedup(docs: DataFrame, k: int = 5, radius: int = 10, similarity: float
     shards' spanning forests. Equal texts are one node. Texts without words are linked to equal ones only.
     docs must come from a file or table, as its rows are numbered in two scans.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    slim = numbered.select("_row", F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    slim = numbered.select(F.col(ROW).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     slim = slim.withColumn("_node", F.xxhash64("_text"))
     fps = materialize(fingerprints(slim, k, "_text", ["_row", "_id", "_node"]))
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"))
@@ -235,5 +235,5 @@ def near_dedup(docs: DataFrame, k: int = 5, radius: int = 10, similarity: float
     pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     comp = connected_components(pairs.where(alike("ta", "tb")).select("a", "b"))
     groups = materialize(items.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    kept = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return numbered.join(materialize(kept), "_row", "left_semi").select(*docs.columns)
+    kept = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(ROW))
+    return numbered.join(materialize(kept), ROW, "left_semi").select(*quoted(docs.columns))

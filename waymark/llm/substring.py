@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, words
+from .common import ROW, new_folder, quoted, words
 from .hashindex import HashIndex, bucket_of, pack, unpack, write_bucket
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -293,10 +293,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", le
         marks = (m for _, m in _marks(whole, window, index))
         return pd.Series([t if t is None or not m.any() else cut(t, m) for t, m in zip(whole, marks, strict=True)], dtype=object)
 
-    whole = docs.columns
-    new = docs.withColumn("_left", left(F.col(text_col)))
+    new = docs.withColumn(ROW, left(F.col(text_col)))  # the cut text, until it takes the text's place
     if length_col:
-        same = F.col("_left").eqNullSafe(F.col(text_col))
-        kind = docs.schema[length_col].dataType
-        new = new.withColumn(length_col, F.when(same, F.col(length_col)).otherwise(F.length("_left").cast(kind)))
-    return new.withColumn(text_col, F.col("_left")).select(*whole)
+        same, kind = F.col(ROW).eqNullSafe(F.col(text_col)), docs.schema[length_col].dataType
+        new = new.withColumn(length_col, F.when(same, F.col(length_col)).otherwise(F.length(ROW).cast(kind)))
+    return new.withColumn(text_col, F.col(ROW)).select(*quoted(docs.columns))
