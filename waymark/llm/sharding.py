@@ -2,18 +2,24 @@
 
 Documents with equal texts are linked (a star for each text). Every row starts in a shard chosen by the rank of a hash of
 its text and id, so counts differ by one at most. In each round a text's rows look to the shard that holds most of them;
-the rows that want to move are counted for each pair of shards, and moves are granted under quotas: as many as the
-shard they go to has unlinked rows to give up (or rows that want to leave), the unlinked ones then filling
-the shards that lost rows. Counts so stay as they were. Rounds end when nothing is granted.
+the rows that want to move are counted for each pair of shards, and moves are granted under quotas: what can go
+round in cycles of shards, and of the rest as many as the shard they go to has unlinked rows to give up, these then
+filling the shards that lost rows. Counts so stay as they were. A text that fills a whole shard looks to the next one for
+its other rows. Rounds end when nothing is wanted, or nothing granted twice.
 
 All work is on slim rows (ids, hashes, sizes); the text is read once. The driver sees counts of shard pairs only.
 
+Where no rows are unlinked, moves that don't go round stay ungranted and more links are cut.
+
 Defined results: null and empty texts are equal and have size 1; doc_id may be null or repeated (rows stay rows); other
 columns are not read; an empty table gives an empty result; fewer rows than shards leave shards empty.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import pairwise
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,18 +41,45 @@ def gapless_rank(df: DataFrame, group: str, order: list[Column], name: str) -> D
     return ranked.join(F.broadcast(base), [group, "_task"]).withColumn(name, F.col("_r") + F.col("_base")).drop("_task", "_r", "_base")
 
 
+def _circulation(want: np.ndarray) -> np.ndarray:
+    """Moves that leave every shard's count as it is: along cycles of wanted moves, short ones first."""
+    left, grant, n = want.copy(), np.zeros_like(want), len(want)
+    for length in range(2, n + 1):
+        for first in range(n):
+            while True:
+                # the shortest way from first back to itself over wanted moves
+                ways, seen, path = [[first]], {first}, None
+                while ways and path is None:
+                    way = ways.pop(0)
+                    for j in np.flatnonzero(left[way[-1]]).tolist():
+                        if j == first:
+                            path = [*way, first]
+                            break
+                        if j not in seen and len(way) < length:
+                            seen.add(j)
+                            ways.append([*way, j])
+                if path is None:
+                    break
+                steps = list(pairwise(path))
+                k = min(left[s] for s in steps)
+                for s in steps:
+                    left[s] -= k
+                    grant[s] += k
+    return grant
+
+
 def _grants(want: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """How many moves each pair of shards is granted: the net inflow of a shard is at most its unlinked rows."""
-    grant = want.copy()
+    """How many moves each pair of shards is granted: what can circulate, and of the rest what unlinked rows make room for."""
+    fixed = _circulation(want)
+    more = want - fixed
     while True:
-        net = grant.sum(axis=0) - grant.sum(axis=1)
-        over = net - free
+        over = more.sum(axis=0) - more.sum(axis=1) - free
         j = int(over.argmax())
         if over[j] <= 0:
-            return grant
-        for i in np.argsort(grant[:, j]):
-            cut = min(int(grant[i, j]), int(over[j]))
-            grant[i, j] -= cut
+            return fixed + more
+        for i in np.argsort(more[:, j]):
+            cut = min(int(more[i, j]), int(over[j]))
+            more[i, j] -= cut
             over[j] -= cut
 
 
@@ -54,13 +87,19 @@ def label_propagation(rows: DataFrame, shards: int, max_rounds: int = 8) -> Data
     """rows (id long unique, key: what links rows, spread: a hash) with shard int; counts differ by one at most."""
     at = gapless_rank(rows.withColumn("_all", F.lit(0)), "_all", [F.col("spread"), F.col("id")], "_rank").drop("_all")
     at = materialize(at.withColumn("shard", (F.col("_rank") % shards).cast("int")).drop("_rank"))
-    for _ in range(max_rounds):
-        held = at.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n"))
-        top = held.groupBy("key").agg(F.max(F.struct("n", -F.col("shard"))).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("in"))
-        goal = materialize(top.select("key", (-F.col("m.col2")).cast("int").alias("goal"), F.col("m.n").alias("best"), "all", "in"))
+    idle = 0
+    for turn in range(max_rounds):
+        # ties between shards are drawn anew in each round, or all would want the same shards
+        held = materialize(at.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n")))
+        # a shard that one text fills is settled for it: its other rows look to the next (one pair a shard at most)
+        total = held.groupBy("shard").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+        full = held.join(F.broadcast(total.where("texts = 1").select("shard", "n")), ["shard", "n"]).select("key", "shard").collect()
+        settled = reduce(lambda a, b: a | b, ((F.col("key") == r["key"]) & (F.col("shard") == r.shard) for r in full), F.lit(False))
+        top = held.where(~settled).groupBy("key").agg(F.max(F.struct("n", F.xxhash64("key", "shard", F.lit(turn)).alias("draw"), "shard")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("in"))
+        goal = materialize(top.select("key", F.col("m.shard").alias("goal"), F.col("m.n").alias("best"), "all", "in"))
         cut = goal.where("`in` > 1").select("key", "goal")
-        single = goal.where("all = 1").select("key")
-        moving = materialize(at.join(cut, "key").where("shard <> goal").select("id", "shard", "goal"))
+        single = goal.where("`all` = 1").select("key")
+        moving = materialize(at.join(cut, "key").where((F.col("shard") != F.col("goal")) & ~settled).select("id", "shard", "goal"))
         free_rows = materialize(at.join(single, "key", "left_semi").select("id", "shard"))
         want, free = np.zeros((shards, shards), np.int64), np.zeros(shards, np.int64)
         for r in moving.groupBy("shard", "goal").count().collect():
@@ -68,8 +107,11 @@ def label_propagation(rows: DataFrame, shards: int, max_rounds: int = 8) -> Data
         for r in free_rows.groupBy("shard").count().collect():
             free[r.shard] = r["count"]
         grant = _grants(want, free)
-        if not grant.sum():
+        idle = 0 if grant.sum() else idle + 1
+        if not want.sum() or idle > 1:
             break
+        if idle:
+            continue
         pair = (F.col("shard") * shards + F.col("goal")).cast("int")
         quota = F.element_at(F.array(*(F.lit(int(x)) for x in grant.ravel())), F.col("pair") + 1)
         go = gapless_rank(moving.withColumn("pair", pair), "pair", [F.xxhash64("id"), F.col("id")], "_k")
