@@ -100,6 +100,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+#: rows up to which broadcast_if_small broadcasts: narrow rows, so some tens of MB
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcasting if its count allows; else it is joined by shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 #: a row's number, under a name that tables won't have
 ROW = "__waymark_row"
 

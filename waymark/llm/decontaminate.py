@@ -22,10 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, quoted
-
-#: sketch rows up to which the search broadcasts them (two longs and an int each: under 64 MB)
-BROADCAST_ROWS = 1_000_000
+from .common import ROW, broadcast_if_small, materialize, quoted
 
 
 def _words(text: Column) -> Column:
@@ -71,11 +68,10 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, similarity: f
     tests = items.where("text is not null").select("item_id", "text").distinct()
     tests = materialize(tests.withColumn("item", F.monotonically_increasing_id()))
     wanted = materialize(sketches(tests.select("item", "text"), k, similarity))
-    small = wanted.count() <= BROADCAST_ROWS
     # explode_outer: explode would add a filter on h that the optimizer pushes down by copying the hashing into it
     hashes = with_hashes(docs.select("_row", "text"), k).select("_row", F.explode_outer("h").alias("h"))
-    pairs = materialize(hashes.join(F.broadcast(wanted) if small else wanted, "h").select("_row", "item").distinct())
-    rows = pairs.select("_row").distinct()
+    pairs = materialize(hashes.join(broadcast_if_small(wanted), "h").select("_row", "item").distinct())
+    rows = broadcast_if_small(materialize(pairs.select("_row").distinct()))
     texts = with_strings(docs.select("_row", "doc_id", "text").join(rows, "_row", "left_semi"), k).drop("text")
     strings = with_strings(tests, k).drop("text").withColumnRenamed("s", "t")
     both = texts.join(pairs, "_row").join(strings, "item")
@@ -95,7 +91,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, similarity: flo
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     slim = numbered.select(F.col(ROW).alias("_row"), "doc_id", "text")
     bad = contained_items(slim, items, k, similarity).select(F.col("_row").alias(ROW)).distinct()
-    return numbered.join(materialize(bad), ROW, "left_anti").select(*quoted(docs.columns))
+    return numbered.join(broadcast_if_small(materialize(bad)), ROW, "left_anti").select(*quoted(docs.columns))
 
 
 #: The pairs of find_leaks in DuckDB SQL.
