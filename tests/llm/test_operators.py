@@ -102,8 +102,7 @@ def test_vantage_points_find_every_pair(spark, radius):
         groups[find(i)].append(int(f.view(np.int64)[i]))
     want = {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
     assert got == want
-    tree = simhash.VPTree(f, 1, radius, 64, 100)
-    assert len(tree.blocks) > 1 or radius > 2
+    assert len(simhash.VPTree(f, 1, radius, 64).rows) > 1 or radius > 2
 
 
 def shingle_set(t, k=5):
@@ -383,12 +382,24 @@ def test_token_files(spark, docs, odd, empty):
     assert pfor.token_digest(empty, WORDS).count() == 0
 
 
+def test_pieces_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    t, e, rng = Tokenizer.from_file(WORDS), pfor.WordEncoder(WORDS), np.random.default_rng(5)
+    assert e.by_pieces
+    some = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA0, 0x250), 0x301, 0x3A3, 0x2014, 0x65E5, 0x1F600, 28, 0x85, 0x2028]]
+    some += ["'s", "'LL", "'T ", "  ", "a", "B", "é", "7", "<|endoftext|>", "J\u030c"] * 8
+    for _ in range(1500):
+        x = "".join(rng.choice(some, 40))
+        assert e.encode([x], 1)[0].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
+
+
 def test_other_tokenizer_files(spark, odd):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     t, e = Tokenizer.from_file(path), pfor.WordEncoder(path)
-    assert not e.by_runs
+    assert not e.by_pieces
     ids, n = e.encode(["a  b", None], 7)
     assert ids.tolist() == [*t.encode("a  b", add_special_tokens=False).ids, 7, 7] and n.tolist() == [len(ids) - 1, 1]
 

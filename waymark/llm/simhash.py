@@ -5,7 +5,7 @@ driver from a small hash-chosen share of the distinct fingerprints, cuts Hamming
 vantage point p and radius m, fingerprints with d(p, x) <= m go inside, the others outside, and by the triangle
 inequality an outside one can only have a partner inside if d(p, x) <= m + r; those are sent to both sides.
 So each pair within r meets in some shard, where it is found by exact comparison. A shard that stays large (a dense
-group, or a radius that prunes little) is dealt out as pairs of blocks. A shard returns a spanning forest of its
+group, or a radius at which bounds prune too little to split it) is dealt out as pairs of blocks. A shard returns a spanning forest of its
 links, not all pairs; components are then found over all shards.
 
 Defined results: null and empty texts have fingerprint 0, linked like any other; fewer words than a shingle give one
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROW, connected_components, materialize, quoted, words
+from .common import ROW, broadcast_if_small, connected_components, materialize, quoted, words
 
 SEED = 42
 CHUNK = 1 << 16
@@ -68,11 +68,14 @@ def fingerprints(docs: DataFrame, k: int, text_col: str = "text", keep: list[str
 
 
 class VPTree:
-    """Nodes (vantage point, radius, inside, outside); leaves are shard numbers, with how many blocks each has."""
+    """Nodes (vantage point, radius, inside, outside); leaves are shard numbers, with about how many rows each gets.
 
-    def __init__(self, sample: np.ndarray, share: float, radius: int, leaf_rows: int, block_rows: int):
-        self.r, self.point, self.mu, self.inside, self.outside, self.blocks = radius, [], [], [], [], []
-        self._share, self._leaf, self._block = share, leaf_rows, block_rows
+    sample stands for `share` times as many rows. A node is split as long as it has over leaf_rows rows and bounds prune
+    enough for its two sides to hold 1.4 times its rows at most."""
+
+    def __init__(self, sample: np.ndarray, share: float, radius: int, leaf_rows: int):
+        self.r, self.point, self.mu, self.inside, self.outside, self.rows = radius, [], [], [], [], []
+        self._share, self._leaf = share, leaf_rows
         self.root = self._grow(np.unique(sample))
 
     def _grow(self, x: np.ndarray) -> int:
@@ -83,11 +86,11 @@ class VPTree:
                 d = np.bitwise_count(x ^ p)
                 for mu in np.unique(np.percentile(d, (35, 50, 65)).astype(int)):
                     near, far = int((d <= mu + self.r).sum()), int((d > mu).sum())
-                    if 0 < (d <= mu).sum() < len(x) and (best is None or near**2 + far**2 < best[0]):
+                    if 0 < (d <= mu).sum() < len(x) and near + far <= 1.4 * len(x) and (best is None or near**2 + far**2 < best[0]):
                         best = (near**2 + far**2, p, int(mu), d)
         if best is None or best[0] > 0.9 * len(x) ** 2:
-            self.blocks.append(max(1, int(np.ceil(rows / self._block))))
-            return -len(self.blocks)
+            self.rows.append(rows)
+            return -len(self.rows)
         _, p, mu, d = best
         at = len(self.point)
         self.point.append(p), self.mu.append(mu), self.inside.append(0), self.outside.append(0)
@@ -110,41 +113,56 @@ class VPTree:
             todo.append((self.outside[node], rows[d > self.mu[node]]))
 
 
-def _forest(f: np.ndarray, size: np.ndarray, side: np.ndarray | None, radius: int, ratio: float | None) -> list:
-    """A spanning forest (i, j) of the links among f; with side, of those between side 0 and side 1 only."""
+class _Joined:
+    """Which of n things are joined so far, as labels."""
+
+    def __init__(self, n: int):
+        self.label, self.members = np.arange(n), {}
+
+    def join(self, a: int, b: int) -> bool:
+        """Join the sets of a and b; False if they were one."""
+        la, lb = self.label[a], self.label[b]
+        if la == lb:
+            return False
+        ma, mb = self.members.pop(la, [la]), self.members.pop(lb, [lb])
+        if len(ma) < len(mb):
+            la, ma, mb = lb, mb, ma
+        self.label[mb] = la
+        ma.extend(mb)
+        self.members[la] = ma
+        return True
+
+
+def _forest(f: np.ndarray, size: np.ndarray, side: np.ndarray | None, radius: int, ratio: float | None, forests: int = 1) -> list:
+    """Links (i, j) among f that make up this many spanning forests, each of links the ones before don't hold; with
+    side, of the links between side 0 and side 1 only."""
     n = len(f)
-    label, members, out = np.arange(n), {}, []
+    joined, out = [_Joined(n) for _ in range(forests)], []
     step = max(1, (1 << 21) // max(1, n))
     for at in range(0, n, step):
         d = np.bitwise_count(f[at : at + step, None] ^ f[None, at:])
         i, j = np.nonzero(d <= radius)
         keep = j > i
         dist, i, j = d[i[keep], j[keep]], i[keep] + at, j[keep] + at
-        ok = label[i] != label[j]
+        ok = joined[-1].label[i] != joined[-1].label[j]
         if side is not None:
             ok &= side[i] != side[j]
         if ratio:
             ok &= np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
         order = np.argsort(dist[ok], kind="stable")
         for a, b in zip(i[ok][order].tolist(), j[ok][order].tolist(), strict=True):
-            la, lb = label[a], label[b]
-            if la == lb:
-                continue
-            ma, mb = members.pop(la, [la]), members.pop(lb, [lb])
-            if len(ma) < len(mb):
-                la, lb, ma, mb = lb, la, mb, ma
-            label[mb] = la
-            ma.extend(mb)
-            members[la] = ma
-            out.append((a, b))
+            if any(x.join(a, b) for x in joined):
+                out.append((a, b))
     return out
 
 
 def hamming_links(
-    items: DataFrame, radius: int, ratio: float | None = None, leaf_rows: int = 2048, block_rows: int = 32768, sample_one_in: int = 128
+    items: DataFrame, radius: int, ratio: float | None = None, leaf_rows: int = 2048, block_rows: int = 65536, sample_one_in: int = 128, forests: int = 1
 ) -> DataFrame:
     """Edges (a, b) of nodes that connect exactly what pairs within radius connect.
 
+    forests: how many spanning forests of its links a shard returns, for a caller that checks links and drops some.
+
     items: node long, fp long, size int, one row a node, from a written table. ratio: only pairs whose smaller size
     is at least ratio times the larger, found by size classes of which a pair spans two neighbours at most.
     The driver holds 1/sample_one_in of the distinct fingerprints (all, where there are fewer than 64 * sample_one_in).
@@ -154,32 +172,40 @@ def hamming_links(
     chosen = items.where(F.pmod(F.xxhash64(F.lit("vp"), "fp"), F.lit(one_in)) == 0).select("fp").distinct()
     sample = np.array([r.fp for r in chosen.collect()], np.int64).view(np.uint64)
     base = np.log(1 / ratio) if ratio else 1.0
-    tree = VPTree(sample, one_in, radius, leaf_rows, block_rows)
+    tree = VPTree(sample, one_in, radius, leaf_rows)
+    size_class = (F.floor(F.log(F.greatest("size", F.lit(1))) / base) if ratio else F.lit(0)).cast("long")
+    # classes are as many as the logarithm of the longest text
+    count = {r.c: r["count"] for r in items.groupBy(size_class.alias("c")).count().collect()}
     bc = items.sparkSession.sparkContext.broadcast(tree)
+    def blocks(c: int, shard: int) -> int:
+        """Into how many blocks the shard's rows of a class, and of the one below it, are cut."""
+        rows = (count.get(c, 0) + (count.get(c - 1, 0) if ratio else 0)) / max(1, n) * tree.rows[shard]
+        return max(1, int(np.ceil(rows / block_rows)))
+
     schema = "shard long, i int, j int, node long, fp long, size int, block int"
 
     def deal(batches):
         tree = bc.value
         for pdf in batches:
-            x, node, size = (pdf[c].to_numpy() for c in ("fp", "node", "size"))
-            cls = np.floor(np.log(np.maximum(size, 1)) / base).astype(np.int64) if ratio else np.zeros(len(x), np.int64)
+            x, node, size, cls = (pdf[c].to_numpy() for c in ("fp", "node", "size", "cls"))
+            spread = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for shard, rows in tree.route(x.view(np.uint64)):
-                k = tree.blocks[shard]
-                block = ((node[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(k)
-                block = block.astype(np.int32)
-                for more in (0, 1) if ratio else (0,):
-                    for t in range(k):
-                        i, j = np.minimum(block, t), np.maximum(block, t)
-                        yield pd.DataFrame({"shard": (cls[rows] + more) * len(tree.blocks) + shard, "i": i.astype(np.int32), "j": j.astype(np.int32), "node": node[rows], "fp": x[rows], "size": size[rows], "block": block})
+                for c in np.unique(cls[rows]).tolist():
+                    own = rows[cls[rows] == c]
+                    for to in (c, c + 1) if ratio else (c,):
+                        k = blocks(to, shard)
+                        block = (spread[own] % np.uint64(k)).astype(np.int32)
+                        for t in range(k):
+                            yield pd.DataFrame({"shard": to * len(tree.rows) + shard, "i": np.minimum(block, t).astype(np.int32), "j": np.maximum(block, t).astype(np.int32), "node": node[own], "fp": x[own], "size": size[own], "block": block})
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy()
         side = pdf["block"].to_numpy() if pdf["i"].iat[0] != pdf["j"].iat[0] else None
-        pairs = _forest(pdf["fp"].to_numpy().view(np.uint64), pdf["size"].to_numpy(), side, radius, ratio)
+        pairs = _forest(pdf["fp"].to_numpy().view(np.uint64), pdf["size"].to_numpy(), side, radius, ratio, forests)
         a, b = np.array(pairs, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
-    dealt = items.select("node", "fp", "size").mapInPandas(deal, schema)
+    dealt = items.select("node", "fp", "size", size_class.alias("cls")).mapInPandas(deal, schema)
     return dealt.groupBy("shard", "i", "j").applyInPandas(search, "a long, b long").distinct()
 
 
@@ -203,12 +229,12 @@ def _jaccard(a: set, b: set) -> float:
     return len(a & b) / max(1, len(a | b))
 
 
-def near_dedup(docs: DataFrame, k: int = 5, radius: int = 10, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, k: int = 5, radius: int = 12, similarity: float = 0.8, forests: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-copies: of each group the row with the smallest doc_id stays (nulls last), all columns kept.
 
     A group is joined by links between texts whose fingerprints over k-word shingles differ in radius bits at most
-    and whose shingle sets have a Jaccard similarity of at least similarity, checked exactly on each link of the
-    shards' spanning forests. Equal texts are one node. Texts without words are linked to equal ones only.
+    and whose shingle sets have a Jaccard similarity of at least similarity, checked exactly on the links of
+    `forests` spanning forests of each shard (a group is so found unless the check fails on every one of several ways). Equal texts are one node. Texts without words are linked to equal ones only.
     docs must come from a file or table, as its rows are numbered in two scans.
     """
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
@@ -220,9 +246,9 @@ def near_dedup(docs: DataFrame, k: int = 5, radius: int = 10, similarity: float
         F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size")
     )
     items = materialize(items)
-    links = materialize(hamming_links(items.where("size > 0"), radius, similarity))
+    links = materialize(hamming_links(items.where("size > 0"), radius, similarity, forests=forests))
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    rows = materialize(ends.join(items, "node").select("node", F.col("first.row").alias("_row")))
+    rows = broadcast_if_small(materialize(ends.join(items, "node").select("node", F.col("first.row").alias("_row"))))
     texts = slim.select("_row", "_text").join(rows, "_row").select("node", F.col("_text").alias("text"))
     texts = materialize(texts)
 
@@ -235,5 +261,7 @@ def near_dedup(docs: DataFrame, k: int = 5, radius: int = 10, similarity: float
     pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     comp = connected_components(pairs.where(alike("ta", "tb")).select("a", "b"))
     groups = materialize(items.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    kept = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(ROW))
-    return numbered.join(materialize(kept), ROW, "left_semi").select(*quoted(docs.columns))
+    kept = materialize(groups.groupBy("component").agg(F.min("first").alias("first")))
+    keep = materialize(groups.join(kept.select("component", F.col("first.row").alias("_keep")), "component").select(F.col("node").alias("_node"), "_keep"))
+    gone = materialize(fps.join(keep, "_node").where("_row <> _keep").select(F.col("_row").alias(ROW)))
+    return numbered.join(broadcast_if_small(gone), ROW, "left_anti").select(*quoted(docs.columns))
