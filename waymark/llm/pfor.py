@@ -14,9 +14,13 @@ extra columns are not read; an empty table writes no file and gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +31,7 @@ from .common import new_folder, open_folder, put_file
 
 BLOCK, PERCENTILE = 128, 0.9
 MAGIC = b"PFOR0001"
-CACHE = 250_000
+REMEMBERED = 150_000
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -55,31 +59,40 @@ def _unpack(raw: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
-    """The parts of a file of these documents' ids (uint32, document after document)."""
-    n = len(ids)
-    nb = -(-n // BLOCK)
-    x = np.zeros((nb, BLOCK), np.uint32)
-    x.ravel()[:n] = ids
-    x.ravel()[n:] = ids[-1] if n else 0
-    low = x.min(axis=1, initial=np.iinfo(np.uint32).max)
+def _encode_blocks(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(minimum, width, number of exceptions, their positions, their high bits, packed bytes) of rows of BLOCK values."""
+    low = x.min(axis=1)
     x = x - low[:, None]
     rank = int(np.ceil(PERCENTILE * BLOCK)) - 1
-    most = np.partition(x, rank, axis=1)[:, rank] if nb else np.zeros(0, np.uint32)
-    width = np.ceil(np.log2(most.astype(np.float64) + 1)).astype(np.uint8)
-    over = (x.astype(np.uint64) >> width.astype(np.uint64)[:, None]).astype(np.uint32)
+    width = np.ceil(np.log2(np.partition(x, rank, axis=1)[:, rank].astype(np.float64) + 1)).astype(np.uint8)
+    wide = width.astype(np.uint32)[:, None]
+    over = np.where(wide < 32, x >> np.minimum(wide, 31), 0).astype(np.uint32)
     row, pos = np.nonzero(over)
     size = width.astype(np.int64) * (BLOCK // 8)
     start = np.cumsum(size) - size
     body = np.zeros(int(size.sum()), np.uint8)
     for w in np.unique(width[width > 0]):
         at = np.flatnonzero(width == w)
-        low_bits = x[at] & np.uint32((1 << int(w)) - 1)
         step = int(w) * (BLOCK // 8)
-        body[(start[at][:, None] + np.arange(step)).ravel()] = np.frombuffer(_pack(low_bits, int(w)), np.uint8)
-    exceptions = np.bincount(row, minlength=nb).astype("<u1") if nb else np.zeros(0, "u1")
-    head = np.array([len(doc_ids), n, nb, len(row), len(body)], "<u8")
-    return [MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), start.astype("<u8").tobytes(), low.astype("<u4").tobytes(), width.tobytes(), exceptions.tobytes(), pos.astype("u1").tobytes(), over[row, pos].astype("<u4").tobytes(), body.tobytes()]
+        packed = _pack(x[at] & np.uint32((1 << int(w)) - 1), int(w))
+        body[(start[at][:, None] + np.arange(step)).ravel()] = np.frombuffer(packed, np.uint8)
+    return low, width, np.bincount(row, minlength=len(x)).astype(np.uint8), pos.astype(np.uint8), over[row, pos], body
+
+
+def encode_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
+    """The parts of a file of these documents' ids (document after document)."""
+    n = len(ids)
+    parts = []
+    for at in range(0, n, BLOCK << 12):
+        part = ids[at : at + (BLOCK << 12)].astype(np.uint32)
+        filling = np.full(-len(part) % BLOCK, part[-1], np.uint32)
+        parts.append(_encode_blocks(np.concatenate([part, filling]).reshape(-1, BLOCK)))
+    kinds = ("<u4", "u1", "u1", "u1", "<u4", "u1")
+    low, width, exceptions, pos, high, body = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, k) for k in kinds)
+    size = width.astype(np.int64) * (BLOCK // 8)
+    head = np.array([len(doc_ids), n, len(low), len(pos), len(body)], "<u8")
+    rest = (c.astype(k) for c, k in zip((low, width, exceptions, pos, high, body), kinds, strict=True))
+    return [MAGIC, *(c.tobytes() for c in (head, doc_ids.astype("<i8"), counts.astype("<u8"), (np.cumsum(size) - size).astype("<u8"), *rest))]
 
 
 class PforFile:
@@ -115,51 +128,97 @@ class PforFile:
         return self.blocks(b, -(-hi // BLOCK))[lo - b * BLOCK : hi - b * BLOCK] if hi > lo else np.zeros(0, np.uint32)
 
 
+#: what the fast path knows: these normalizers, this split, then byte characters without a prefix
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: characters that NFC leaves alone and that have one lower-case form each, whatever the Unicode version; ASCII blanks
+_SIMPLE = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u017f]*")
+#: the split above for lower-case simple characters: their letters, and their numbers one by one
+_LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+_WHOLE = "\0"
+
+
+def _byte_characters() -> dict[int, int]:
+    """The character that byte-level models use for each byte: itself if it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in prints)
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+class _Memory(dict):
+    """Numbers of remembered pieces, with their ids one after the other; learns what it is asked for and lacks."""
+
+    def __init__(self, learn, old: _Memory | None = None):
+        super().__init__()
+        self.learn, self.old = learn, old
+        self.flat, self.begin = array("I"), array("q", [0])
+
+    def __missing__(self, piece: str) -> int:
+        old = self.old.get(piece) if self.old is not None else None
+        self.flat.extend(self.learn(piece) if old is None else self.old.flat[self.old.begin[old] : self.old.begin[old + 1]])
+        self[piece] = n = len(self.begin) - 1
+        self.begin.append(len(self.flat))
+        return n
+
+
 class WordEncoder:
-    """Encodes with the tokenizers library, each distinct run of non-blanks once while it is remembered.
+    """Encodes with the tokenizers library, each distinct piece once while it is remembered.
 
-    The file's pre-tokens never span ASCII blanks and its normalizer maps them to dropped blanks, so a text's ids are
-    those of its runs in order. The memory of runs is emptied when it holds CACHE of them."""
+    Where the file's normalizer and pre-tokenizer are those above, pre-tokens never span ASCII blanks, so a text's ids
+    are those of its runs of non-blanks in order. Texts of simple characters are split into lower-case pre-tokens here and the
+    library's model encodes those; in other texts, runs that aren't simple go through the library whole. Pieces
+    are remembered in two generations of REMEMBERED each. With any other file whole texts go through the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, runs: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([r.decode("utf-8", "surrogatepass") for r in runs], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        more = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
-        base = len(self.number)
-        self.number.update(zip(runs, range(base, base + len(runs)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.flat, self.length = np.concatenate([self.flat, more]), np.concatenate([self.length, size])
+        self.model, self.characters = self.tokenizer.model, _byte_characters()
+        spec = json.loads(self.tokenizer.to_str())
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        before = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_pieces = normal == _NORMAL and before[0].get("pattern", {}).get("Regex") == _SPLIT and len(before) == 2 and before[1]["type"] == "ByteLevel" and not before[1]["add_prefix_space"]
+        self.memory = _Memory(self._learn)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, piece: str) -> list[int]:
+        if piece.isascii():
+            if piece[0] != _WHOLE:
+                return [t.id for t in self.model.tokenize(piece)]
+        elif piece[0] != _WHOLE:
+            return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))]
+        return self._whole(piece[1:])
+
+    def _pieces(self, text: str) -> list[str]:
+        if _SIMPLE.fullmatch(text) and "<|" not in text:
+            return _PIECES.findall(text.lower())
+        out = []
+        for run in text.encode("utf-8", "surrogatepass").split():
+            run = run.decode("utf-8", "surrogatepass")
+            out += _PIECES.findall(run.lower()) if _SIMPLE.fullmatch(run) and "<|" not in run else [_WHOLE + run]
+        return out
 
     def encode(self, texts: list, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end; number of ids of each)."""
-        runs = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({r for d in runs for r in d if r not in self.number})
-        if len(self.number) + len(new) > CACHE:
-            self._clear()
-            new = list({r for d in runs for r in d})
-        if new:
-            self._learn(new)
-        per = np.fromiter(map(len, runs), np.int64, len(runs))
-        get = self.number.__getitem__
-        at = np.fromiter((get(r) for d in runs for r in d), np.int64, int(per.sum()))
-        size = self.length[at]
-        total = int(size.sum())
-        ids = self.flat[np.repeat(self.begin[at] - (np.cumsum(size) - size), size) + np.arange(total)]
-        ends = np.cumsum(per)
-        done = np.concatenate([[0], np.cumsum(size)])
-        out = np.insert(ids, done[ends], np.uint32(end))
-        return out, np.diff(np.concatenate([[0], done[ends]])) + 1
+        if not self.by_pieces:
+            got = [self._whole(t or "") + [end] for t in texts]
+            return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
+        pieces = [self._pieces(t or "") for t in texts]
+        if len(self.memory) > REMEMBERED:
+            self.memory.old = None
+            self.memory = _Memory(self._learn, self.memory)
+        per = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(self.memory.__getitem__, chain.from_iterable(pieces)), np.int64, int(per.sum()))
+        begin = np.array(self.memory.begin, np.int64)
+        size = np.diff(begin)[at]
+        stop = np.cumsum(size)
+        ids = np.array(self.memory.flat, np.uint32)[np.repeat(begin[at] - (stop - size), size) + np.arange(int(size.sum()))]
+        done = np.concatenate([[0], stop])[np.cumsum(per)]
+        return np.insert(ids, done, np.uint32(end)), np.diff(np.concatenate([[0], done])) + 1
 
 
 @lru_cache(maxsize=2)
@@ -168,7 +227,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _groups(texts: list, chars: int = 400_000):
+def _groups(texts: list, chars: int = 1_000_000):
     at = n = 0
     for i, t in enumerate(texts):
         n += len(t or "")
@@ -201,10 +260,10 @@ def write_tokens(docs: DataFrame, path: str, end: int = 1) -> tuple[str, list[in
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iat[0])
-        pdf = pdf.sort_values(["key", "n", "ids"], kind="stable")
-        n = pdf["n"].to_numpy()
-        ids = np.concatenate([np.frombuffer(b, "<u2" if len(b) == 2 * k else "<u4") for b, k in zip(pdf["ids"], n, strict=True)]).astype(np.uint32)
-        put_file(folder, f"p{part:06d}", encode_file(pdf["key"].to_numpy(), n, ids))
+        key, n, blob = pdf["key"].tolist(), pdf["n"].tolist(), pdf["ids"].tolist()
+        order = sorted(range(len(key)), key=lambda i: (key[i], n[i], blob[i]))
+        ids = np.concatenate([np.frombuffer(blob[i], "<u2" if len(blob[i]) == 2 * n[i] else "<u4") for i in order])
+        put_file(folder, f"p{part:06d}", encode_file(np.array(key)[order], np.array(n)[order], ids))
         return pd.DataFrame({"part": [part], "n": [len(ids)]})
 
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encode, "part int, key long, n long, ids binary")
@@ -215,13 +274,18 @@ def write_tokens(docs: DataFrame, path: str, end: int = 1) -> tuple[str, list[in
     return folder, counts
 
 
-def read_tokens(spark, folder: str, counts: list[int]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary) of every document in the folder's files; ids little-endian unsigned 32-bit."""
+def read_tokens(spark, folder: str, counts: list[int], digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary) of every document in the folder's files; ids little-endian unsigned 32-bit.
+    digest: (doc_id, start, n_tokens, ids_crc32) instead."""
     there = [(i, int(sum(counts[:i]))) for i, n in enumerate(counts) if n]
-    schema = "doc_id long, start long, n_tokens long, ids binary"
+    schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary")
     if not there:
         return spark.createDataFrame([], schema)
 
+    def last(ids, cut):
+        blobs = (ids[a:b].tobytes() for a, b in zip(*cut, strict=True))
+        return {"ids_crc32": [zlib.crc32(x) for x in blobs]} if digest else {"ids": list(blobs)}
+
     def read(batches):
         fs, path = open_folder(folder)
         for pdf in batches:
@@ -236,7 +300,7 @@ def read_tokens(spark, folder: str, counts: list[int]) -> DataFrame:
                     ids = file.ids(int(begin[at]), int(stop[to - 1])).astype("<u4")
                     cut = begin[at:to] - begin[at], stop[at:to] - begin[at]
                     keys = pd.array([None if k == NULL_ID else k for k in file.doc_ids[at:to].tolist()], "Int64")
-                    yield pd.DataFrame({"doc_id": keys, "start": start + begin[at:to], "n_tokens": cut[1] - cut[0], "ids": [ids[a:b].tobytes() for a, b in zip(*cut, strict=True)]})
+                    yield pd.DataFrame({"doc_id": keys, "start": start + begin[at:to], "n_tokens": cut[1] - cut[0]} | last(ids, cut))
                     at = to
 
     parts = spark.createDataFrame(there, "part long, start long").repartition(len(there), "part")
@@ -246,9 +310,4 @@ def read_tokens(spark, folder: str, counts: list[int]) -> DataFrame:
 def token_digest(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files written for docs."""
     folder, counts = write_tokens(docs, path, end)
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(x) for x in ids], dtype="int64")
-
-    return read_tokens(docs.sparkSession, folder, counts).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return read_tokens(docs.sparkSession, folder, counts, digest=True)
