@@ -129,6 +129,15 @@ def test_near_dedup(spark, docs, odd, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def test_near_copies_with_repeats(spark, tmp_path):
+    line = " ".join(f"r{i}" for i in range(8))
+    rest = " ".join(f"s{i}" for i in range(40))
+    rows = [(1, LONG), (2, f"{LONG} {LONG}"), (3, " ".join([line] * 4 + [rest])), (4, " ".join([line] * 12 + [rest])), (5, PASSAGE)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    assert sorted(i for i, _ in texts_of(simhash.near_dedup(spark.read.parquet(path)))) == [1, 3, 5]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 4), (9, 5), (20, 21), (21, 22), (22, 23), (23, 24), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in common.connected_components(e).collect()}

@@ -15,7 +15,7 @@ non-null one; an empty table gives an empty result; only the two named columns o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,13 +37,17 @@ def shingles(w: list[bytes], k: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(w[i:] for i in range(k)), strict=False)))
 
 
-def fingerprint(text: str | None, k: int = 3) -> int:
-    """The SimHash of a text, unsigned: bit set where over half of the shingle hashes have it."""
-    w = words(text, lower=True)
-    votes, n = np.zeros(64, np.int64), 0
+def _hashes(w: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of w, repeats included, in parts."""
     for at in range(0, max(1, len(w) - k + 1), CHUNK):
         part = shingles(w[at : at + CHUNK + k - 1], k)
-        h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))
+        yield np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    """Bit set where over half of the hashes have it; 0 for none."""
+    votes, n = np.zeros(64, np.int64), 0
+    for h in parts:
         for b in range(0, len(h), 4096):
             bits = np.unpackbits(h[b : b + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             votes += bits.sum(axis=0, dtype=np.int64)
@@ -51,17 +55,35 @@ def fingerprint(text: str | None, k: int = 3) -> int:
     return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
+def fingerprint(text: str | None, k: int = 3) -> int:
+    """The SimHash of a text, unsigned: bit set where over half of the shingle hashes have it."""
+    return _majority(_hashes(words(text, lower=True), k))
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    found = np.zeros(0, np.uint64)
+    for h in _hashes(words(text, lower=True), k):
+        found = np.union1d(found, h)
+    return found
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, k: int, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns in keep plus fp long (the fingerprint's bits as signed) and size int (number of shingles)."""
+def fingerprints(docs: DataFrame, k: int, text_col: str = "text", keep: list[str] | None = None, distinct: bool = False) -> DataFrame:
+    """docs' columns in keep plus fp long (the fingerprint's bits as signed) and size int (number of shingles).
+    distinct: each distinct shingle votes and counts once, so that texts with equal shingle sets have equal fp and size."""
 
     @F.pandas_udf("struct<fp:long,size:int>")
     def vote(texts: pd.Series) -> pd.DataFrame:
-        fp = [_signed(fingerprint(t, k)) for t in texts]
-        size = [max(len(w) - k + 1, min(1, len(w))) for w in (words(t) for t in texts)]
+        if distinct:
+            both = [(_signed(_majority([h])), len(h)) for h in (shingle_set(t, k) for t in texts)]
+            fp, size = [x for x, _ in both], [n for _, n in both]
+        else:
+            fp = [_signed(fingerprint(t, k)) for t in texts]
+            size = [max(len(w) - k + 1, min(1, len(w))) for w in (words(t) for t in texts)]
         return pd.DataFrame({"fp": np.array(fp, np.int64), "size": np.array(size, np.int32)})
 
     return docs.select(*(keep or []), vote(F.col(text_col)).alias("_v")).select(*(keep or []), "_v.fp", "_v.size")
@@ -232,7 +254,7 @@ def _jaccard(a: set, b: set) -> float:
 def near_dedup(docs: DataFrame, k: int = 5, radius: int = 12, similarity: float = 0.8, forests: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-copies: of each group the row with the smallest doc_id stays (nulls last), all columns kept.
 
-    A group is joined by links between texts whose fingerprints over k-word shingles differ in radius bits at most
+    A group is joined by links between texts whose fingerprints over distinct k-word shingles differ in radius bits at most
     and whose shingle sets have a Jaccard similarity of at least similarity, checked exactly on the links of
     `forests` spanning forests of each shard (a group is so found unless the check fails on every one of several ways). Equal texts are one node. Texts without words are linked to equal ones only.
     docs must come from a file or table, as its rows are numbered in two scans.
@@ -240,7 +262,7 @@ def near_dedup(docs: DataFrame, k: int = 5, radius: int = 12, similarity: float
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     slim = numbered.select(F.col(ROW).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     slim = slim.withColumn("_node", F.xxhash64("_text"))
-    fps = materialize(fingerprints(slim, k, "_text", ["_row", "_id", "_node"]))
+    fps = materialize(fingerprints(slim, k, "_text", ["_row", "_id", "_node"], distinct=True))
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     items = fps.groupBy(F.col("_node").alias("node")).agg(
         F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size")
