@@ -129,6 +129,24 @@ def test_near_dedup(spark, docs, odd, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def test_near_copies_among_texts_within_radius(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    frame = [f"f{i}" for i in range(60)]
+    texts, pairs = [], []
+    for i in range(3000):
+        own = [f"u{i}x{j}" for j in range(10)]
+        texts.append(" ".join(frame + own))
+        if i % 100 == 0:
+            texts.append(" ".join([*frame, *own[:9], "changed"]))
+            pairs.append(set(texts[-2:]))
+    order = rng.permutation(len(texts)).tolist()
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(i, texts[at]) for i, at in enumerate(order)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    kept = [t for _, t in texts_of(simhash.near_dedup(spark.read.parquet(path)))]
+    # texts share 56 of 76 shingles, or 65 of 67 where one is the other with its last word changed
+    assert len(kept) == 3000 and all(len(p & set(kept)) == 1 for p in pairs)
+
+
 def test_near_copies_with_repeats(spark, tmp_path):
     line = " ".join(f"r{i}" for i in range(8))
     rest = " ".join(f"s{i}" for i in range(40))

@@ -15,19 +15,21 @@ non-null one; an empty table gives an empty result; only the two named columns o
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ROW, broadcast_if_small, connected_components, materialize, quoted, words
+from .common import ROW, broadcast_if_small, connected_components, materialize, new_folder, open_folder, put_file, quoted, words
 
 SEED = 42
 CHUNK = 1 << 16
+#: values of shingle sets in a block, and in a file of them: 16 MB
+BLOCK_SHINGLES = 1 << 21
 
 
 def shingles(w: list[bytes], k: int) -> list[bytes]:
@@ -155,35 +157,111 @@ class _Joined:
         return True
 
 
-def _forest(f: np.ndarray, size: np.ndarray, side: np.ndarray | None, radius: int, ratio: float | None, forests: int = 1) -> list:
-    """Links (i, j) among f that make up this many spanning forests, each of links the ones before don't hold; with
-    side, of the links between side 0 and side 1 only."""
+def _near(f: np.ndarray, size: np.ndarray, side: np.ndarray | None, radius: int, ratio: float | None, label: np.ndarray) -> Iterator[tuple]:
+    """(i, j, distance) of the pairs i < j within radius and ratio, by chunks of rows, i ascending in each; with side, of
+    side 0 and side 1 only. Pairs whose labels are equal when their chunk begins are left out."""
     n = len(f)
-    joined, out = [_Joined(n) for _ in range(forests)], []
     step = max(1, (1 << 21) // max(1, n))
     for at in range(0, n, step):
         d = np.bitwise_count(f[at : at + step, None] ^ f[None, at:])
         i, j = np.nonzero(d <= radius)
         keep = j > i
         dist, i, j = d[i[keep], j[keep]], i[keep] + at, j[keep] + at
-        ok = joined[-1].label[i] != joined[-1].label[j]
+        ok = label[i] != label[j]
         if side is not None:
             ok &= side[i] != side[j]
         if ratio:
             ok &= np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
-        order = np.argsort(dist[ok], kind="stable")
-        for a, b in zip(i[ok][order].tolist(), j[ok][order].tolist(), strict=True):
-            if any(x.join(a, b) for x in joined):
+        yield i[ok], j[ok], dist[ok]
+
+
+def _forest(f: np.ndarray, size: np.ndarray, side: np.ndarray | None, radius: int, ratio: float | None) -> list:
+    """Links (i, j) among f that make up a spanning forest; with side, of the links between side 0 and side 1 only."""
+    joined, out = _Joined(len(f)), []
+    for i, j, dist in _near(f, size, side, radius, ratio, joined.label):
+        order = np.argsort(dist, kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            if joined.join(a, b):
                 out.append((a, b))
     return out
 
 
+def _verified_forest(f: np.ndarray, size: np.ndarray, side: np.ndarray | None, radius: int, ratio: float, load: Callable) -> list:
+    """_forest of those links only whose ends' sets have a Jaccard similarity of at least ratio. Every pair within radius
+    is checked unless its ends are joined already. load: the sets of some rows (size values each), one after the other."""
+    linked = np.zeros(len(f), bool)
+    for i, j, _ in _near(f, size, side, radius, ratio, np.arange(len(f))):
+        linked[i] = linked[j] = True
+    rows = np.flatnonzero(linked)
+    if not len(rows):
+        return []
+    f, size, side = f[rows], size[rows].astype(np.int64), None if side is None else side[rows]
+    begin = np.cumsum(size) - size
+    ids = np.unique(load(rows), return_inverse=True)[1]
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    joined, out = _Joined(len(rows)), []
+    for i, j, _ in _near(f, size, side, radius, ratio, joined.label):
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        for lo, hi in zip(first, np.append(first[1:], len(i)), strict=True):
+            a, others = int(i[lo]), j[lo:hi]
+            others = others[joined.label[others] != joined.label[a]]
+            if not len(others):
+                continue
+            own, n = ids[begin[a] : begin[a] + size[a]], size[others]
+            ends = np.cumsum(n)
+            mark[own] = True
+            shared = np.add.reduceat(mark[ids[np.repeat(begin[others] - (ends - n), n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
+            mark[own] = False
+            for b in others[shared / (size[a] + n - shared) >= ratio].tolist():
+                if joined.join(a, b):
+                    out.append((int(rows[a]), int(rows[b])))
+    return out
+
+
+def write_sets(texts: DataFrame, k: int, uri: str) -> DataFrame:
+    """(node, file, start): in which file below uri, and after how many values, the shingle set of each text (node, text) is."""
+
+    def put(nodes, starts, sets):
+        file = uuid.uuid4().int >> 65
+        put_file(uri, f"{file:016x}", sets)
+        return pd.DataFrame({"node": nodes, "file": file, "start": starts})
+
+    def write(batches):
+        for pdf in batches:
+            nodes, starts, sets, n = [], [], [], 0
+            for node, text in zip(pdf["node"].tolist(), pdf["text"], strict=True):
+                h = shingle_set(text, k)
+                nodes.append(node), starts.append(n), sets.append(h.tobytes())
+                n += len(h)
+                if n >= BLOCK_SHINGLES:
+                    yield put(nodes, starts, sets)
+                    nodes, starts, sets, n = [], [], [], 0
+            if nodes:
+                yield put(nodes, starts, sets)
+
+    return texts.select("node", "text").mapInPandas(write, "node long, file long, start long")
+
+
+def read_sets(uri: str, file: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sets that write_sets wrote, one after the other."""
+    fs, path = open_folder(uri)
+    ends = np.cumsum(size, dtype=np.int64)
+    out = np.empty(int(ends[-1]), np.uint64)
+    order = np.argsort(file, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(file[order])) + 1):
+        with fs.open_input_file(f"{path}/{int(file[rows[0]]):016x}") as f:
+            for r in rows:
+                out[ends[r] - size[r] : ends[r]] = np.frombuffer(f.read_at(int(size[r]) * 8, int(start[r]) * 8), np.uint64)
+    return out
+
+
 def hamming_links(
-    items: DataFrame, radius: int, ratio: float | None = None, leaf_rows: int = 2048, block_rows: int = 65536, sample_one_in: int = 128, forests: int = 1
+    items: DataFrame, radius: int, ratio: float | None = None, leaf_rows: int = 2048, block_rows: int = 65536, sample_one_in: int = 128, sets: str | None = None
 ) -> DataFrame:
     """Edges (a, b) of nodes that connect exactly what pairs within radius connect.
 
-    forests: how many spanning forests of its links a shard returns, for a caller that checks links and drops some.
+    sets: the folder of write_sets, items having its columns too; then only pairs count whose sets, of size values each,
+    have a Jaccard similarity of at least ratio, and blocks are also bounded by the values they hold.
 
     items: node long, fp long, size int, one row a node, from a written table. ratio: only pairs whose smaller size
     is at least ratio times the larger, found by size classes of which a pair spans two neighbours at most.
@@ -197,19 +275,24 @@ def hamming_links(
     tree = VPTree(sample, one_in, radius, leaf_rows)
     size_class = (F.floor(F.log(F.greatest("size", F.lit(1))) / base) if ratio else F.lit(0)).cast("long")
     # classes are as many as the logarithm of the longest text
-    count = {r.c: r["count"] for r in items.groupBy(size_class.alias("c")).count().collect()}
+    classes = items.groupBy(size_class.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("values")).collect()
+    count, values = {r.c: r.n for r in classes}, {r.c: r["values"] for r in classes}
     bc = items.sparkSession.sparkContext.broadcast(tree)
     def blocks(c: int, shard: int) -> int:
         """Into how many blocks the shard's rows of a class, and of the one below it, are cut."""
-        rows = (count.get(c, 0) + (count.get(c - 1, 0) if ratio else 0)) / max(1, n) * tree.rows[shard]
-        return max(1, int(np.ceil(rows / block_rows)))
+        both = (c, c - 1) if ratio else (c,)
+        share = tree.rows[shard] / max(1, n)
+        held = sum(values.get(x, 0) for x in both) / BLOCK_SHINGLES if sets else 0
+        return max(1, int(np.ceil(share * max(sum(count.get(x, 0) for x in both) / block_rows, held))))
 
-    schema = "shard long, i int, j int, node long, fp long, size int, block int"
+    places = ["file", "start"] if sets else []
+    schema = "shard long, i int, j int, node long, fp long, size int, block int" + "".join(f", {c} long" for c in places)
 
     def deal(batches):
         tree = bc.value
         for pdf in batches:
             x, node, size, cls = (pdf[c].to_numpy() for c in ("fp", "node", "size", "cls"))
+            more = {c: pdf[c].to_numpy() for c in places}
             spread = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for shard, rows in tree.route(x.view(np.uint64)):
                 for c in np.unique(cls[rows]).tolist():
@@ -218,16 +301,21 @@ def hamming_links(
                         k = blocks(to, shard)
                         block = (spread[own] % np.uint64(k)).astype(np.int32)
                         for t in range(k):
-                            yield pd.DataFrame({"shard": to * len(tree.rows) + shard, "i": np.minimum(block, t).astype(np.int32), "j": np.maximum(block, t).astype(np.int32), "node": node[own], "fp": x[own], "size": size[own], "block": block})
+                            yield pd.DataFrame({"shard": to * len(tree.rows) + shard, "i": np.minimum(block, t).astype(np.int32), "j": np.maximum(block, t).astype(np.int32), "node": node[own], "fp": x[own], "size": size[own], "block": block, **{c: v[own] for c, v in more.items()}})
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy()
         side = pdf["block"].to_numpy() if pdf["i"].iat[0] != pdf["j"].iat[0] else None
-        pairs = _forest(pdf["fp"].to_numpy().view(np.uint64), pdf["size"].to_numpy(), side, radius, ratio, forests)
+        fp, size = pdf["fp"].to_numpy().view(np.uint64), pdf["size"].to_numpy()
+        if sets:
+            load = lambda rows: read_sets(sets, *(pdf[c].to_numpy()[rows] for c in ("file", "start", "size")))
+            pairs = _verified_forest(fp, size, side, radius, ratio, load)
+        else:
+            pairs = _forest(fp, size, side, radius, ratio)
         a, b = np.array(pairs, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
-    dealt = items.select("node", "fp", "size", size_class.alias("cls")).mapInPandas(deal, schema)
+    dealt = items.select("node", "fp", "size", *places, size_class.alias("cls")).mapInPandas(deal, schema)
     return dealt.groupBy("shard", "i", "j").applyInPandas(search, "a long, b long").distinct()
 
 
@@ -247,17 +335,14 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str
     )
 
 
-def _jaccard(a: set, b: set) -> float:
-    return len(a & b) / max(1, len(a | b))
-
-
-def near_dedup(docs: DataFrame, k: int = 5, radius: int = 12, similarity: float = 0.8, forests: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, k: int = 5, radius: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-copies: of each group the row with the smallest doc_id stays (nulls last), all columns kept.
 
-    A group is joined by links between texts whose fingerprints over distinct k-word shingles differ in radius bits at most
-    and whose shingle sets have a Jaccard similarity of at least similarity, checked exactly on the links of
-    `forests` spanning forests of each shard (a group is so found unless the check fails on every one of several ways). Equal texts are one node. Texts without words are linked to equal ones only.
-    docs must come from a file or table, as its rows are numbered in two scans.
+    A group is joined by links between texts whose fingerprints over distinct k-word shingles differ in radius bits at
+    most and whose shingle sets (64-bit hashes) have a Jaccard similarity of at least similarity; every such pair is
+    found. Texts with any other within radius are looked for first, and only their sets are written to the shared
+    folder, where the search for verified links reads them. Equal texts are one node. Texts without words are linked to
+    equal ones only. docs must come from a file or table, as its rows are numbered in two scans.
     """
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     slim = numbered.select(F.col(ROW).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -268,20 +353,13 @@ def near_dedup(docs: DataFrame, k: int = 5, radius: int = 12, similarity: float
         F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size")
     )
     items = materialize(items)
-    links = materialize(hamming_links(items.where("size > 0"), radius, similarity, forests=forests))
+    links = materialize(hamming_links(items.where("size > 0"), radius, similarity))
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     rows = broadcast_if_small(materialize(ends.join(items, "node").select("node", F.col("first.row").alias("_row"))))
     texts = slim.select("_row", "_text").join(rows, "_row").select("node", F.col("_text").alias("text"))
-    texts = materialize(texts)
-
-    @F.pandas_udf(T.BooleanType())
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        sets = ((set(shingles(words(x, lower=True), k)), set(shingles(words(y, lower=True), k))) for x, y in zip(a, b, strict=True))
-        return pd.Series([_jaccard(x, y) >= similarity for x, y in sets], dtype=bool)
-
-    pairs = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    comp = connected_components(pairs.where(alike("ta", "tb")).select("a", "b"))
+    folder = new_folder(docs.sparkSession, "shingle-sets")
+    near = materialize(items.join(materialize(write_sets(texts, k, folder)), "node"))
+    comp = connected_components(hamming_links(near, radius, similarity, sets=folder))
     groups = materialize(items.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
     kept = materialize(groups.groupBy("component").agg(F.min("first").alias("first")))
     keep = materialize(groups.join(kept.select("component", F.col("first.row").alias("_keep")), "component").select(F.col("node").alias("_node"), "_keep"))
