@@ -307,6 +307,12 @@ def test_sharding(spark, docs, odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_ends_when_all_moved(spark):
+    rows = spark.createDataFrame([(i, "same" if i < 120 else f"t{i}") for i in range(320)], "doc_id long, text string")
+    got = collections.Counter(r.shard for r in sharding.shard_documents(rows, 32).collect() if r.text_crc32 == zlib.crc32(b"same"))
+    assert sorted(got.values()) == [10] * 12  # it fills one shard a round
+
+
 # 7 and 9
 
 

@@ -5,7 +5,7 @@ its text and id, so counts differ by one at most. In each round a text's rows lo
 the rows that want to move are counted for each pair of shards, and moves are granted under quotas: what can go
 round in cycles of shards, and of the rest as many as the shard they go to has unlinked rows to give up, these then
 filling the shards that lost rows. Counts so stay as they were. A text that fills a whole shard looks to the next one for
-its other rows. Rounds end when nothing is wanted, or nothing granted twice.
+its other rows. Rounds end when nothing is wanted, or nothing granted twice; there is no other bound on them.
 
 All work is on slim rows (ids, hashes, sizes); the text is read once. The driver sees counts of shard pairs only.
 
@@ -18,7 +18,7 @@ columns are not read; an empty table gives an empty result; fewer rows than shar
 from __future__ import annotations
 
 from functools import reduce
-from itertools import pairwise
+from itertools import count, pairwise
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -83,12 +83,13 @@ def _grants(want: np.ndarray, free: np.ndarray) -> np.ndarray:
             over[j] -= cut
 
 
-def label_propagation(rows: DataFrame, shards: int, max_rounds: int = 8) -> DataFrame:
+def label_propagation(rows: DataFrame, shards: int) -> DataFrame:
     """rows (id long unique, key: what links rows, spread: a hash) with shard int; counts differ by one at most."""
     at = gapless_rank(rows.withColumn("_all", F.lit(0)), "_all", [F.col("spread"), F.col("id")], "_rank").drop("_all")
     at = materialize(at.withColumn("shard", (F.col("_rank") % shards).cast("int")).drop("_rank"))
     idle = 0
-    for turn in range(max_rounds):
+    # a granted move adds to the rows that are with most of their text, and a shard is settled once: rounds end
+    for turn in count():
         # ties between shards are drawn anew in each round, or all would want the same shards
         held = materialize(at.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n")))
         # a shard that one text fills is settled for it: its other rows look to the next (one pair a shard at most)
