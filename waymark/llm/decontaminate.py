@@ -8,6 +8,7 @@ loses no pair. Candidates are then verified by
 the exact number of shared shingle strings.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a text with fewer words than a shingle is one shingle.
+So an item of fewer words than a shingle is found only in documents of the same words, not inside longer ones.
 
 Defined results: null or empty texts, of items or documents, contain and are contained in nothing; repeated rows and
 items count once; for several items with one item_id (or texts with one doc_id) the largest containment counts; ids may be
