@@ -256,6 +256,45 @@ def test_kneser_ney(spark, docs, odd, empty):
     assert {(r.train_tokens, r.base_score, r.score) for r in ngram_lm.score_texts(only).collect()} == {(0, 0.0, 0.0)}
 
 
+def test_kneser_ney_of_order_three(spark, docs, odd, empty):
+    for df in (docs.limit(60), odd):
+        rows = texts_of(df)
+        held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+        seqs = [toks((t or "").encode().lower().decode()) + ["end"] for _, t in rows]
+        one, three = collections.Counter(), collections.Counter()
+        for s, h in zip(seqs, held, strict=True):
+            if not h:
+                one.update(s)
+                three.update(zip(["begin", "begin", *s], ["begin", *s], s, strict=False))
+        two = collections.Counter()
+        for (_, v, w), c in three.items():
+            two[v, w] += c if v == "begin" else 1
+        three = collections.Counter({k: c for k, c in three.items() if k[1] != "begin"})
+        n, v_, follows = one.total(), len(one), collections.Counter(w for _, w in two)
+        count = lambda c: [sum(x == i for x in c.values()) for i in range(1, 5)]
+        d3, d2, d1 = (ngram_lm.discounts(count(c)) for c in (three, two, follows))
+        g0 = sum(d1[min(k, 3)] for k in follows.values()) / len(two)
+        low = lambda w: max(follows[w] - d1[min(follows[w], 3)], 0) / len(two) + g0 / (v_ + 1)  # noqa: E731,B023
+
+        def level(counts, d):
+            total, spare = collections.Counter(), collections.Counter()
+            for (*v, _), c in counts.items():
+                total[tuple(v)] += c
+                spare[tuple(v)] += d[min(c, 3)]
+            return lambda v, w, below: (max(counts[*v, w] - d[min(counts[*v, w], 3)], 0) + spare[v] * below) / total[v] if v in total else below
+
+        p2, p3 = level(two, d2), level(three, d3)
+        p = lambda u, v, w: p3((u, v), w, p2((v,), w, low(w)))  # noqa: E731,B023
+        u, v, _ = max(three, key=three.get)
+        unknown = p3((u, v), "", p2((v,), "", g0 / (v_ + 1)))
+        assert math.isclose(sum(p(u, v, w) for w in one) + unknown, 1)
+        want = sorted((repr(i), len(s), round(sum(math.log10((one[w] + 1) / (n + v_ + 1)) for w in s), 6), sum(math.log10(p(*x)) for x in zip(["begin", "begin", *s], ["begin", *s], s, strict=False))) for (i, _), s in zip(rows, seqs, strict=True))
+        got = sorted((repr(r.doc_id), r.n_tokens, round(r.base_score, 6), r.score) for r in ngram_lm.score_texts(df, order=3).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2:] for g in got], [w[2:] for w in want])
+    assert ngram_lm.score_texts(empty, order=3).count() == 0
+
+
 # 5
 
 

@@ -1,13 +1,16 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays that workers map.
+"""Interpolated modified Kneser-Ney model of order two or three, counted in Spark, kept as sorted hash arrays that workers map.
 
 Counting: each task sorts the word pairs of its training documents and sends one block of (context, word, count) to each
 bucket of contexts; a bucket merges its blocks, writes its pairs and contexts as sorted hash arrays to the shared
 folder and sends on how many contexts each word follows, which is gathered by word in the same way. Frequent words
-and lines weigh one entry a task. Discounts come from the counts of counts. The order is two: the pairs are the largest table.
+and lines weigh one entry a task. Discounts come from the counts of counts.
+At order three, a bucket merges word triples by their middle word, and so knows how many words each pair follows (pairs
+after the begin context: how often they occur); these are the counts c(vw) and c(v) of pairs then.
 
 Probabilities: p(w|v) = max(c(vw) - D(c), 0)/c(v) + g(v) p(w), p(w) = max(k(w) - D'(k), 0)/K + g0/(V+1), with k(w) the
 number of contexts of w, K their sum, V the distinct training tokens and one further place for all unknown ones;
 so they sum to one. After an unknown context p(w) alone counts. Each text starts in a begin context and ends in an end token.
+Order three: p(w|uv) = max(c(uvw) - D"(c), 0)/c(uv) + g(uv) p(w|v), and p(w|v) after an unknown pair or for a text's first token.
 
 Defined results: null and empty texts are the end token alone; rows without a doc_id are learned from and scored;
 repeated rows count each time; without training documents every probability is 1/(V+1) = 1; other columns are not read.
@@ -63,6 +66,11 @@ def _sequence(held: list, lens: list, n: int) -> tuple[np.ndarray, np.ndarray, n
     return v, w, np.array(lens)
 
 
+def before(v: np.ndarray) -> np.ndarray:
+    """The words before contexts v, BEGIN for the first ones of a text."""
+    return np.where(v == BEGIN, BEGIN, np.concatenate([[BEGIN], v[:-1]]).astype(np.uint64))
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Starts of runs of equal keys in sorted arrays."""
     new = np.zeros(len(keys[0]), bool)
@@ -104,6 +112,33 @@ def _unblock(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(v, np.frombuffer(blob, "<u4", nv, at)), w, _long(memoryview(blob)[at + 4 * nv :], n)
 
 
+def _triple_blocks(v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Sorted distinct triples as one blob a bucket of v: the words, contexts (v, u) and words by number, sizes, counts."""
+    ends = np.searchsorted(bucket_of(v, buckets), np.arange(buckets + 1))
+    out = []
+    for b in np.flatnonzero(np.diff(ends)):
+        s = slice(ends[b], ends[b + 1])
+        first = _runs(v[s], u[s])
+        names, back = np.unique(np.concatenate([v[s][first], u[s][first], w[s]]), return_inverse=True)
+        size = np.diff(np.append(first, ends[b + 1] - ends[b]))
+        head = np.array([len(names), len(first), ends[b + 1] - ends[b]], "<u8")
+        code = back.astype("<u2" if len(names) <= 1 << 16 else "<u4")
+        out.append((int(b), b"".join([head.tobytes(), names.tobytes(), code.tobytes(), _short(size), _short(c[s])])))
+    return pd.DataFrame(out, columns=["bucket", "blob"])
+
+
+def _untriple(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    names, nv, n = (int(x) for x in np.frombuffer(blob, "<u8", 3))
+    kind = np.dtype("<u2" if names <= 1 << 16 else "<u4")
+    name = np.frombuffer(blob, "<u8", names, 24)
+    at = 24 + 8 * names
+    x = name[np.frombuffer(blob, kind, 2 * nv + n, at)]
+    at += kind.itemsize * (2 * nv + n)
+    size = _long(memoryview(blob)[at:], nv)
+    at += nv + 8 * int((size >= 255).sum())
+    return np.repeat(x[:nv], size), np.repeat(x[nv : 2 * nv], size), x[2 * nv :], _long(memoryview(blob)[at:], n)
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """Discounts for counts 0, 1, 2 and 3 or more, from how many entries have count 1 to 4."""
     n1, n2, n3, n4 = n
@@ -117,14 +152,19 @@ def discounts(n: list[int]) -> np.ndarray:
 STATS = ("types", "tokens", "vocabulary", "docs", "n1", "n2", "n3", "n4")
 
 
-class BigramModel:
-    """The mapped arrays, and what is known of the whole corpus. stats and follow_stats: as STATS."""
+class Model:
+    """The mapped arrays, and what is known of the whole corpus. stats, follow_stats and, at order three, triple_stats: as STATS."""
 
-    def __init__(self, folders: dict[str, str], buckets: int, stats: list[int], follow_stats: list[int]):
+    def __init__(self, folders: dict[str, str], buckets: int, stats: list[int], follow_stats: list[int], triple_stats: list[int] | None = None):
         dtypes = {"pairs": ["u8", "u1"], "big": ["u8", "u8"], "contexts": ["u8", "u8", "u4", "u4", "u4"], "follows": ["u8", "u8"]}
+        if triple_stats:
+            dtypes |= {"triples": ["u8", "u1"], "big3": ["u8", "u8"], "contexts3": ["u8", "u1"], "rich3": dtypes["contexts"], "words": ["u8", "u8"]}
         self.index = {k: HashIndex(folders[k], buckets, d) for k, d in dtypes.items()}
         self.types, self.n, self.v, self.docs, *ones = stats
         self.d = discounts(ones)
+        self.d3 = None
+        if triple_stats:
+            self.n, self.d3 = triple_stats[1], discounts(triple_stats[4:])
         f = dict(zip(STATS, follow_stats, strict=True))
         self.d1 = discounts([f["n1"], f["n2"], f["n3"], f["n4"]])
         kinds = np.array([f["n1"], f["n2"], f["types"] - f["n1"] - f["n2"]])
@@ -136,26 +176,47 @@ class BigramModel:
         _, (total, m1, m2, m3) = self.index["contexts"].lookup(names)
         k = self.index["follows"].lookup(names)[1][0].astype(np.int64)
         lower = np.maximum(k - self.d1[np.minimum(k, 3)], 0) / max(1, self.types) + self.g0 / (self.v + 1)
-        keys, at, which = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
-        where = bucket_of(v[at], self.index["pairs"].buckets)
-        c = self.index["pairs"].lookup(keys, where)[1][0].astype(np.int64)
-        many = c == 255
-        if many.any():
-            c[many] = self.index["big"].lookup(keys[many], where[many])[1][0].astype(np.int64)
-        c, bv, bw = c[which], back[: len(v)], back[len(v) :]
+        bv, bw = back[: len(v)], back[len(v) :]
         total = total.astype(np.float64)
         spare = np.where(total > 0, (self.d[1] * m1 + self.d[2] * m2 + self.d[3] * m3) / np.maximum(total, 1), 1.0)
+        c = self._counts(v, v, w, "pairs", "big")
         p = np.maximum(c - self.d[np.minimum(c, 3)], 0) / np.maximum(total[bv], 1) + spare[bv] * lower[bw]
+        if self.d3 is not None:
+            h = pair_key(before(v), v)
+            known, at, which = np.unique(h, return_index=True, return_inverse=True)
+            where = bucket_of(v[at], self.index["contexts3"].buckets)
+            code = self.index["contexts3"].lookup(known, where)[1][0].astype(np.int64)
+            m1, m2, m3 = code // 15, code % 15, np.zeros(len(code), np.int64)
+            all3 = m1 + 2 * m2
+            if (rich := code == 255).any():
+                all3[rich], m1[rich], m2[rich], m3[rich] = self.index["rich3"].lookup(known[rich], where[rich])[1]
+            spare = np.where(all3 > 0, (self.d3[1] * m1 + self.d3[2] * m2 + self.d3[3] * m3) / np.maximum(all3, 1), 1.0)
+            c = self._counts(v, h, w, "triples", "big3")
+            p = np.maximum(c - self.d3[np.minimum(c, 3)], 0) / np.maximum(all3[which], 1) + spare[which] * p
+            total = self.index["words"].lookup(names)[1][0].astype(np.float64)
         count = total[bw]
         count[w == END] = self.docs
         return np.log10(p), count
 
+    def _counts(self, v: np.ndarray, context: np.ndarray, w: np.ndarray, few: str, big: str) -> np.ndarray:
+        """The count of each pair of a context and a word, in the bucket of v."""
+        keys, at, which = np.unique(pair_key(context, w), return_index=True, return_inverse=True)
+        where = bucket_of(v[at], self.index[few].buckets)
+        c = self.index[few].lookup(keys, where)[1][0].astype(np.int64)
+        many = c == 255
+        if many.any():
+            c[many] = self.index[big].lookup(keys[many], where[many])[1][0].astype(np.int64)
+        return c[which]
 
-def fit_bigrams(texts: DataFrame) -> BigramModel:
-    """A model of the text column of all rows."""
+
+def fit(texts: DataFrame, order: int = 2) -> Model:
+    """A model of the text column of all rows, of order two or three."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: two or three")
+    degree = order
     spark = texts.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folders = {k: new_folder(spark, f"lm-{k}") for k in ("pairs", "big", "contexts", "follows")}
+    folders = {k: new_folder(spark, f"lm-{k}") for k in ("pairs", "big", "contexts", "follows", "triples", "big3", "contexts3", "rich3", "words")}
 
     def count(batches):
         held, n = [], 0
@@ -171,35 +232,78 @@ def fit_bigrams(texts: DataFrame) -> BigramModel:
 
     def flush(held):
         v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        u = np.concatenate([before(x) for x, _ in held]) if degree == 3 else None
         held.clear()
-        order = np.lexsort((w, v))
+        order = np.lexsort((w, v) if u is None else (w, u, v))
         v, w = v[order], w[order]
-        first = _runs(v, w)
-        return _blocks(v[first], w[first], np.diff(np.append(first, len(v))), buckets)
+        if u is None:
+            first = _runs(v, w)
+            return _blocks(v[first], w[first], np.diff(np.append(first, len(v))), buckets)
+        u = u[order]
+        first = _runs(v, u, w)
+        return _triple_blocks(v[first], u[first], w[first], np.diff(np.append(first, len(v))), buckets)
 
     def ones(c: np.ndarray) -> list[int]:
         return [int((c == i).sum()) for i in range(1, 5)]
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["bucket"].iat[0])
-        v, w, c = (np.concatenate(x) for x in zip(*map(_unblock, pdf["blob"]), strict=True))
-        order = np.lexsort((w, v))
-        v, w, c = v[order], w[order], c[order]
-        first = _runs(v, w)
-        c = np.add.reduceat(c, first)
-        v, w = v[first], w[first]
+    def contexts_of(v: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+        """The contexts of sorted distinct pairs, their counts, and how many words follow once, twice and more often."""
         at = _runs(v)
-        total = np.add.reduceat(c, at)
         kinds = [np.add.reduceat(x.astype("<u4"), at).astype("<u4") for x in (c == 1, c == 2, c > 2)]
-        write_bucket(folders["contexts"], b, [v[at], total.astype("<u8"), *kinds])
-        key = pair_key(v, w)
+        return [v[at], np.add.reduceat(c, at).astype("<u8"), *kinds]
+
+    def write_counts(b: int, key: np.ndarray, c: np.ndarray, few: str, big: str) -> None:
         order = np.argsort(key)
-        write_bucket(folders["pairs"], b, [key[order], np.minimum(c[order], 255).astype("u1")])
+        write_bucket(folders[few], b, [key[order], np.minimum(c[order], 255).astype("u1")])
         order = order[c[order] >= 255]
-        write_bucket(folders["big"], b, [key[order], c[order].astype("<u8")])
+        write_bucket(folders[big], b, [key[order], c[order].astype("<u8")])
+
+    def merge_triples(b: int, blobs: pd.Series) -> tuple:
+        """Write a bucket's triples and their contexts; its pairs, their counts, and the triples' statistics."""
+        v, u, w, c = (np.concatenate(x) for x in zip(*map(_untriple, blobs), strict=True))
+        order = np.lexsort((w, u, v))
+        v, u, w, c = v[order], u[order], w[order], c[order]
+        first = _runs(v, u, w)
+        v, u, w, c = v[first], u[first], w[first], np.add.reduceat(c, first)
+        at = _runs(v)
+        write_bucket(folders["words"], b, [v[at], np.add.reduceat(c, at).astype("<u8")])
+        inner = v != BEGIN
+        if inner.any():
+            h = pair_key(u[inner], v[inner])
+            write_counts(b, pair_key(h, w[inner]), c[inner], "triples", "big3")
+            context = contexts_of(h, c[inner])
+            order = np.argsort(context[0])
+            key, total, m1, m2, m3 = context = [x[order] for x in context]
+            # few words, each once or twice, are the usual case: one byte
+            plain = (m3 == 0) & (m1 < 17) & (m2 < 15)
+            write_bucket(folders["contexts3"], b, [key, np.where(plain, m1 * 15 + m2, 255).astype("u1")])
+            write_bucket(folders["rich3"], b, [x[~plain] for x in context])
+        stats = [int(inner.sum()), int(c.sum()), 0, 0, *ones(c[inner])]
+        order = np.lexsort((w, v))
+        v, w, c = v[order], w[order], c[order]
+        first = _runs(v, w)
+        n = np.where(v[first] == BEGIN, np.add.reduceat(c, first), np.diff(np.append(first, len(v))))
+        return v[first], w[first], n, [(-2, np.array(stats, "<u8").tobytes())]
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(pdf["bucket"].iat[0])
+        if degree == 3:
+            v, w, c, out = merge_triples(b, pdf["blob"])
+        else:
+            v, w, c = (np.concatenate(x) for x in zip(*map(_unblock, pdf["blob"]), strict=True))
+            order = np.lexsort((w, v))
+            v, w, c = v[order], w[order], c[order]
+            first = _runs(v, w)
+            c = np.add.reduceat(c, first)
+            v, w, out = v[first], w[first], []
+        at = _runs(v)
+        context = contexts_of(v, c)
+        total = context[1].astype(np.int64)
+        write_bucket(folders["contexts"], b, context)
+        write_counts(b, pair_key(v, w), c, "pairs", "big")
         docs = int(total[v[at] == BEGIN].sum())
         stats = [len(v), int(total.sum()), len(at) - (docs > 0), docs, *ones(c)]
-        out = [(-1, np.array(stats, "<u8").tobytes())]
+        out.append((-1, np.array(stats, "<u8").tobytes()))
         w, n = np.unique(w, return_counts=True)
         ends = np.searchsorted(bucket_of(w, buckets), np.arange(buckets + 1))
         for t in np.flatnonzero(np.diff(ends)):
@@ -224,22 +328,22 @@ def fit_bigrams(texts: DataFrame) -> BigramModel:
             n = np.add.reduceat(n, first)
             write_bucket(folders["follows"], b, [w[first], n.astype("<u8")])
             stats = [len(n), 0, 0, 0, *ones(n)]
-        return pd.DataFrame({"whole": [b < 0], "stats": [np.array(stats, "<u8").tobytes()]})
+        return pd.DataFrame({"level": [{-2: 3, -1: 2}.get(b, 1)], "stats": [np.array(stats, "<u8").tobytes()]})
 
     sent = "bucket int, blob binary"
     merged = texts.select("text").mapInPandas(count, sent).groupBy("bucket").applyInPandas(merge, sent)
-    sums = {True: np.zeros(len(STATS), np.int64), False: np.zeros(len(STATS), np.int64)}
-    for r in merged.groupBy("bucket").applyInPandas(gather, "whole boolean, stats binary").toLocalIterator():
-        sums[r.whole] += np.frombuffer(r.stats, "<u8").astype(np.int64)
-    whole = sums[True]
+    sums = {level: np.zeros(len(STATS), np.int64) for level in (1, 2, 3)}
+    for r in merged.groupBy("bucket").applyInPandas(gather, "level int, stats binary").toLocalIterator():
+        sums[r.level] += np.frombuffer(r.stats, "<u8").astype(np.int64)
+    whole = sums[2]
     whole[2] += whole[3] > 0
-    return BigramModel(folders, buckets, whole.tolist(), sums[False].tolist())
+    return Model(folders, buckets, whole.tolist(), sums[1].tolist(), sums[3].tolist() if degree == 3 else None)
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held_out, F.lit(False))
-    model = fit_bigrams(docs.where(~fold))
+    model = fit(docs.where(~fold), order)
 
     @F.pandas_udf("struct<n_tokens:long,n_known:long,base_score:double,score:double>")
     def score(texts: pd.Series) -> pd.DataFrame:
