@@ -443,37 +443,69 @@ def test_token_files(spark, docs, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    for df in (docs, odd):
-        coded = [(i, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for i, x in texts_of(df)]
-        coded.sort(key=lambda r: (r[0] is None, r[0] or 0, len(r[1])))
+    one = spark.createDataFrame([(9, f"text {i % 40} {'y' * (i % 7)}") for i in range(400)], "doc_id long, text string")
+    for df in (docs, odd, one):
+        coded = [(i, h, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for i, x, h in df.selectExpr("doc_id", "text", "xxhash64(text)").collect()]
+        coded.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         at, want = 0, []
-        for i, ids in coded:
+        for i, _, ids in coded:
             want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             at += len(ids)
         assert sorted((tuple(r) for r in pfor.token_digest(df, WORDS).collect()), key=lambda r: r[1]) == want
     assert pfor.token_digest(empty, WORDS).count() == 0
+    # one doc_id, even of one text, is spread over files
+    assert sum(n > 0 for n in pfor.write_tokens(one, WORDS)[1]) == 4
+    assert sum(n > 0 for n in pfor.write_tokens(one.selectExpr("doc_id", "'same' as text"), WORDS)[1]) == 4
+
+
+def test_rows_are_dealt_by_bounds():
+    rng = np.random.default_rng(3)
+    keys = [rng.integers(0, 3, 200) for _ in range(3)]
+    bounds = sorted(tuple(int(x) for x in rng.integers(0, 3, 3)) for _ in range(9))
+    assert pfor._after(bounds, keys).tolist() == [sum(b <= r for b in bounds) for r in zip(*(k.tolist() for k in keys), strict=True)]
+    assert pfor._after([], keys).tolist() == [0] * 200
 
 
-def test_pieces_are_the_librarys():
+def test_words_are_the_librarys(monkeypatch):
     from tokenizers import Tokenizer
 
     t, e, rng = Tokenizer.from_file(WORDS), pfor.WordEncoder(WORDS), np.random.default_rng(5)
-    assert e.by_pieces
-    some = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA0, 0x250), 0x301, 0x3A3, 0x2014, 0x65E5, 0x1F600, 28, 0x85, 0x2028]]
+    assert e.by_words
+    some = [chr(c) for c in [0, *range(9, 14), *range(32, 127), *range(0xA0, 0x250), 0x301, 0x3A3, 0x2014, 0x65E5, 0x1F600, 28, 0x85, 0x2028]]
     some += ["'s", "'LL", "'T ", "  ", "a", "B", "é", "7", "<|endoftext|>", "J\u030c"] * 8
-    for _ in range(1500):
-        x = "".join(rng.choice(some, 40))
-        assert e.encode([x], 1)[0].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
+    texts = ["".join(rng.choice(some, 40)) for _ in range(1500)] + ["", None, " ", "a", "\0", "\0 a\0", "x" * 5000, "é" * 8, "<|endoftext|>"]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+
+    def check(enc, parts):
+        for part in parts:
+            ids, n = enc.encode([texts[i] for i in part], 1)
+            assert np.split(ids, np.cumsum(n)[:-1])[0].tolist() == want[part[0]]
+            assert ids.tolist() == [i for p in part for i in want[p]] and n.tolist() == [len(want[p]) for p in part]
+
+    check(e, [range(len(texts))])
+    check(pfor.WordEncoder(WORDS), [[i] for i in range(0, len(texts), 9)])
+    # small segments, and a memory that forgets
+    monkeypatch.setattr(pfor, "SEGMENT", 64)
+    monkeypatch.setattr(pfor, "REMEMBERED", 300)
+    check(pfor.WordEncoder(WORDS), [range(i, min(i + 50, len(texts))) for i in range(0, len(texts), 50)] * 2)
+
 
+def test_other_tokenizer_files(spark, odd, tmp_path):
+    import json
+    from pathlib import Path
 
-def test_other_tokenizer_files(spark, odd):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     t, e = Tokenizer.from_file(path), pfor.WordEncoder(path)
-    assert not e.by_pieces
+    assert not e.by_words
     ids, n = e.encode(["a  b", None], 7)
     assert ids.tolist() == [*t.encode("a  b", add_special_tokens=False).ids, 7, 7] and n.tolist() == [len(ids) - 1, 1]
+    # one step of the normalizer with another content: not the steps that words can be encoded by
+    spec = json.loads(Path(WORDS).read_text())
+    spec["normalizer"]["normalizers"][1]["content"] = "_"
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    assert not pfor.WordEncoder(str(tmp_path / "other.json")).by_words
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
