@@ -256,7 +256,8 @@ def test_kneser_ney(spark, docs, odd, empty):
     assert {(r.train_tokens, r.base_score, r.score) for r in ngram_lm.score_texts(only).collect()} == {(0, 0.0, 0.0)}
 
 
-def test_kneser_ney_of_order_three(spark, docs, odd, empty):
+@pytest.mark.parametrize("pruned", [False, True])
+def test_kneser_ney_of_order_three(spark, docs, odd, empty, pruned):
     for df in (docs.limit(60), odd):
         rows = texts_of(df)
         held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
@@ -276,23 +277,44 @@ def test_kneser_ney_of_order_three(spark, docs, odd, empty):
         g0 = sum(d1[min(k, 3)] for k in follows.values()) / len(two)
         low = lambda w: max(follows[w] - d1[min(follows[w], 3)], 0) / len(two) + g0 / (v_ + 1)  # noqa: E731,B023
 
-        def level(counts, d):
+        def level(counts, d, least=1):
             total, spare = collections.Counter(), collections.Counter()
             for (*v, _), c in counts.items():
                 total[tuple(v)] += c
-                spare[tuple(v)] += d[min(c, 3)]
-            return lambda v, w, below: (max(counts[*v, w] - d[min(counts[*v, w], 3)], 0) + spare[v] * below) / total[v] if v in total else below
+                spare[tuple(v)] += d[min(c, 3)] if c >= least else c
+            kept = collections.Counter({k: c for k, c in counts.items() if c >= least})
+            return lambda v, w, below: (max(kept[*v, w] - d[min(kept[*v, w], 3)], 0) + spare[v] * below) / total[v] if v in total else below
 
-        p2, p3 = level(two, d2), level(three, d3)
+        p2, p3 = level(two, d2), level(three, d3, 2 if pruned else 1)
         p = lambda u, v, w: p3((u, v), w, p2((v,), w, low(w)))  # noqa: E731,B023
         u, v, _ = max(three, key=three.get)
         unknown = p3((u, v), "", p2((v,), "", g0 / (v_ + 1)))
         assert math.isclose(sum(p(u, v, w) for w in one) + unknown, 1)
         want = sorted((repr(i), len(s), round(sum(math.log10((one[w] + 1) / (n + v_ + 1)) for w in s), 6), sum(math.log10(p(*x)) for x in zip(["begin", "begin", *s], ["begin", *s], s, strict=False))) for (i, _), s in zip(rows, seqs, strict=True))
-        got = sorted((repr(r.doc_id), r.n_tokens, round(r.base_score, 6), r.score) for r in ngram_lm.score_texts(df, order=3).collect())
+        got = sorted((repr(r.doc_id), r.n_tokens, round(r.base_score, 6), r.score) for r in ngram_lm.score_texts(df, order=3, pruned=pruned).collect())
         assert [g[:2] for g in got] == [w[:2] for w in want]
         assert np.allclose([g[2:] for g in got], [w[2:] for w in want])
-    assert ngram_lm.score_texts(empty, order=3).count() == 0
+    assert ngram_lm.score_texts(empty, order=3, pruned=pruned).count() == 0
+
+
+def test_triples_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd"], n)) for n in rng.integers(0, 40, 30)]
+    (v, w, _), = ngram_lm.sequences(texts)
+
+    def count():
+        out = collections.Counter()
+        for b, blob in ngram_lm._triple_blocks(v, w, 5):
+            x = ngram_lm._untriple(blob)
+            assert (ngram_lm.bucket_of(x[0], 5) == b).all()
+            for *k, c in zip(*(a.tolist() for a in x), strict=True):
+                out[tuple(k)] += c
+        return out
+
+    want = collections.Counter(zip(v.tolist(), ngram_lm.before(v).tolist(), w.tolist(), strict=True))
+    assert count() == want
+    monkeypatch.setattr(ngram_lm, "NUMBER", 2)  # fewer than there are words: texts apart, then by three keys
+    assert count() == want
 
 
 # 5

@@ -21,13 +21,19 @@ def write_bucket(uri: str, bucket: int, columns: list[np.ndarray]) -> None:
         put_file(uri, f"b{bucket:06d}", [np.ascontiguousarray(c).tobytes() for c in columns])
 
 
+#: bytes of buckets that a worker holds of an index whose store can't be mapped
+HELD_BYTES = 256 << 20
+
+
 class HashIndex:
-    """Looks hashes up in the files of a folder. dtypes: of the columns, the first being uint64."""
+    """Looks hashes up in the files of a folder, mapped where the store allows, else read and held up to HELD_BYTES.
+    dtypes: of the columns, the first being uint64."""
 
     def __init__(self, uri: str, buckets: int, dtypes: list[str]):
         self.uri, self.buckets, self.dtypes = uri, buckets, [np.dtype(d) for d in dtypes]
         self._open: dict[int, list[np.ndarray]] = {}
         self._there: set[str] | None = None
+        self._held = 0
 
     def columns(self, bucket: int) -> list[np.ndarray]:
         if bucket not in self._open:
@@ -41,6 +47,10 @@ class HashIndex:
             else:
                 with fs.open_input_file(f"{path}/{name}") as f:
                     raw = np.frombuffer(f.read(), np.uint8)
+                self._held += len(raw)
+                if self._held > HELD_BYTES:
+                    self._open.clear()
+                    self._held = len(raw)
             n, at, cols = len(raw) // sum(d.itemsize for d in self.dtypes), 0, []
             for d in self.dtypes:
                 cols.append(np.frombuffer(raw, d, n, at))

@@ -11,6 +11,10 @@ Probabilities: p(w|v) = max(c(vw) - D(c), 0)/c(v) + g(v) p(w), p(w) = max(k(w) -
 number of contexts of w, K their sum, V the distinct training tokens and one further place for all unknown ones;
 so they sum to one. After an unknown context p(w) alone counts. Each text starts in a begin context and ends in an end token.
 Order three: p(w|uv) = max(c(uvw) - D"(c), 0)/c(uv) + g(uv) p(w|v), and p(w|v) after an unknown pair or for a text's first token.
+With pruned, triples that occur once are not stored, as usual for models of this order: their whole count goes to g(uv), so that
+probabilities still sum to one. All counts, totals and discounts are taken before that, from all triples.
+
+Buckets are as many as hold BUCKET_BYTES of text each. All followers of one word are in one bucket.
 
 Defined results: null and empty texts are the end token alone; rows without a doc_id are learned from and scored;
 repeated rows count each time; without training documents every probability is 1/(V+1) = 1; other columns are not read.
@@ -18,17 +22,23 @@ repeated rows count each time; without training documents every probability is 1
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_folder, words
 from .hashindex import HashIndex, bucket_of, write_bucket
 
-FLUSH = 2_500_000
+FLUSH = 4_400_000
 BATCH_WORDS = 300_000
+BUCKET_BYTES = 16 << 20
+#: bits of a word's number in a sorted triple; more distinct words than that are flushed in parts
+NUMBER = 21
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(s)) for s in (b"\x00 begin", b"\x00 end"))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,31 +122,65 @@ def _unblock(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(v, np.frombuffer(blob, "<u4", nv, at)), w, _long(memoryview(blob)[at + 4 * nv :], n)
 
 
-def _triple_blocks(v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, buckets: int) -> pd.DataFrame:
-    """Sorted distinct triples as one blob a bucket of v: the words, contexts (v, u) and words by number, sizes, counts."""
-    ends = np.searchsorted(bucket_of(v, buckets), np.arange(buckets + 1))
-    out = []
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned integers, compressed byte plane by byte plane."""
+    press, head, out = zstandard.ZstdCompressor(level=1), [], []
+    for x in arrays:
+        x = x.astype(f"<u{max(1, -(-int(x.max(initial=0)).bit_length() // 8))}" if x.max(initial=0) < 1 << 16 else "<u4" if x.max() < 1 << 32 else "<u8")
+        body = press.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+        head += [len(x), x.itemsize, len(body)]
+        out.append(body)
+    return np.array(head, "<u4").tobytes() + b"".join(out)
+
+
+def _unsqueeze(blob: bytes, n: int) -> list[np.ndarray]:
+    """The n arrays of _squeeze."""
+    head, at, out, press = np.frombuffer(blob, "<u4", 3 * n).reshape(n, 3).tolist(), 12 * n, [], zstandard.ZstdDecompressor()
+    for length, width, size in head:
+        raw = press.decompress(blob[at : at + size], max_output_size=length * width) if length else b""
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, length).T).view(f"<u{width}")[:, 0] if length else np.zeros(0, np.uint8))
+        at += size
+    return out
+
+
+def _triple_blocks(v: np.ndarray, w: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """The triples of a sequence, distinct and counted, as one blob a bucket of the middle word: the words, contexts
+    (v, u) and words by number, sizes of contexts, counts."""
+    names, code = np.unique(np.concatenate([v, w]), return_inverse=True)
+    if len(names) >> NUMBER:
+        if half := int(np.searchsorted(np.flatnonzero(v == BEGIN), len(v) // 2)):
+            # texts stay whole: cut at the one that begins nearest after the middle
+            cut = np.append(np.flatnonzero(v == BEGIN), len(v))[half]
+            if 0 < cut < len(v):
+                yield from _triple_blocks(v[:cut], w[:cut], buckets)
+                yield from _triple_blocks(v[cut:], w[cut:], buckets)
+                return
+    cv, cw = code[: len(v)].astype(np.uint64), code[len(v) :].astype(np.uint64)
+    first = np.uint64(np.searchsorted(names, BEGIN))
+    cu = np.where(cv == first, first, np.concatenate([[first], cv[:-1]]).astype(np.uint64))
+    shift, low = np.uint64(NUMBER), np.uint64((1 << NUMBER) - 1)
+    if len(names) >> NUMBER:  # one text of so many words: too wide for one number
+        order = np.lexsort((cw, cu, cv))
+        cv, cu, cw = cv[order], cu[order], cw[order]
+        at = _runs(cv, cu, cw)
+        c = np.diff(np.append(at, len(cv)))
+        cv, cu, cw = cv[at], cu[at], cw[at]
+    else:
+        key, c = np.unique(cv << (shift + shift) | cu << shift | cw, return_counts=True)
+        cv, cu, cw = key >> (shift + shift), key >> shift & low, key & low
+    ends = np.searchsorted(bucket_of(names[cv], buckets), np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(ends)):
         s = slice(ends[b], ends[b + 1])
-        first = _runs(v[s], u[s])
-        names, back = np.unique(np.concatenate([v[s][first], u[s][first], w[s]]), return_inverse=True)
-        size = np.diff(np.append(first, ends[b + 1] - ends[b]))
-        head = np.array([len(names), len(first), ends[b + 1] - ends[b]], "<u8")
-        code = back.astype("<u2" if len(names) <= 1 << 16 else "<u4")
-        out.append((int(b), b"".join([head.tobytes(), names.tobytes(), code.tobytes(), _short(size), _short(c[s])])))
-    return pd.DataFrame(out, columns=["bucket", "blob"])
+        at = _runs(cv[s], cu[s])
+        size = np.diff(np.append(at, ends[b + 1] - ends[b]))
+        some, back = np.unique(np.concatenate([cv[s][at], cu[s][at], cw[s]]), return_inverse=True)
+        yield int(b), _squeeze(names[some], back[: len(at)], back[len(at) : 2 * len(at)], back[2 * len(at) :], size, c[s])
 
 
 def _untriple(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    names, nv, n = (int(x) for x in np.frombuffer(blob, "<u8", 3))
-    kind = np.dtype("<u2" if names <= 1 << 16 else "<u4")
-    name = np.frombuffer(blob, "<u8", names, 24)
-    at = 24 + 8 * names
-    x = name[np.frombuffer(blob, kind, 2 * nv + n, at)]
-    at += kind.itemsize * (2 * nv + n)
-    size = _long(memoryview(blob)[at:], nv)
-    at += nv + 8 * int((size >= 255).sum())
-    return np.repeat(x[:nv], size), np.repeat(x[nv : 2 * nv], size), x[2 * nv :], _long(memoryview(blob)[at:], n)
+    names, v, u, w, size, c = _unsqueeze(blob, 6)
+    names, size = names.astype(np.uint64), size.astype(np.int64)
+    return np.repeat(names[v], size), np.repeat(names[u], size), names[w], c.astype(np.int64)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -155,7 +199,7 @@ STATS = ("types", "tokens", "vocabulary", "docs", "n1", "n2", "n3", "n4")
 class Model:
     """The mapped arrays, and what is known of the whole corpus. stats, follow_stats and, at order three, triple_stats: as STATS."""
 
-    def __init__(self, folders: dict[str, str], buckets: int, stats: list[int], follow_stats: list[int], triple_stats: list[int] | None = None):
+    def __init__(self, folders: dict[str, str], buckets: int, stats: list[int], follow_stats: list[int], triple_stats: list[int] | None = None, pruned: bool = False):
         dtypes = {"pairs": ["u8", "u1"], "big": ["u8", "u8"], "contexts": ["u8", "u8", "u4", "u4", "u4"], "follows": ["u8", "u8"]}
         if triple_stats:
             dtypes |= {"triples": ["u8", "u1"], "big3": ["u8", "u8"], "contexts3": ["u8", "u1"], "rich3": dtypes["contexts"], "words": ["u8", "u8"]}
@@ -165,6 +209,8 @@ class Model:
         self.d3 = None
         if triple_stats:
             self.n, self.d3 = triple_stats[1], discounts(triple_stats[4:])
+            # what a triple that occurs once leaves to the lower order
+            self.once = 1.0 if pruned else self.d3[1]
         f = dict(zip(STATS, follow_stats, strict=True))
         self.d1 = discounts([f["n1"], f["n2"], f["n3"], f["n4"]])
         kinds = np.array([f["n1"], f["n2"], f["types"] - f["n1"] - f["n2"]])
@@ -190,7 +236,7 @@ class Model:
             all3 = m1 + 2 * m2
             if (rich := code == 255).any():
                 all3[rich], m1[rich], m2[rich], m3[rich] = self.index["rich3"].lookup(known[rich], where[rich])[1]
-            spare = np.where(all3 > 0, (self.d3[1] * m1 + self.d3[2] * m2 + self.d3[3] * m3) / np.maximum(all3, 1), 1.0)
+            spare = np.where(all3 > 0, (self.once * m1 + self.d3[2] * m2 + self.d3[3] * m3) / np.maximum(all3, 1), 1.0)
             c = self._counts(v, h, w, "triples", "big3")
             p = np.maximum(c - self.d3[np.minimum(c, 3)], 0) / np.maximum(all3[which], 1) + spare[which] * p
             total = self.index["words"].lookup(names)[1][0].astype(np.float64)
@@ -209,13 +255,14 @@ class Model:
         return c[which]
 
 
-def fit(texts: DataFrame, order: int = 2) -> Model:
-    """A model of the text column of all rows, of order two or three."""
+def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
+    """A model of the text column of all rows, of order two or three; pruned: without triples that occur once."""
     if order not in (2, 3):
         raise ValueError(f"order {order}: two or three")
     degree = order
     spark = texts.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     folders = {k: new_folder(spark, f"lm-{k}") for k in ("pairs", "big", "contexts", "follows", "triples", "big3", "contexts3", "rich3", "words")}
 
     def count(batches):
@@ -232,16 +279,13 @@ def fit(texts: DataFrame, order: int = 2) -> Model:
 
     def flush(held):
         v, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        u = np.concatenate([before(x) for x, _ in held]) if degree == 3 else None
         held.clear()
-        order = np.lexsort((w, v) if u is None else (w, u, v))
+        if degree == 3:
+            return pd.DataFrame(_triple_blocks(v, w, buckets), columns=["bucket", "blob"])
+        order = np.lexsort((w, v))
         v, w = v[order], w[order]
-        if u is None:
-            first = _runs(v, w)
-            return _blocks(v[first], w[first], np.diff(np.append(first, len(v))), buckets)
-        u = u[order]
-        first = _runs(v, u, w)
-        return _triple_blocks(v[first], u[first], w[first], np.diff(np.append(first, len(v))), buckets)
+        first = _runs(v, w)
+        return _blocks(v[first], w[first], np.diff(np.append(first, len(v))), buckets)
 
     def ones(c: np.ndarray) -> list[int]:
         return [int((c == i).sum()) for i in range(1, 5)]
@@ -269,10 +313,13 @@ def fit(texts: DataFrame, order: int = 2) -> Model:
         write_bucket(folders["words"], b, [v[at], np.add.reduceat(c, at).astype("<u8")])
         inner = v != BEGIN
         if inner.any():
-            h = pair_key(u[inner], v[inner])
-            write_counts(b, pair_key(h, w[inner]), c[inner], "triples", "big3")
-            context = contexts_of(h, c[inner])
+            h, c3 = pair_key(u[inner], v[inner]), c[inner]
+            some = c3 > 1 if pruned else np.ones(len(c3), bool)
+            write_counts(b, pair_key(h[some], w[inner][some]), c3[some], "triples", "big3")
+            context = contexts_of(h, c3)
             order = np.argsort(context[0])
+            if pruned:  # contexts of pruned triples alone leave all to the lower order, as unknown ones do
+                order = order[(context[3] + context[4])[order] > 0]
             key, total, m1, m2, m3 = context = [x[order] for x in context]
             # few words, each once or twice, are the usual case: one byte
             plain = (m3 == 0) & (m1 < 17) & (m2 < 15)
@@ -337,13 +384,13 @@ def fit(texts: DataFrame, order: int = 2) -> Model:
         sums[r.level] += np.frombuffer(r.stats, "<u8").astype(np.int64)
     whole = sums[2]
     whole[2] += whole[3] > 0
-    return Model(folders, buckets, whole.tolist(), sums[1].tolist(), sums[3].tolist() if degree == 3 else None)
+    return Model(folders, buckets, whole.tolist(), sums[1].tolist(), sums[3].tolist() if degree == 3 else None, pruned)
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = 2, pruned: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held_out, F.lit(False))
-    model = fit(docs.where(~fold), order)
+    model = fit(docs.where(~fold), order, pruned)
 
     @F.pandas_udf("struct<n_tokens:long,n_known:long,base_score:double,score:double>")
     def score(texts: pd.Series) -> pd.DataFrame:

@@ -35,7 +35,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(_table(spark, sf_dir, "documents"), order=3)
+    return score_texts(_table(spark, sf_dir, "documents"), order=3, pruned=True)
 
 
 def op5_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
