@@ -1,9 +1,14 @@
 import json
+import sqlite3
+import sys
+import warnings
+from dataclasses import replace
 
 import pytest
-from examples import TARGET, make_shop
+from examples import COLLECTION, make_herbarium
+from pyspark.sql import functions as F
 
-from waymark.operators import graph, match
+from waymark.operators import checks, graph, match
 from waymark.operators.profile import profile, profile_catalog, sample_values
 from waymark.plans import cli, report
 from waymark.plans.narrative import OfflineSynthesizer, Synthesis, get_synthesizer, synthesize_safely
@@ -13,34 +18,18 @@ from waymark.sources.reflect import connect
 
 
 @pytest.fixture(scope="module")
-def shop(tmp_path_factory, spark):
-    folder = tmp_path_factory.mktemp("shop")
-    (folder / "target.yaml").write_text(TARGET)
-    url = make_shop(folder / "shop.db")
-    source, read = connect(spark, url)
-    profiles, source = profile_catalog(spark, source, read)
-    return {"folder": folder, "url": url, "source": source, "profiles": profiles, "read": read, "target": load_spec(folder / "target.yaml")}
+def herbarium(tmp_path_factory, spark):
+    folder = tmp_path_factory.mktemp("herbarium")
+    (folder / "collection.yaml").write_text(COLLECTION)
+    url = make_herbarium(folder / "herbarium.db")
+    source, read = connect(spark, url, partitions=3)
+    profiles, source, samples = profile_catalog(spark, source, read, sample_size=2)
+    return {"folder": folder, "url": url, "source": source, "profiles": profiles, "samples": samples, "read": read, "target": load_spec(folder / "collection.yaml")}
 
 
 @pytest.fixture(scope="module")
-def plan(spark, shop):
-    return build_plan(spark, shop["source"], shop["target"], shop["profiles"], offline=True)
-
-
-def test_reflection(shop):
-    s = shop["source"]
-    assert s.dialect == "sqlite" and s.names == ["customers", "legacy_notes", "products", "orders", "order_items"]
-    assert {r[1]: r[2] for r in s.table_rows}["legacy_notes"] == []
-    assert [(r[1], r[3], r[4], r[5]) for r in s.fk_rows] == [("orders", ["customer_id"], "customers", ["id"]), ("order_items", ["product_id"], "products", ["id"]), ("order_items", ["order_id"], "orders", ["id"])]
-    assert s.index_rows == [("orders", 0, "order_status", ["status"], False)]
-    assert {r[1]: r[3] for r in s.table_rows} == {"customers": 3, "legacy_notes": 1, "products": 2, "orders": 2, "order_items": 3}
-
-
-def test_profiles(shop):
-    p = {(r.table, r.column): r for r in shop["profiles"].collect()}
-    e = p["customers", "email"]
-    assert (e.row_count, e.null_count, e.distinct_count, e.min_value, e.max_value) == (3, 1, 2, "ann@example.com", "cid@example.com")
-    assert e.null_ratio == pytest.approx(1 / 3) and p["products", "price"].min_value == "1.5"
+def plan(spark, herbarium):
+    return build_plan(spark, herbarium["source"], herbarium["target"], herbarium["profiles"], offline=True, samples=herbarium["samples"])
 
 
 def test_profile_edges(spark):
@@ -55,60 +44,156 @@ def test_profile_edges(spark):
     assert {r.value for r in sample_values(df, "t", 5).collect()} == {"1e-05", "10000000.0", "True"}
 
 
-def test_plan_of_the_shop(plan):
-    assert plan.migration_order == ["customers", "legacy_notes", "products", "orders", "order_items"] and plan.cyclic_dependencies == []
-    assert [(t["source_table"], t["target_table"]) for t in plan.table_mappings] == [("orders", "orders"), ("order_items", "order_items"), ("customers", "crm_customers"), ("products", "products_v2"), ("legacy_notes", None)]
+def test_reflection(herbarium):
+    s = herbarium["source"]
+    # parentless tables by name, then those in or behind the cycle
+    assert s.dialect == "sqlite" and s.names == ["card_index", "collectors", "taxa", "cabinets", "loans", "sheets"]
+    keys = {(r[1], r[4]): (r[3], r[5]) for r in s.fk_rows}
+    assert keys["sheets", "taxa"] == (["taxon_no"], ["taxon_no"])  # REFERENCES taxa, without a column
+    assert keys["cabinets", "sheets"] == (["newest_sheet"], ["barcode"]) and len(keys) == 5
+    assert s.index_rows == [("taxa", 0, "one_name", ["genus", "epithet"], True)]
+    assert {r[1]: (r[2], r[3]) for r in s.table_rows}["card_index"] == ([], 2) and {r[1]: r[3] for r in s.table_rows}["taxa"] == 5
+
+
+def test_sqlite_ranges(spark, herbarium, tmp_path):
+    taxa = herbarium["read"]("taxa")
+    assert sorted(r.taxon_no for r in taxa.collect()) == [1, 2, 5, 9, 12] and taxa.rdd.getNumPartitions() == 3
+    assert herbarium["read"]("nowhere") is None
+    with sqlite3.connect(tmp_path / "x.db") as db:
+        db.executescript("CREATE TABLE plain (a TEXT PRIMARY KEY, b NUMERIC) WITHOUT ROWID; INSERT INTO plain VALUES ('x', 1.5), ('y', NULL); CREATE TABLE none (a INTEGER)")
+    _, read = connect(spark, f"sqlite:///{tmp_path}/x.db", partitions=4)
+    assert sorted(tuple(r) for r in read("plain").collect()) == [("x", 1.5), ("y", None)] and read("none").count() == 0
+    with pytest.raises(sqlite3.OperationalError):
+        connect(spark, f"sqlite:///{tmp_path}/missing.db")
+    assert not (tmp_path / "missing.db").exists()
+
+
+def test_profiles(herbarium):
+    p = {(r.table, r.column): r for r in herbarium["profiles"].collect()}
+    g = p["taxa", "genus"]
+    assert (g.row_count, g.null_count, g.distinct_count, g.min_value, g.max_value, g.null_ratio) == (5, 0, 4, "Briza", "Stipa", 0.0)
+    assert p["taxa", "authority"].null_ratio == 0.8 and p["sheets", "altitude"].max_value == "410.5"
+    values = [r for r in herbarium["samples"].collect() if (r.table, r.column) == ("taxa", "authority")]
+    assert [(r.pos, r.value) for r in values] == [(0, "L.")]
+
+
+def test_columns_that_fail(spark):
+    @F.udf("long")
+    def broken(x):
+        raise ValueError("unreadable")
+
+    whole = spark.range(4).withColumn("b", F.lit("v"))
+    source = from_spec({"tables": {"t": {"columns": [{"name": c, "type": "INT"} for c in ("id", "bad", "b", "gone")]}, "lost": {"columns": []}, "locked": {"columns": []}}})
+
+    def read(table):
+        if table == "locked":
+            raise OSError
+        return whole.select("id", broken("id").alias("bad"), "b") if table == "t" else None
+
+    profiles, counted, samples = profile_catalog(spark, source, read)
+    rows = {r.column: r for r in profiles.collect()}
+    assert set(rows) == {"id", "b"} and (rows["b"].col_ord, rows["b"].distinct_count, rows["id"].max_value) == (2, 1, "3")
+    assert [r[3] for r in counted.table_rows] == [4, None, None] and {r.column for r in samples.collect()} == {"id", "b"}
+
+
+def test_plan_of_the_herbarium(plan):
+    assert plan.migration_order == ["card_index", "collectors", "taxa"] and plan.cyclic_dependencies == [["cabinets", "loans", "sheets"]]
+    assert [(t["source_table"], t["target_table"]) for t in plan.table_mappings] == [("taxa", "taxa"), ("cabinets", "cabinets"), ("loans", "loans"), ("collectors", "herb_collectors"), ("sheets", "sheet"), ("card_index", None)]
     got = {(c["source_table"], c["source_column"]): c for t in plan.table_mappings for c in t["column_mappings"] if c["source_column"]}
-    assert sum(len(t["column_mappings"]) for t in plan.table_mappings) == 25
-    assert [got[k]["confidence"] for k in (("customers", "full_name"), ("orders", "total_amount"), ("products", "description"), ("orders", "status"))] == [0.941, 0.8, 0.733, 1.0]
-    assert got["orders", "id"]["transformation"] == "CAST(id AS BIGINT)" and got["orders", "status"]["transformation"] is None
-    assert got["products", "price"]["transformation"] is None and got["customers", "created_at"]["transformation"] == "CAST(created_at AS TIMESTAMP WITH TIME ZONE)"
-    assert [(r["id"], r["severity"], r["category"], r["affected_objects"]) for r in plan.risks] == [
-        ("R001", "high", "schema", ["legacy_notes"]),
-        ("R002", "high", "data_quality", ["order_items.unit_price"]),
-        ("R003", "medium", "mapping", ["customers.notes"]),
-        ("R004", "medium", "mapping", ["crm_customers.loyalty_tier"]),
-        ("R005", "high", "data_quality", ["customers.email"]),
-        ("R006", "medium", "compliance", ["customers.email"]),
-        ("R007", "medium", "compliance", ["customers.phone"]),
-        ("R008", "critical", "mapping", ["legacy_notes"]),
-        ("R009", "low", "mapping", ["audit_log"]),
+    assert [got[k]["confidence"] for k in (("sheets", "gathered"), ("taxa", "authority"), ("collectors", "surname"), ("card_index", "drawer"))] == [0.842, 0.8, 1.0, 0.0]
+    assert got["loans", "loan_no"]["transformation"] == "CAST(loan_no AS BIGINT)" and got["sheets", "cabinet"]["transformation"] is None
+    assert got["sheets", "gathered"]["notes"] == "Target type 'DATETIME' is not the expected 'DATE'."
+    by_table = {t["source_table"]: t for t in plan.table_mappings}
+    assert by_table["collectors"]["unmatched_source_columns"] == ["field_remarks"] and by_table["taxa"]["unmatched_target_columns"] == ["red_listed"]
+    assert [(r["severity"], r["category"], r["affected_objects"]) for r in plan.risks] == [
+        ("high", "schema", ["card_index"]),
+        ("high", "dependency", ["cabinets", "loans", "sheets"]),
+        ("medium", "mapping", ["taxa.red_listed"]),
+        ("high", "data_quality", ["taxa.epithet"]),
+        ("medium", "compliance", ["loans.borrower_email"]),
+        ("medium", "mapping", ["collectors.field_remarks"]),
+        ("medium", "compliance", ["collectors.home_address"]),
+        ("high", "data_quality", ["sheets.altitude"]),
+        ("critical", "mapping", ["card_index"]),
+        ("low", "mapping", ["exhibits"]),
+        ("high", "data_quality", ["taxa.authority"]),
     ]
-    assert len(plan.validation_plan) == 21
-    assert [c["name"] for c in plan.validation_plan[:5]] == ["row_count::orders", "null_parity::orders", "checksum::orders", "sample_diff::orders", "row_count::order_items"]
-    assert plan.validation_plan[1]["source_query"].startswith("SELECT SUM(CASE WHEN id IS NULL THEN 1 ELSE 0 END) AS id_nulls, ")
-    assert [c["name"] for c in plan.validation_plan[16:]] == ["referential_integrity::orders", "referential_integrity::order_items", "business_rule::R002", "business_rule::R005", "business_rule::R008"]
-    tables = ["crm_customers", "products_v2", "orders", "order_items"]
-    assert [p["tables"] for p in plan.execution_phases] == [[], tables, tables[:1], tables, tables, []]
+    assert [r["id"] for r in plan.risks] == [f"R{i:03d}" for i in range(1, 12)]
+    names = [c["name"] for c in plan.validation_plan]
+    assert len(names) == 27 and names[4:8] == [f"{k}::cabinets" for k in ("row_count", "null_parity", "checksum", "sample_diff")]
+    assert names[20:] == ["referential_integrity::cabinets", "referential_integrity::loans", "referential_integrity::sheets", "business_rule::R004", "business_rule::R008", "business_rule::R009", "business_rule::R011"]
+    assert plan.validation_plan[5]["source_query"].endswith(" FROM cabinets;") and plan.validation_plan[5]["source_query"].count("CASE WHEN") == 3
+    assert [p["tables"] for p in plan.execution_phases] == [[], ["herb_collectors", "taxa"], ["herb_collectors"], ["herb_collectors", "taxa"], ["herb_collectors", "taxa"], []]
+    assert any("within cycles" in t for t in plan.execution_phases[3]["tasks"])
+    assert "1 critical and 5 high" in plan.architecture_summary and "cabinets, loans, sheets" in plan.architecture_summary
 
 
 def test_reports(plan, tmp_path):
     text = report.to_markdown(plan)
     for head in ("# Data Migration Plan", "## Executive Summary", "## Migration Order (Dependency-Resolved)", "## Table & Column Mappings", "## Risks", "## Validation Plan", "## Execution Phases", "## Notes"):
         assert head in text.splitlines()
-    assert "### Circular" not in text and "### `legacy_notes` -> **(no target table found)**" in text and "| R008 | CRITICAL |" in text
+    assert "### Circular Dependencies (excluded from ordering above)" in text and "- `cabinets`, `loans`, `sheets`" in text
+    assert "### `card_index` -> **(no target table found)**" in text and "| R009 | CRITICAL |" in text
     data = json.loads(report.to_json(plan))
-    assert data["risks"][0]["id"] == "R001" and data["generated_at"].startswith("20")
+    assert data["generated_at"].startswith("20")
+    shown = {(p["table"], p["column"]): p for p in data["column_profiles"]}
+    assert shown["taxa", "authority"]["sample_values"] == ["L."] and len(shown["taxa", "genus"]["sample_values"]) == 2 and shown["taxa", "genus"]["distinct_count"] == 4
     assert [f.name for f in report.write(plan, tmp_path / "a" / "b")] == ["migration_plan.md", "migration_plan.json"]
     severities = [r["severity"] for r in plan.risks_by_severity()]
     assert severities == sorted(severities, key=["critical", "high", "medium", "low"].index)
-
-
-def test_command_line(spark, shop, capsys, tmp_path):
-    args = cli.parser().parse_args(["plan", "--source-url", shop["url"], "--target-schema", str(shop["folder"] / "target.yaml"), "--output-dir", str(tmp_path), "--no-profile", "--offline"])
-    assert cli.run_plan(args, spark) == 0
-    assert "5 table(s) analyzed, 9 risk(s) found, 21 validation check(s) generated." in capsys.readouterr().out
+    many = replace(plan, execution_phases=[plan.execution_phases[1] | {"tables": [f"t{i}" for i in range(23)]}], cyclic_dependencies=[])
+    assert "`t19` (+3 more)" in report.to_markdown(many) and "### Circular" not in report.to_markdown(many)
+
+
+def test_command_line(spark, herbarium, capsys, tmp_path):
+    args = ["plan", "--source-url", herbarium["url"], "--target-schema", str(herbarium["folder"] / "collection.yaml"), "--output-dir", str(tmp_path), "--offline"]
+    assert cli.run_plan(cli.parser().parse_args([*args, "--no-profile"]), spark) == 0
+    assert "Source tables: 6. Risks: 10. Checks to run: 26." in capsys.readouterr().out
+    assert json.loads((tmp_path / "migration_plan.json").read_text())["column_profiles"] == []
+    assert cli.run_plan(cli.parser().parse_args([*args, "--sample-size", "1"]), spark) == 0
+    shown = json.loads((tmp_path / "migration_plan.json").read_text())["column_profiles"]
+    assert max(len(p["sample_values"]) for p in shown) == 1
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["plan", "--source-url", "x"])
 
 
+def test_hashes_tell_rows_apart(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k int, a string, b string")
+    pairs, key = [("a", "a"), ("b", "b")], [("k", "k")]
+
+    def diff(x, y):
+        return sorted((tuple(r) for r in checks.checksum_diff(frame(x), frame(y), key, pairs).collect()), key=repr)
+
+    assert diff([(1, "x|=y", "z")], [(1, "x", "y|=z")]) == [(1, "different")]
+    assert diff([(1, "1:a", None)], [(1, "1", "a~")]) == [(1, "different")] and diff([(1, None, "~")], [(1, "~", None)]) == [(1, "different")]
+    assert diff([(None, "x", "y")], [(None, "x", "y")]) == []
+    assert diff([(None, "x", "y"), (2, "a", "b")], [(3, "a", "b")]) == [(2, "missing"), (3, "extra"), (None, "missing")]
+    assert diff([(1, "x", "y")] * 2, [(1, "x", "y")]) == [(1, "different")] and diff([(1, "x", "y"), (1, "u", "v")], [(1, "u", "v"), (1, "x", "y")]) == []
+    digest = lambda rows: tuple(checks.table_digest(frame(rows), ["a", "b"]).first())
+    assert digest([(1, "a", "a")] * 2) != digest([(1, "b", "b")] * 2) and digest([(1, "a", "b"), (2, "c", None)]) == digest([(3, "c", None), (4, "a", "b")])
+    assert digest([]) == (0, "0")
+    assert checks.sample_diff(frame([(None, "x", "y")]), frame([]), key, pairs, 100).count() == 1
+
+
+def test_entry_without_the_optional_part(monkeypatch):
+    import __spark_entry__ as entry
+
+    for name in [m for m in sys.modules if m.startswith(("waymark.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "tiktoken", None)  # as if it weren't installed
+    with warnings.catch_warnings(record=True) as seen:
+        warnings.simplefilter("always")
+        assert "profile_orders" in entry.queries() and "op3_byte_bpe" not in entry.queries()
+    assert seen
+
+
 def test_narrative():
     class Bad:
         def synthesize(self, context):
             raise ValueError("no")
 
     out = synthesize_safely(Bad(), {"cyclic_dependencies": [["a", "b"]], "risk_counts": {"high": 2}})
-    assert "ValueError: no" in out.notes[-1] and "1 group(s)" in out.architecture_summary and "2 high" in out.architecture_summary
+    assert "ValueError: no" in out.notes[-1] and "1 group(s): a, b" in out.architecture_summary and "2 high" in out.architecture_summary
 
     def broken():
         raise OSError
@@ -165,6 +250,12 @@ def test_jdbc_and_parquet(spark, tmp_path):
     assert cat.dialect == "derby" and cat.names == ["P", "C"] and cat.fk_rows[0][3:] == (["P_ID"], "P", ["ID"])
     assert [r[4] for r in cat.column_rows] == ["INTEGER", "VARCHAR(20)", "INTEGER", "INTEGER", "DECIMAL(8, 2)"]
     assert read("P").collect()[0].NAME == "x" and read("missing") is None
+    con = spark._jvm.java.sql.DriverManager.getConnection("jdbc:derby:memory:shop")
+    st = con.createStatement()
+    st.execute("INSERT INTO P VALUES " + ", ".join(f"({i}, 'n{i}')" for i in range(2, 41)))
+    con.close()
+    parts = connect(spark, "jdbc:derby:memory:shop", partitions=3)[1]("P")
+    assert parts.rdd.getNumPartitions() == 3 and sorted(r.ID for r in parts.collect()) == list(range(1, 41))
     spark.range(3).write.parquet(f"{tmp_path}/n.parquet")
     cat, read = connect(spark, f"parquet:{tmp_path}")
     assert cat.names == ["n"] and read("n").count() == 3

@@ -52,6 +52,7 @@ NAMES = {
 }
 ALIASES = {"postgres": "postgresql", "mariadb": "mysql"}
 
+# Fixed value: what counts as a type with arguments, a word or words and one pair of brackets at the end.
 _SIZED = r"^([A-Z0-9_ ]+?)\s*\(([^)]*)\)\s*$"
 _BLANK = r"^\s+|\s+$"
 

@@ -64,35 +64,49 @@ def null_parity(source: DataFrame, target: DataFrame, pairs: list[tuple[str, str
 
 
 def row_hash(columns: list[str]) -> Column:
-    """md5 over the values as text, nulls told from empty texts."""
-    return F.md5(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~")) for c in columns)))
+    """md5 over the values as text, each with its length before it, so that no two rows have one text; ~ is a null."""
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    return F.md5(F.concat(*(F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("~")) for c in columns)))
+
+
+def _number(h: Column) -> Column:
+    """The first 60 bits of an md5 in hexadecimal digits, as a number that can be summed."""
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(38,0)")
 
 
 def _sides(source: DataFrame, target: DataFrame, keys: list[tuple[str, str]], pairs: list[tuple[str, str]]) -> DataFrame:
+    """A row for each key on either side, nulls being keys like others: how many rows have it, and the sum of their hashes."""
     ks = [f"key{i}" for i in range(len(keys))]
-    part = lambda df, side, h: df.select(*(F.col(f"`{k[side]}`").alias(n) for k, n in zip(keys, ks, strict=True)), row_hash([p[side] for p in pairs]).alias(h))
-    a, b = part(source, 0, "source_hash"), part(target, 1, "target_hash")
-    return a.join(b, ks, "full_outer")
+
+    def part(df: DataFrame, side: int, name: str) -> DataFrame:
+        named = df.select(*(F.col(f"`{k[side]}`").alias(f"{name}_{n}") for k, n in zip(keys, ks, strict=True)), _number(row_hash([p[side] for p in pairs])).alias("h"))
+        return named.groupBy(*(f"{name}_{n}" for n in ks)).agg(F.count(F.lit(1)).alias(f"{name}_rows"), F.sum("h").alias(f"{name}_sum"))
+
+    on = reduce(lambda x, y: x & y, (F.col(f"source_{n}").eqNullSafe(F.col(f"target_{n}")) for n in ks))
+    both = part(source, 0, "source").join(part(target, 1, "target"), on, "full_outer")
+    key = lambda n: F.when(F.col("source_rows").isNull(), F.col(f"target_{n}")).otherwise(F.col(f"source_{n}"))
+    return both.select(*(key(n).alias(n) for n in ks), "source_rows", "source_sum", "target_rows", "target_sum")
 
 
 def checksum_diff(source: DataFrame, target: DataFrame, keys: list[tuple[str, str]], pairs: list[tuple[str, str]]) -> DataFrame:
-    """(key0, ..., status) of keys whose rows differ, are missing or are extra in the target."""
-    joined = _sides(source, target, keys, pairs)
-    status = F.when(F.col("target_hash").isNull(), "missing").when(F.col("source_hash").isNull(), "extra").when(F.col("source_hash") != F.col("target_hash"), "different")
-    return joined.withColumn("status", status).where("status is not null").drop("source_hash", "target_hash")
+    """(key0, ..., status), one row for each key whose rows differ, are missing or are extra in the target.
+
+    Null keys are compared like others. Where rows share a key, their number and the sum of their hashes are compared."""
+    same = (F.col("source_rows") == F.col("target_rows")) & (F.col("source_sum") == F.col("target_sum"))
+    status = F.when(F.col("target_rows").isNull(), "missing").when(F.col("source_rows").isNull(), "extra").when(~same, "different")
+    joined = _sides(source, target, keys, pairs).withColumn("status", status)
+    return joined.where("status is not null").drop("source_rows", "source_sum", "target_rows", "target_sum")
 
 
 def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(rows, digest): a digest of all rows in no order; equal rows count as often as they occur, by the row count."""
-    part = F.conv(F.substring(row_hash(columns), 1, 15), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(part).alias("digest"))
+    """(rows, digest): the sum of all rows' hashes as text, in no order; equal rows count as often as they occur."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_number(row_hash(columns))), F.lit(0)).cast("string").alias("digest"))
 
 
 def sample_diff(source: DataFrame, target: DataFrame, keys: list[tuple[str, str]], pairs: list[tuple[str, str]], percent: int = 10) -> DataFrame:
-    """checksum_diff of the keys whose md5 falls in the first percent of a hundred: the same keys on either side."""
+    """checksum_diff of the keys whose hash falls in the first percent of a hundred: the same keys on either side."""
     def some(df: DataFrame, side: int) -> DataFrame:
-        h = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(f"`{k[side]}`").cast("string") for k in keys))), 1, 8), 16, 10).cast("long")
-        return df.where(F.pmod(h, F.lit(100)) < percent)
+        return df.where(F.pmod(_number(row_hash([k[side] for k in keys])), F.lit(100)) < percent)
 
     return checksum_diff(some(source, 0), some(target, 1), keys, pairs)
 

@@ -13,6 +13,7 @@ from ..sources.catalog import Catalog, local_frame
 
 MAX_DISTINCT_ROWS = 2_000_000
 SAMPLE_SIZE = 5
+SAMPLES = "table string, column string, pos int, value string"
 SCHEMA = "table string, column string, col_ord int, row_count long, null_count long, distinct_count long, min_value string, max_value string, null_ratio double"
 _BOUNDED = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -80,22 +81,55 @@ def sample_values(df: DataFrame, table: str, n: int = SAMPLE_SIZE, smallest: boo
         got = c.agg(F.collect_list("v").alias("_")).select(F.posexplode("_")) if not smallest else c.select(values)
         parts.append(got.select(F.lit(table).alias("table"), F.lit(f.name).alias("column"), F.col("pos").cast("int").alias("pos"), as_text(F.col("col"), f.dataType).alias("value")))
     if not parts:
-        return local_frame(df.sparkSession, [], "table string, column string, pos int, value string")
+        return local_frame(df.sparkSession, [], SAMPLES)
     return reduce(DataFrame.union, parts)
 
 
-def profile_catalog(spark: SparkSession, catalog: Catalog, read, max_distinct_rows: int = MAX_DISTINCT_ROWS) -> tuple[DataFrame, Catalog]:
-    """(profiles of all of the catalog's columns that can be read, the catalog with row counts). read: name to
-    DataFrame or None; tables that can't be read, and columns that aren't there, are passed over."""
-    rows, counts = [], {}
+def _best_effort(df: DataFrame, table: str, max_distinct_rows: int, sample_size: int) -> tuple[list, list]:
+    """(profile rows, sample rows) of a table's columns. If a column's values can't be counted or read, the others are
+    profiled all the same; such a column has its row and null counts, if those can be had, and nothing else."""
+    names = [f"`{c}`" for c in df.columns]
+    try:
+        found = profile(df.select(*names), table, max_distinct_rows).collect() if names else []
+        seen = sample_values(df.select(*names), table, sample_size).collect()
+        return [tuple(r) for r in found], [tuple(r) for r in seen]
+    except Exception as whole:
+        if len(names) < 2:
+            try:
+                n, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(names[0]).isNull())).first()
+            except Exception:
+                raise whole from None
+            return [(table, df.columns[0], 0, n, nulls, None, None, None, nulls / n if n else 0.0)], []
+    rows, samples = [], []
+    for i, name in enumerate(names):
+        try:
+            one, some = _best_effort(df.select(name), table, max_distinct_rows, sample_size)
+        except Exception:
+            continue
+        rows += [(*r[:2], i, *r[3:]) for r in one]
+        samples += some
+    return rows, samples
+
+
+def profile_catalog(spark: SparkSession, catalog: Catalog, read, max_distinct_rows: int = MAX_DISTINCT_ROWS, sample_size: int = SAMPLE_SIZE) -> tuple[DataFrame, Catalog, DataFrame]:
+    """(profiles of all of the catalog's columns that can be read, the catalog with row counts, sample values). read: name to
+    DataFrame or None; tables that can't be read, and columns that aren't there or fail, are passed over."""
+    rows, samples, counts = [], [], {}
     for o, t, _, _ in catalog.table_rows:
-        df = read(t)
+        try:
+            df = read(t)
+        except Exception:
+            continue
         if df is None:
             continue
         mine = [c[3] for c in catalog.column_rows if c[0] == o and c[3] in df.columns]
-        for r in profile(df.select(*[f"`{c}`" for c in mine]), t, max_distinct_rows).collect():
-            counts[t] = r.row_count
-            rows.append(tuple(r))
-        if t not in counts:
-            counts[t] = df.count()
-    return local_frame(spark, rows, SCHEMA), catalog.with_row_counts(counts)
+        found, some = _best_effort(df.select(*[f"`{c}`" for c in mine]), t, max_distinct_rows, sample_size)
+        rows, samples = rows + found, samples + some
+        if found:
+            counts[t] = found[0][3]
+        else:
+            try:
+                counts[t] = df.count()
+            except Exception:
+                continue
+    return local_frame(spark, rows, SCHEMA), catalog.with_row_counts(counts), local_frame(spark, samples, SAMPLES)

@@ -43,21 +43,23 @@ def percent(ratio: Column) -> Column:
 
 def no_primary_key(tables: DataFrame) -> DataFrame:
     t = F.col("table")
-    return _risk(tables.where(F.size("primary_key") == 0), [0, F.col("table_ord"), 0], "schema", "high", _say("No primary key on table '", t, "'"), "Rows cannot be told apart, so reloads, checksums and row comparisons are unsafe.", F.array(t), "Choose a natural key or add a surrogate one before loading.")
+    text = "The schema declares nothing that identifies a row. A load that breaks off has to start over, and checks can't pair rows of the two sides."
+    return _risk(tables.where(F.size("primary_key") == 0), [0, F.col("table_ord"), 0], "schema", "high", _say("'", t, "' has no key"), text, F.array(t), "Ask who owns it which columns are unique; if none are, number the rows once and keep the numbers.")
 
 
 def large_tables(tables: DataFrame, threshold: int = LARGE_ROWS) -> DataFrame:
     t = F.col("table")
-    return _risk(tables.where(F.col("row_count") > threshold), [0, F.col("table_ord"), 1], "performance", "medium", _say("Large table '", t, "': ", F.format_number("row_count", 0), " rows"), "Copying the table in one go takes long and may lock it.", F.array(t), "Copy it in key ranges, in parallel, in a window of its own.")
+    text = "A single statement over so many rows is slow to fail and slow to repeat."
+    return _risk(tables.where(F.col("row_count") > threshold), [0, F.col("table_ord"), 1], "performance", "medium", _say("'", t, "' has ", F.format_number("row_count", 0), " rows"), text, F.array(t), "Cut it by key into parts, each loaded and checked alone.")
 
 
 def cycles(groups: DataFrame) -> DataFrame:
-    return _risk(groups, [1, F.col("group")], "dependency", "high", _say("Foreign keys form a cycle: ", F.array_join("members", ", ")), "No load order satisfies every foreign key among these tables.", F.col("members"), "Add the constraints after the load and check them then, or load a nullable key in a second pass.")
+    return _risk(groups, [1, F.col("group")], "dependency", "high", _say("References go round: ", F.array_join("members", ", ")), "Whichever of these tables comes first, it refers to rows that aren't there yet.", F.col("members"), "Load them with the keys off, or with empty references that are filled afterwards; then turn the keys on.")
 
 
 def unmapped_tables(maps: DataFrame) -> DataFrame:
     t = F.col("source_table")
-    return _risk(maps.where("target_table is null"), [2, F.col("map_ord"), 0], "mapping", "critical", _say("No target table for '", t, "'"), "The target schema has no place for this table's rows.", F.array(t), "Confirm that the table is retired, or add a target table.")
+    return _risk(maps.where("target_table is null"), [2, F.col("map_ord"), 0], "mapping", "critical", _say("'", t, "' goes nowhere"), "No target table resembles it, so this plan leaves all its rows behind.", F.array(t), "Let its owner say in writing that it ends here, or declare a table for it.")
 
 
 def _listed(columns: DataFrame, side: str, kind: str) -> DataFrame:
@@ -67,16 +69,16 @@ def _listed(columns: DataFrame, side: str, kind: str) -> DataFrame:
 
 
 def unmapped_columns(columns: DataFrame) -> DataFrame:
-    return _risk(_listed(columns, "source", "unmatched_source"), [2, F.col("map_ord"), 1], "mapping", "medium", _say(F.size("objects"), " source column(s) without a target in '", F.col("t"), "'"), "Their values are lost unless they are mapped.", F.col("objects"), "Confirm that each may be dropped, or map it.")
+    return _risk(_listed(columns, "source", "unmatched_source"), [2, F.col("map_ord"), 1], "mapping", "medium", _say("'", F.col("t"), "' loses ", F.size("objects"), " column(s)"), "Nothing in the target takes up these values.", F.col("objects"), "Name a target column for each, or have the loss agreed.")
 
 
 def target_only_columns(columns: DataFrame) -> DataFrame:
-    return _risk(_listed(columns, "target", "unmatched_target"), [2, F.col("map_ord"), 2], "mapping", "medium", _say(F.size("objects"), " target column(s) without a source in '", F.col("t"), "'"), "Something has to fill them: a default, a constant or a rule.", F.col("objects"), "State how each is filled during the load.")
+    return _risk(_listed(columns, "target", "unmatched_target"), [2, F.col("map_ord"), 2], "mapping", "medium", _say("'", F.col("t"), "' gains ", F.size("objects"), " column(s)"), "The source has no values for them.", F.col("objects"), "Decide what the load writes there: a constant, something derived, or nothing.")
 
 
 def truncation(columns: DataFrame) -> DataFrame:
     s, t = _dotted("source_table", "source_column"), _dotted("target_table", "target_column")
-    return _risk(columns.where("narrowing"), [2, F.col("map_ord"), 3, F.col("col_pos") * 2], "data_quality", "high", _say("Values may not fit: ", s, " -> ", t), F.col("notes"), F.array(s), "Widen the target column, or check the longest values before the switch.")
+    return _risk(columns.where("narrowing"), [2, F.col("map_ord"), 3, F.col("col_pos") * 2], "data_quality", "high", _say(s, " is wider than ", t), F.col("notes"), F.array(s), "Look up the longest value in the source; if it is too long, widen the target.")
 
 
 def looks_personal(name: Column) -> Column:
@@ -87,12 +89,12 @@ def looks_personal(name: Column) -> Column:
 def personal_data(columns: DataFrame) -> DataFrame:
     s = _dotted("source_table", "source_column")
     own = columns.where((F.col("target_table") != "(none)") & F.col("source_column").isNotNull() & looks_personal(F.col("source_column")))
-    return _risk(own, [2, F.col("map_ord"), 3, F.col("col_pos") * 2 + 1], "compliance", "medium", _say("Maybe personal data: ", s), "The column's name suggests personal or secret data.", F.array(s), "Mask, encrypt or restrict it as policy asks.")
+    return _risk(own, [2, F.col("map_ord"), 3, F.col("col_pos") * 2 + 1], "compliance", "medium", _say(s, " may identify people"), "So says its name; the values were not looked at.", F.array(s), "Ask data protection whether it may be copied as it is, also into test systems.")
 
 
 def target_only_tables(unmatched: DataFrame) -> DataFrame:
     all_ = unmatched.agg(F.transform(F.sort_array(F.collect_list(F.struct("table_ord", "table"))), lambda x: x.table).alias("objects")).where(F.size("objects") > 0)
-    return _risk(all_, [3], "mapping", "low", _say(F.size("objects"), " target table(s) without a source"), "They stay empty unless something else fills them.", F.col("objects"), "Confirm that they are new, or filled elsewhere.")
+    return _risk(all_, [3], "mapping", "low", _say("The target has ", F.size("objects"), " table(s) of its own"), "This plan puts no rows into them.", F.col("objects"), "Find out which application fills them, and from when on.")
 
 
 def null_ratios(profiles: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
@@ -104,8 +106,8 @@ def null_ratios(profiles: DataFrame, tables: DataFrame, columns: DataFrame) -> D
     p = p.where(F.col("row_count") > 0).withColumn("needs", F.coalesce("needs", F.lit(False)))
     name, part = _dotted("table", "column"), percent(F.col("null_ratio"))
     order = [4, F.col("table_ord"), F.col("col_ord")]
-    hard = _risk(p.where(F.col("needs") & (F.col("null_ratio") >= HIGH_NULLS)), order, "data_quality", "high", _say(name, " is ", part, " null, target is NOT NULL"), "Rows with nulls break the target's constraint.", F.array(name), "Fill in a default, relax the constraint or clean the source.")
-    soft = _risk(p.where(~F.col("needs") & (F.col("null_ratio") >= VERY_HIGH_NULLS)), order, "data_quality", "low", _say(name, " is ", part, " null"), "The column may carry little of value.", F.array(name), "Ask its owner whether to migrate it.")
+    hard = _risk(p.where(F.col("needs") & (F.col("null_ratio") >= HIGH_NULLS)), order, "data_quality", "high", _say(name, ": ", part, " empty, but required"), "The target refuses rows without a value.", F.array(name), "Agree on a value for them, or let the target take nulls.")
+    soft = _risk(p.where(~F.col("needs") & (F.col("null_ratio") >= VERY_HIGH_NULLS)), order, "data_quality", "low", _say(name, ": ", part, " empty"), "Hardly any row uses it.", F.array(name), "Find out whether anything still reads it before moving it.")
     return hard.union(soft)
 
 

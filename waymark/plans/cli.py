@@ -30,14 +30,14 @@ def parser() -> argparse.ArgumentParser:
 def run_plan(args: argparse.Namespace, spark: SparkSession | None = None) -> int:
     spark = spark or SparkSession.builder.appName("waymark").getOrCreate()
     source, read = connect(spark, args.source_url)
-    profiles = None
+    profiles = samples = None
     if args.profile:
-        profiles, source = profile_catalog(spark, source, read)
+        profiles, source, samples = profile_catalog(spark, source, read, sample_size=args.sample_size)
     target = load_spec(args.target_schema) if args.target_schema else connect(spark, args.target_url)[0]
-    plan = build_plan(spark, source, target, profiles, offline=args.offline)
+    plan = build_plan(spark, source, target, profiles, offline=args.offline, samples=samples)
     for path in report.write(plan, args.output_dir):
         print(f"Wrote {path}")
-    print(f"{len(source.names)} table(s) analyzed, {len(plan.risks)} risk(s) found, {len(plan.validation_plan)} validation check(s) generated.")
+    print(f"Source tables: {len(source.names)}. Risks: {len(plan.risks)}. Checks to run: {len(plan.validation_plan)}.")
     return 0
 
 

@@ -49,6 +49,9 @@ def _phase(p: dict) -> Iterator[str]:
     yield ""
 
 
+# The headings, table heads and placeholders of this file are fixed values: the report's format.
+
+
 def _lines(plan: Plan) -> Iterator[str]:
     yield f"# Data Migration Plan\n\n- **Source dialect:** {plan.source_dialect}\n- **Target dialect:** {plan.target_dialect}\n- **Generated:** {plan.generated_at.isoformat()}\n"
     yield f"## Executive Summary\n\n{plan.architecture_summary}\n\n## Migration Order (Dependency-Resolved)\n"

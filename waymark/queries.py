@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,15 +119,20 @@ RAW_TYPES = [
     "INTEGER UNSIGNED", "TINYINT(1)", "BIGSERIAL", "SERIAL", "REAL", "FLOAT(24)", "DOUBLE PRECISION", "BOOL", "TEXT", "CLOB", "DATE", "TIME", "DATETIME", "TIMESTAMP(6) WITH TIME ZONE",
     "TIMESTAMP WITH TIME ZONE", "TIMESTAMP WITHOUT TIME ZONE", "JSON", "JSONB", "BYTEA", "VARBINARY(16)", "UUID", " nvarchar ( 20 ) ", "INTERVAL", "INTEGER[]", "MEDIUMINT", "DECIMAL(0,0)", "CHARACTER(10)", "VARCHAR(255) COLLATE x",
 ]
-_TYPES = ", ".join((
-    values("raw", "raw", [(t,) for t in RAW_TYPES]),
-    values("kw", "word, kind", list(sqltypes.KINDS.items())),
-    r"p AS (SELECT raw, upper(trim(raw)) AS up, regexp_matches(upper(trim(raw)), '^[A-Z0-9_ ]+?\s*\([^)]*\)\s*$') AS sized FROM raw)",
-    r"q AS (SELECT raw, sized, CASE WHEN sized THEN trim(regexp_extract(up, '^([A-Z0-9_ ]+?)\s*\(', 1)) ELSE up END AS word, CASE WHEN sized THEN list_filter(list_transform(string_split(regexp_extract(up, '\(([^)]*)\)', 1), ','), lambda a: trim(a)), lambda a: a <> '') ELSE [] END AS args FROM p)",
-    "k AS (SELECT raw, args, coalesce(a.kind, b.kind, split_part(q.word, ' ', 1)) AS kind FROM q LEFT JOIN kw a ON a.word = q.word LEFT JOIN kw b ON b.word = split_part(q.word, ' ', 1))",
-    "n AS (SELECT raw, kind, CASE WHEN kind IN ('VARCHAR', 'CHAR') THEN try_cast(args[1] AS INTEGER) END AS length, kind = 'DECIMAL' AND try_cast(args[1] AS INTEGER) IS NOT NULL AND (len(args) < 2 OR try_cast(args[2] AS INTEGER) IS NOT NULL) AS good, args FROM k)",
-    "t AS (SELECT raw, kind, length, CASE WHEN good THEN try_cast(args[1] AS INTEGER) END AS precision, CASE WHEN good THEN coalesce(try_cast(args[2] AS INTEGER), 0) END AS scale FROM n)",
-))
+def _types_sql(raws: list[str]) -> str:
+    """CTEs that end in t(raw, kind, length, precision, scale) of raw types."""
+    return ", ".join((
+        values("raw", "raw", [(t,) for t in raws]),
+        values("kw", "word, kind", list(sqltypes.KINDS.items())),
+        r"p AS (SELECT raw, upper(trim(raw)) AS up, regexp_matches(upper(trim(raw)), '^[A-Z0-9_ ]+?\s*\([^)]*\)\s*$') AS sized FROM raw)",
+        r"q AS (SELECT raw, sized, CASE WHEN sized THEN trim(regexp_extract(up, '^([A-Z0-9_ ]+?)\s*\(', 1)) ELSE up END AS word, CASE WHEN sized THEN list_filter(list_transform(string_split(regexp_extract(up, '\(([^)]*)\)', 1), ','), lambda a: trim(a)), lambda a: a <> '') ELSE [] END AS args FROM p)",
+        "k AS (SELECT raw, args, coalesce(a.kind, b.kind, split_part(q.word, ' ', 1)) AS kind FROM q LEFT JOIN kw a ON a.word = q.word LEFT JOIN kw b ON b.word = split_part(q.word, ' ', 1))",
+        "n AS (SELECT raw, kind, CASE WHEN kind IN ('VARCHAR', 'CHAR') THEN try_cast(args[1] AS INTEGER) END AS length, kind = 'DECIMAL' AND try_cast(args[1] AS INTEGER) IS NOT NULL AND (len(args) < 2 OR try_cast(args[2] AS INTEGER) IS NOT NULL) AS good, args FROM k)",
+        "t AS (SELECT raw, kind, length, CASE WHEN good THEN try_cast(args[1] AS INTEGER) END AS precision, CASE WHEN good THEN coalesce(try_cast(args[2] AS INTEGER), 0) END AS scale FROM n)",
+    ))
+
+
+_TYPES = _types_sql(RAW_TYPES)
 
 
 def _raw(spark):
@@ -160,7 +162,10 @@ def type_lossy(spark, sf):
     return _raw(spark).select("raw", sqltypes.map_type(F.col("raw"), "generic").lossy.alias("lossy"))
 
 
-@query("type_narrowing", f"WITH {_TYPES} SELECT a.raw AS source_type, b.raw AS target_type, coalesce((a.kind IN ('VARCHAR', 'CHAR') AND b.kind IN ('VARCHAR', 'CHAR') AND a.length <> 0 AND b.length <> 0 AND b.length < a.length), FALSE) OR coalesce(a.kind = 'DECIMAL' AND b.kind = 'DECIMAL' AND (coalesce(a.precision <> 0 AND b.precision <> 0 AND b.precision < a.precision, FALSE) OR coalesce(a.scale <> 0 AND b.scale < a.scale, FALSE)), FALSE) AS narrowing FROM t a, t b")
+_NARROWER = "coalesce((a.kind IN ('VARCHAR', 'CHAR') AND b.kind IN ('VARCHAR', 'CHAR') AND a.length <> 0 AND b.length <> 0 AND b.length < a.length), FALSE) OR coalesce(a.kind = 'DECIMAL' AND b.kind = 'DECIMAL' AND (coalesce(a.precision <> 0 AND b.precision <> 0 AND b.precision < a.precision, FALSE) OR coalesce(a.scale <> 0 AND b.scale < a.scale, FALSE)), FALSE)"
+
+
+@query("type_narrowing", f"WITH {_TYPES} SELECT a.raw AS source_type, b.raw AS target_type, {_NARROWER} AS narrowing FROM t a, t b")
 def type_narrowing(spark, sf):
     a = _raw(spark).select(F.col("raw").alias("source_type"), sqltypes.normalize(F.col("raw")).alias("s"))
     b = _raw(spark).select(F.col("raw").alias("target_type"), sqltypes.normalize(F.col("raw")).alias("t"))
@@ -208,14 +213,21 @@ def cycle_groups(spark, sf):
 _KEYED = "lower(replace(replace(trim(name), '-', '_'), ' ', '_'))"
 
 
-@cache
-def _ratios(a: tuple, b: tuple) -> list[tuple]:
-    """Similarities of names, as literals for SQL, which has no such ratio."""
-    return [(x, y, round(difflib.SequenceMatcher(None, x, y).ratio(), 6)) for x in a for y in b]
+
+def _ratio_sql(pairs: str, out: str) -> str:
+    """CTEs that end in {out}(g, l, r, score) for a relation of pairs (g, l, r, lk, rk): twice the length of the blocks that
+    names have in common, by the length of both. The longest block (the first one in l, then in r) parts each name in
+    two, whose blocks are found alike."""
+    return f"""{out}_p AS ({pairs}),
+ {out}_b AS (SELECT g, l, r, i, j, k FROM (SELECT *, unnest(range(length(lk))) AS i FROM {out}_p), LATERAL (SELECT unnest(range(length(rk))) AS j), LATERAL (SELECT unnest(range(1, least(length(lk) - i, length(rk) - j) + 1)) AS k) WHERE lk[i + 1:i + k] = rk[j + 1:j + k]),
+ {out}_s(g, l, r, a0, a1, b0, b1, found) AS (SELECT g, l, r, CAST(0 AS BIGINT), length(lk), CAST(0 AS BIGINT), length(rk), CAST(0 AS BIGINT) FROM {out}_p UNION ALL
+  SELECT g, l, r, CASE side WHEN 0 THEN a0 ELSE i + k END, CASE side WHEN 0 THEN i ELSE a1 END, CASE side WHEN 0 THEN b0 ELSE j + k END, CASE side WHEN 0 THEN j ELSE b1 END, CASE side WHEN 0 THEN k ELSE 0 END
+  FROM (SELECT s.*, b.i, b.j, b.k, row_number() OVER (PARTITION BY s.g, s.l, s.r, s.a0, s.a1, s.b0, s.b1 ORDER BY b.k DESC, b.i, b.j) AS n FROM {out}_s s JOIN {out}_b b ON b.g = s.g AND b.l = s.l AND b.r = s.r AND b.i >= s.a0 AND b.i + b.k <= s.a1 AND b.j >= s.b0 AND b.j + b.k <= s.b1), (VALUES (0), (1)) AS v(side) WHERE n = 1),
+ {out} AS (SELECT p.g, p.l, p.r, 2.0::DOUBLE * sum(found) / (length(any_value(lk)) + length(any_value(rk))) AS score FROM {out}_p p JOIN {out}_s s ON s.g = p.g AND s.l = p.l AND s.r = p.r GROUP BY p.g, p.l, p.r)"""
 
 
 _EXACT = f"x AS (SELECT a.name AS l, b.name AS r FROM s_t a JOIN t_t b ON {_KEYED.replace('name', 'a.name')} = {_KEYED.replace('name', 'b.name')})"
-_FUZZY = values("ratio", "l, r, score", _ratios(tuple(_SRC.names), tuple(_TGT.names))) + ", z AS (SELECT l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY ratio.l ORDER BY score DESC) AS k FROM ratio WHERE l NOT IN (SELECT l FROM x) AND r NOT IN (SELECT r FROM x)) WHERE k = 1 AND score >= 0.72)"
+_FUZZY = _ratio_sql(f"SELECT 0 AS g, a.name AS l, b.name AS r, {_KEYED.replace('name', 'a.name')} AS lk, {_KEYED.replace('name', 'b.name')} AS rk FROM s_t a, t_t b WHERE a.name NOT IN (SELECT l FROM x) AND b.name NOT IN (SELECT r FROM x)", "ratio") + ", z AS (SELECT l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY ratio.l ORDER BY score DESC) AS k FROM ratio) WHERE k = 1 AND score >= 0.72)"
 _BOTH = f"{catalog_sql(_SRC, 's')}, {catalog_sql(_TGT, 't')}, {_EXACT}, {_FUZZY}, m AS (SELECT l, r, 'exact' AS kind, 1.0::DOUBLE AS score FROM x UNION ALL SELECT l, r, 'fuzzy', round(score, 3)::DOUBLE FROM z)"
 
 
@@ -223,29 +235,31 @@ def _matches(spark):
     return frozen(match.match_tables(spark, _SRC, _TGT))
 
 
-@query("match_exact", f"WITH {_BOTH} SELECT l AS source_table, r AS target_table FROM x")
+@query("match_exact", f"WITH RECURSIVE {_BOTH} SELECT l AS source_table, r AS target_table FROM x")
 def match_exact(spark, sf):
     return _matches(spark).where("kind = 'exact'").select(F.col("left").alias("source_table"), F.col("right").alias("target_table"))
 
 
-@query("match_fuzzy", f"WITH {_BOTH} SELECT l AS source_table, r AS target_table, score FROM m WHERE kind = 'fuzzy'")
+@query("match_fuzzy", f"WITH RECURSIVE {_BOTH} SELECT l AS source_table, r AS target_table, score FROM m WHERE kind = 'fuzzy'")
 def match_fuzzy(spark, sf):
     return _matches(spark).where("kind = 'fuzzy'").select(F.col("left").alias("source_table"), F.col("right").alias("target_table"), "score")
 
 
-@query("unmatched_source", f'WITH {_BOTH} SELECT name AS "table" FROM s_t WHERE name NOT IN (SELECT l FROM m)')
+@query("unmatched_source", f'WITH RECURSIVE {_BOTH} SELECT name AS "table" FROM s_t WHERE name NOT IN (SELECT l FROM m)')
 def unmatched_source(spark, sf):
     return match.table_mappings(spark, _SRC, _matches(spark)).where("target_table is null").select(F.col("source_table").alias("table"))
 
 
-@query("unmatched_target", f'WITH {_BOTH} SELECT name AS "table" FROM t_t WHERE name NOT IN (SELECT r FROM m)')
+@query("unmatched_target", f'WITH RECURSIVE {_BOTH} SELECT name AS "table" FROM t_t WHERE name NOT IN (SELECT r FROM m)')
 def unmatched_target(spark, sf):
     return match.unmatched_targets(spark, _TGT, _matches(spark)).select("table")
 
 
 _MAPPED = (
     f"{_BOTH}, mp AS (SELECT row_number() OVER (ORDER BY CASE kind WHEN 'exact' THEN 0 WHEN 'fuzzy' THEN 1 ELSE 2 END, ord) - 1 AS map_ord, name, r FROM s_t LEFT JOIN m ON l = name), "
-    + values("fz", "tab, l, r", [("customer", "c_name", "c_fullname"), ("customer", "c_nationkey", "c_nation_key"), ("customer", "c_acctbal", "c_acct_balance"), ("orders", "o_orderstatus", "o_order_status"), ("orders", "o_totalprice", "o_total_price")])
+    + "ce AS (SELECT sc.tab, sc.col AS l, tc.col AS r, sc.pos AS sp, tc.pos AS tp FROM mp JOIN s_c sc ON sc.tab = mp.name JOIN t_c tc ON tc.tab = mp.r AND tc.col = sc.col), "
+    + _ratio_sql(f"SELECT mp.map_ord AS g, sc.col AS l, tc.col AS r, {_KEYED.replace('name', 'sc.col')} AS lk, {_KEYED.replace('name', 'tc.col')} AS rk FROM mp JOIN s_c sc ON sc.tab = mp.name JOIN t_c tc ON tc.tab = mp.r WHERE NOT EXISTS (SELECT 1 FROM ce WHERE ce.tab = sc.tab AND ce.l = sc.col) AND NOT EXISTS (SELECT 1 FROM ce WHERE ce.tab = sc.tab AND ce.r = tc.col)", "cr")
+    + ", fz AS (SELECT mp.name AS tab, l, q.r, score FROM (SELECT *, row_number() OVER (PARTITION BY g, cr.l ORDER BY score DESC) AS k FROM cr) q JOIN mp ON mp.map_ord = q.g WHERE k = 1 AND score >= 0.72)"
     + ", cm AS (SELECT mp.map_ord, mp.name AS st, sc.col AS sc, mp.r AS tt, tc.col AS tc, sc.typ AS sty, tc.typ AS tty, sc.pos AS sp, tc.nullable AS tn FROM mp JOIN s_c sc ON sc.tab = mp.name JOIN t_c tc ON tc.tab = mp.r AND (tc.col = sc.col OR EXISTS (SELECT 1 FROM fz WHERE fz.tab = mp.name AND fz.l = sc.col AND fz.r = tc.col)))"
 )
 
@@ -258,21 +272,27 @@ def _columns_mapped(spark):
     return frozen(match.column_mappings(spark, _SRC, _TGT, _maps(spark)))
 
 
-@query("table_mappings", f"WITH {_MAPPED} SELECT CAST(map_ord AS INTEGER) AS map_ord, name AS source_table, r AS target_table FROM mp")
+@query("table_mappings", f"WITH RECURSIVE {_MAPPED} SELECT CAST(map_ord AS INTEGER) AS map_ord, name AS source_table, r AS target_table FROM mp")
 def table_mappings(spark, sf):
     return _maps(spark)
 
 
-@query("column_mappings", f"""WITH {_MAPPED} SELECT st AS source_table, sc AS source_column, tt AS target_table, tc AS target_column, CASE WHEN sc = tc THEN 'exact' ELSE 'fuzzy' END AS match_kind FROM cm
+@query("column_mappings", f"""WITH RECURSIVE {_MAPPED} SELECT st AS source_table, sc AS source_column, tt AS target_table, tc AS target_column, CASE WHEN sc = tc THEN 'exact' ELSE 'fuzzy' END AS match_kind FROM cm
  UNION ALL SELECT mp.name, s_c.col, coalesce(mp.r, '(none)'), NULL, 'unmatched_source' FROM mp JOIN s_c ON s_c.tab = mp.name WHERE NOT EXISTS (SELECT 1 FROM cm WHERE cm.st = mp.name AND cm.sc = s_c.col)
  UNION ALL SELECT mp.name, NULL, mp.r, t_c.col, 'unmatched_target' FROM mp JOIN t_c ON t_c.tab = mp.r WHERE NOT EXISTS (SELECT 1 FROM cm WHERE cm.tt = mp.r AND cm.tc = t_c.col)""")
 def column_mappings(spark, sf):
     return _columns_mapped(spark).select("source_table", "source_column", "target_table", "target_column", "match_kind")
 
 
-@query("column_casts")
+_CASTS = f"""{_MAPPED}, {_types_sql(sorted({r[4] for r in _SRC.column_rows + _TGT.column_rows}))}, e AS (SELECT raw, {_RENDER['postgresql']} AS goal FROM t),
+ cc AS (SELECT cm.*, e.goal, {_KEYED.replace('name', 'e.goal')} <> {_KEYED.replace('name', 'cm.tty')} AS differs, {_NARROWER} AS narrowing, CASE WHEN cm.sc = cm.tc THEN 1.0::DOUBLE ELSE round(fz.score, 3) END AS confidence
+ FROM cm JOIN t a ON a.raw = cm.sty JOIN t b ON b.raw = cm.tty JOIN e ON e.raw = cm.sty LEFT JOIN fz ON fz.tab = cm.st AND fz.l = cm.sc)"""
+
+
+@query("column_casts", f"""WITH RECURSIVE {_CASTS} SELECT st AS source_table, sc AS source_column, confidence, CASE WHEN differs THEN 'CAST(' || sc || ' AS ' || tty || ')' END AS transformation,
+ nullif(concat_ws(' ', CASE WHEN differs THEN 'Target type ''' || tty || ''' is not the expected ''' || goal || '''.' END, CASE WHEN narrowing THEN {literal(match.NARROW)} END), '') AS notes, narrowing FROM cc""")
 def column_casts(spark, sf):
-    """Confidence, cast and notes of mapped columns; tests hold these against the standard library's ratio."""
+    """Confidence, cast and notes of mapped columns."""
     return _columns_mapped(spark).where("match_kind in ('exact', 'fuzzy')").select("source_table", "source_column", "confidence", "transformation", "notes", "narrowing")
 
 
@@ -306,17 +326,17 @@ def risk_cycles(spark, sf):
     return _show(risk.cycles(graph.cycle_groups(spark, _CYC)))
 
 
-@query("risk_unmapped_table", f"WITH {_MAPPED} SELECT 'mapping' AS category, 'critical' AS severity, name AS objects FROM mp WHERE r IS NULL")
+@query("risk_unmapped_table", f"WITH RECURSIVE {_MAPPED} SELECT 'mapping' AS category, 'critical' AS severity, name AS objects FROM mp WHERE r IS NULL")
 def risk_unmapped_table(spark, sf):
     return _show(risk.unmapped_tables(_maps(spark)))
 
 
-@query("risk_unmapped_cols", f"WITH {_MAPPED} SELECT 'mapping' AS category, 'medium' AS severity, string_agg(s_c.tab || '.' || s_c.col, ',' ORDER BY s_c.pos) AS objects FROM mp JOIN s_c ON s_c.tab = mp.name WHERE mp.r IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cm WHERE cm.st = mp.name AND cm.sc = s_c.col) GROUP BY mp.name")
+@query("risk_unmapped_cols", f"WITH RECURSIVE {_MAPPED} SELECT 'mapping' AS category, 'medium' AS severity, string_agg(s_c.tab || '.' || s_c.col, ',' ORDER BY s_c.pos) AS objects FROM mp JOIN s_c ON s_c.tab = mp.name WHERE mp.r IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cm WHERE cm.st = mp.name AND cm.sc = s_c.col) GROUP BY mp.name")
 def risk_unmapped_cols(spark, sf):
     return _show(risk.unmapped_columns(_columns_mapped(spark)))
 
 
-@query("risk_target_only_cols", f"WITH {_MAPPED} SELECT 'mapping' AS category, 'medium' AS severity, string_agg(t_c.tab || '.' || t_c.col, ',' ORDER BY t_c.pos) AS objects FROM mp JOIN t_c ON t_c.tab = mp.r WHERE NOT EXISTS (SELECT 1 FROM cm WHERE cm.tt = mp.r AND cm.tc = t_c.col) GROUP BY mp.r")
+@query("risk_target_only_cols", f"WITH RECURSIVE {_MAPPED} SELECT 'mapping' AS category, 'medium' AS severity, string_agg(t_c.tab || '.' || t_c.col, ',' ORDER BY t_c.pos) AS objects FROM mp JOIN t_c ON t_c.tab = mp.r WHERE NOT EXISTS (SELECT 1 FROM cm WHERE cm.tt = mp.r AND cm.tc = t_c.col) GROUP BY mp.r")
 def risk_target_only_cols(spark, sf):
     return _show(risk.target_only_columns(_columns_mapped(spark)))
 
@@ -325,7 +345,7 @@ _SIZE = "CAST(regexp_extract({c}, '\\(([0-9]+)', 1) AS INTEGER)"
 _SCALE = "CAST(regexp_extract({c}, ', ?([0-9]+)', 1) AS INTEGER)"
 
 
-@query("risk_truncation", f"WITH {_MAPPED} SELECT 'data_quality' AS category, 'high' AS severity, st || '.' || sc AS objects FROM cm WHERE sty LIKE '%(%' AND tty LIKE '%(%' AND ({_SIZE.format(c='tty')} < {_SIZE.format(c='sty')} OR (sty LIKE '%,%' AND {_SCALE.format(c='tty')} < {_SCALE.format(c='sty')}))")
+@query("risk_truncation", f"WITH RECURSIVE {_MAPPED} SELECT 'data_quality' AS category, 'high' AS severity, st || '.' || sc AS objects FROM cm WHERE sty LIKE '%(%' AND tty LIKE '%(%' AND ({_SIZE.format(c='tty')} < {_SIZE.format(c='sty')} OR (sty LIKE '%,%' AND {_SCALE.format(c='tty')} < {_SCALE.format(c='sty')}))")
 def risk_truncation(spark, sf):
     return _show(risk.truncation(_columns_mapped(spark)))
 
@@ -338,7 +358,7 @@ def risk_pii(spark, sf):
     return local_frame(spark, [(p,) for p in PERSONAL], "name string").select("name", risk.looks_personal(F.col("name")).alias("personal"))
 
 
-@query("risk_target_only_tables", f"WITH {_BOTH} SELECT 'mapping' AS category, 'low' AS severity, string_agg(name, ',' ORDER BY ord) AS objects FROM t_t WHERE name NOT IN (SELECT r FROM m)")
+@query("risk_target_only_tables", f"WITH RECURSIVE {_BOTH} SELECT 'mapping' AS category, 'low' AS severity, string_agg(name, ',' ORDER BY ord) AS objects FROM t_t WHERE name NOT IN (SELECT r FROM m)")
 def risk_target_only_tables(spark, sf):
     return _show(risk.target_only_tables(match.unmatched_targets(spark, _TGT, _matches(spark))))
 
@@ -350,12 +370,12 @@ def _null_risks(spark, sf):
     return risk.null_ratios(profile_null_ratio_derived(spark, sf), _SRC.tables(spark), _columns_mapped(spark))
 
 
-@query("risk_null_not_null", f"WITH {_MAPPED} SELECT 'data_quality' AS category, 'high' AS severity, 'orders.' || c AS objects FROM {_NULLS} WHERE k > 0 AND n >= 0.4 * k AND EXISTS (SELECT 1 FROM cm WHERE cm.st = 'orders' AND cm.sc = c AND NOT cm.tn)")
+@query("risk_null_not_null", f"WITH RECURSIVE {_MAPPED} SELECT 'data_quality' AS category, 'high' AS severity, 'orders.' || c AS objects FROM {_NULLS} WHERE k > 0 AND n >= 0.4 * k AND EXISTS (SELECT 1 FROM cm WHERE cm.st = 'orders' AND cm.sc = c AND NOT cm.tn)")
 def risk_null_not_null(spark, sf):
     return _show(_null_risks(spark, sf).where("severity = 'high'"))
 
 
-@query("risk_high_null", f"WITH {_MAPPED} SELECT 'data_quality' AS category, 'low' AS severity, 'orders.' || c AS objects FROM {_NULLS} WHERE k > 0 AND n >= 0.8 * k AND NOT EXISTS (SELECT 1 FROM cm WHERE cm.st = 'orders' AND cm.sc = c AND NOT cm.tn)")
+@query("risk_high_null", f"WITH RECURSIVE {_MAPPED} SELECT 'data_quality' AS category, 'low' AS severity, 'orders.' || c AS objects FROM {_NULLS} WHERE k > 0 AND n >= 0.8 * k AND NOT EXISTS (SELECT 1 FROM cm WHERE cm.st = 'orders' AND cm.sc = c AND NOT cm.tn)")
 def risk_high_null(spark, sf):
     return _show(_null_risks(spark, sf).where("severity = 'low'"))
 
@@ -370,25 +390,30 @@ _ALL = f"""{_MAPPED}, rk AS (
  risks AS (SELECT row_number() OVER (ORDER BY k0, k1, k2, k3) AS n, 'R' || lpad(CAST(row_number() OVER (ORDER BY k0, k1, k2, k3) AS VARCHAR), 3, '0') AS id, severity, category, objects FROM rk)"""
 
 
-def _risks(spark):
-    order = graph.load_order(spark, _SRC)
+def _planned(spark):
+    """Mappings, mapped columns and risks, each made once."""
     matches = _matches(spark)
     maps = frozen(match.table_mappings(spark, _SRC, matches))
     columns = frozen(match.column_mappings(spark, _SRC, _TGT, maps))
-    return frozen(risk.assess(spark, _SRC, graph.cycle_groups(spark, _SRC, order), maps, columns, match.unmatched_targets(spark, _TGT, matches)))
+    groups = frozen(graph.cycle_groups(spark, _SRC, frozen(graph.load_order(spark, _SRC))))
+    return maps, columns, frozen(risk.assess(spark, _SRC, groups, maps, columns, match.unmatched_targets(spark, _TGT, matches)))
+
+
+def _risks(spark):
+    return _planned(spark)[2]
 
 
-@query("risks", f"WITH {_ALL} SELECT id, category, severity, objects FROM risks")
+@query("risks", f"WITH RECURSIVE {_ALL} SELECT id, category, severity, objects FROM risks")
 def risks(spark, sf):
     return _risks(spark).select("id", "category", "severity", F.array_join("affected_objects", ",").alias("objects"))
 
 
-@query("risk_counts", f"WITH {_ALL} SELECT severity, count(*) AS n FROM risks GROUP BY severity")
+@query("risk_counts", f"WITH RECURSIVE {_ALL} SELECT severity, count(*) AS n FROM risks GROUP BY severity")
 def risk_counts(spark, sf):
     return risk.severity_counts(_risks(spark))
 
 
-@query("risk_top15", f"WITH {_ALL} SELECT CAST(row_number() OVER (ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), n) AS INTEGER) AS rank, id, severity FROM risks QUALIFY rank <= 15")
+@query("risk_top15", f"WITH RECURSIVE {_ALL} SELECT CAST(row_number() OVER (ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), n) AS INTEGER) AS rank, id, severity FROM risks QUALIFY rank <= 15")
 def risk_top15(spark, sf):
     return risk.top_risks(_risks(spark)).select("rank", "id", "severity")
 
@@ -406,7 +431,11 @@ def _changed(spark, sf):
 
 
 def _hash_sql(cols: list[str]) -> str:
-    return "md5(concat_ws('|', " + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '~')" for c in cols) + "))"
+    return "md5(" + " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in cols) + ")"
+
+
+def _number_sql(h: str) -> str:
+    return f"CAST('0x' || substr({h}, 1, 15) AS BIGINT)"
 
 
 @query("check_row_count", f"SELECT source_rows, target_rows, source_rows = target_rows AS ok FROM (SELECT count(*) AS source_rows FROM orders), (SELECT count(*) AS target_rows FROM {_CHANGED})")
@@ -419,7 +448,18 @@ def check_null_parity(spark, sf):
     return checks.null_parity(_read(spark, sf, "orders"), _changed(spark, sf), _PAIRS)
 
 
-_DIFF = f"SELECT coalesce(a.k, b.k) AS key0, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'extra' ELSE 'different' END AS status FROM (SELECT o_orderkey AS k, {_hash_sql([p[0] for p in _PAIRS])} AS h FROM orders) a FULL JOIN (SELECT o_orderkey AS k, {_hash_sql([p[1] for p in _PAIRS])} AS h FROM {_CHANGED}) b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h"
+def _diff_sql(source: str, target: str, key: str, target_key: str, source_cols: list[str], target_cols: list[str], where: str = "TRUE") -> str:
+    """Keys whose numbers of rows or sums of hashes differ; null is a key."""
+    def side(table, k, cols):
+        return f"(SELECT k, count(*) AS n, sum({_number_sql('h')}) AS s FROM (SELECT {k} AS k, {_hash_sql(cols)} AS h FROM {table}) GROUP BY k)"
+
+    return (
+        f"SELECT CASE WHEN a.n IS NULL THEN b.k ELSE a.k END AS key0, CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL THEN 'extra' ELSE 'different' END AS status"
+        f" FROM {side(source, key, source_cols)} a FULL JOIN {side(target, target_key, target_cols)} b ON a.k IS NOT DISTINCT FROM b.k WHERE (a.n IS DISTINCT FROM b.n OR a.s IS DISTINCT FROM b.s) AND {where}"
+    )
+
+
+_DIFF = _diff_sql("orders", _CHANGED, "o_orderkey", "o_orderkey", [p[0] for p in _PAIRS], [p[1] for p in _PAIRS])
 
 
 @query("check_checksum", _DIFF)
@@ -427,14 +467,33 @@ def check_checksum(spark, sf):
     return checks.checksum_diff(_read(spark, sf, "orders"), _changed(spark, sf), [("o_orderkey", "o_orderkey")], _PAIRS)
 
 
-@query("check_sample_diff", f"SELECT * FROM ({_DIFF}) WHERE CAST('0x' || substr(md5(CAST(key0 AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10")
+# keys that are null or repeated, and values that hold the hash's own marks
+_ODD_A = "(SELECT nullif(o_custkey % 50, 3) AS k, o_orderstatus || ':=|' AS v, nullif(o_orderpriority, '2-HIGH') AS w FROM orders)"
+_ODD_B = "(SELECT nullif(o_custkey % 50, 3) AS k, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN '1:' || o_orderstatus ELSE o_orderstatus || ':=|' END AS v, nullif(o_orderpriority, '2-HIGH') AS w FROM orders WHERE o_custkey % 50 <> 7)"
+
+
+@query("check_checksum_odd_keys", _diff_sql(_ODD_A, _ODD_B, "k", "k", ["v", "w"], ["v", "w"]))
+def check_checksum_odd_keys(spark, sf):
+    o = _read(spark, sf, "orders")
+    k, w = F.expr("nullif(o_custkey % 50, 3)").alias("k"), F.expr("nullif(o_orderpriority, '2-HIGH')").alias("w")
+    a = o.select(k, F.concat("o_orderstatus", F.lit(":=|")).alias("v"), w)
+    least = o.agg(F.min("o_orderkey").alias("least"))
+    changed = F.when(F.col("o_orderkey") == F.col("least"), F.concat(F.lit("1:"), "o_orderstatus")).otherwise(F.concat("o_orderstatus", F.lit(":=|")))
+    b = o.where("o_custkey % 50 <> 7").join(F.broadcast(least), F.lit(True)).select(k, changed.alias("v"), w)  # least is one row
+    return checks.checksum_diff(a, b, [("k", "k")], [("v", "v"), ("w", "w")])
+
+
+@query("check_sample_diff", f"SELECT * FROM ({_DIFF}) WHERE {_number_sql(_hash_sql(['key0']))} % 100 < 10")
 def check_sample_diff(spark, sf):
     return checks.sample_diff(_read(spark, sf, "orders"), _changed(spark, sf), [("o_orderkey", "o_orderkey")], _PAIRS, 10)
 
 
-@query("check_table_digest", f"SELECT count(*) AS rows, bit_xor(CAST('0x' || substr({_hash_sql(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority'])}, 1, 15) AS BIGINT)) AS digest FROM orders")
+_DIGESTED = ["o_custkey", "o_orderstatus", "o_orderpriority"]  # without the key: rows repeat
+
+
+@query("check_table_digest", f"SELECT count(*) AS rows, CAST(coalesce(sum({_number_sql(_hash_sql(_DIGESTED))}), 0) AS VARCHAR) AS digest FROM orders")
 def check_table_digest(spark, sf):
-    return checks.table_digest(_read(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    return checks.table_digest(_read(spark, sf, "orders"), _DIGESTED)
 
 
 @query("check_ri", "SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, nullif(o_custkey, 7) AS o_custkey FROM orders) WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
@@ -443,18 +502,16 @@ def check_ri(spark, sf):
     return checks.orphans(child, _read(spark, sf, "customer").where("c_custkey % 7 <> 0"), ["o_custkey"], ["c_custkey"])
 
 
-@query("check_business_rule", f"WITH {_ALL} SELECT 'business_rule::' || id AS name, objects AS target_objects FROM risks WHERE severity IN ('high', 'critical') AND category IN ('data_quality', 'mapping')")
+@query("check_business_rule", f"WITH RECURSIVE {_ALL} SELECT 'business_rule::' || id AS name, objects AS target_objects FROM risks WHERE severity IN ('high', 'critical') AND category IN ('data_quality', 'mapping')")
 def check_business_rule(spark, sf):
     return _checks(spark).where("type = 'business_rule'").select("name", F.array_join("target_objects", ",").alias("target_objects"))
 
 
 def _checks(spark):
-    maps = _maps(spark)
-    columns = frozen(match.column_mappings(spark, _SRC, _TGT, maps))
-    return checks.plan_checks(spark, _SRC, maps, columns, _risks(spark))
+    return checks.plan_checks(spark, _SRC, *_planned(spark))
 
 
-@query("plan_checks", f"""WITH {_ALL}, c AS (
+@query("plan_checks", f"""WITH RECURSIVE {_ALL}, c AS (
  SELECT 0 AS k0, map_ord AS k1, 0 AS k2, 'row_count' AS kind, name AS n FROM mp WHERE r IS NOT NULL UNION ALL
  SELECT DISTINCT 0, map_ord, 1, 'null_parity', st FROM cm UNION ALL SELECT DISTINCT 0, map_ord, 3, 'sample_diff', st FROM cm UNION ALL
  SELECT 0, mp.map_ord, 2, 'checksum', mp.name FROM mp JOIN s_t ON s_t.name = mp.name WHERE mp.r IS NOT NULL AND len(s_t.pk) > 0 AND len(list_filter(s_t.pk, lambda k: k NOT IN (SELECT cm.sc FROM cm))) = 0 UNION ALL
@@ -478,11 +535,11 @@ def phase_tables(spark, sf):
     return phases.select("order", F.array_join("tables", ",").alias("tables"))
 
 
-@query("migration_plan", f"WITH {_ALL} SELECT 'tables' AS what, count(*) AS n FROM s_t UNION ALL SELECT 'mapped', count(r) FROM mp UNION ALL SELECT 'risks', count(*) FROM risks UNION ALL SELECT 'phases', 6")
+@query("migration_plan", f"WITH RECURSIVE {_ALL} SELECT 'tables' AS what, count(*) AS n FROM s_t UNION ALL SELECT 'mapped', count(r) FROM mp UNION ALL SELECT 'risks', count(*) FROM risks UNION ALL SELECT 'checks', 3 * (SELECT count(r) FROM mp) + (SELECT count(*) FROM mp JOIN s_t ON s_t.name = mp.name WHERE r IS NOT NULL AND len(pk) > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(pk) AS k) WHERE k NOT IN (SELECT sc FROM cm WHERE cm.st = mp.name))) + (SELECT count(DISTINCT child) FROM s_f) + (SELECT count(*) FROM risks WHERE severity IN ('high', 'critical') AND category IN ('data_quality', 'mapping')) UNION ALL SELECT 'columns', (SELECT count(*) FROM cm) + (SELECT count(*) FROM mp JOIN s_c ON s_c.tab = mp.name WHERE NOT EXISTS (SELECT 1 FROM cm WHERE cm.st = mp.name AND cm.sc = s_c.col)) + (SELECT count(*) FROM mp JOIN t_c ON t_c.tab = mp.r WHERE NOT EXISTS (SELECT 1 FROM cm WHERE cm.tt = mp.r AND cm.tc = t_c.col))")
 def migration_plan(spark, sf):
     """Figures of the whole plan, assembled offline."""
     plan = build_plan(spark, _SRC, _TGT, offline=True)
-    rows = [("tables", len(plan.table_mappings)), ("mapped", sum(t["target_table"] is not None for t in plan.table_mappings)), ("risks", len(plan.risks)), ("phases", len(plan.execution_phases))]
+    rows = [("tables", len(plan.table_mappings)), ("mapped", sum(t["target_table"] is not None for t in plan.table_mappings)), ("risks", len(plan.risks)), ("checks", len(plan.validation_plan)), ("columns", sum(len(t["column_mappings"]) for t in plan.table_mappings))]
     return local_frame(spark, rows, "what string, n long")
 
 
