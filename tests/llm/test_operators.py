@@ -85,7 +85,7 @@ def test_vantage_points_find_every_pair(spark, radius):
     dense = base[0] ^ rng.integers(0, 1 << 10, 300, dtype=np.uint64)  # many in one ball
     f = np.unique(np.concatenate([base, near, dense]))
     items = spark.createDataFrame([(int(x), int(x), 1) for x in f.view(np.int64)], "node long, fp long, size int")
-    links = simhash.hamming_links(common.materialize(items), radius, leaf_rows=64, block_rows=100, sample_one_in=2)
+    links = simhash.hamming_links(common.materialize(items), radius, leaf_rows=64, block_rows=100, sample_rows=len(f) // 2)
     got = {r.node: r.component for r in common.connected_components(links).collect()}
     parent = list(range(len(f)))
 
@@ -118,7 +118,7 @@ def test_near_dedup(spark, docs, odd, empty):
     every = dict(texts_of(docs))
     assert all(min(j for j, u in every.items() if u == t) == i for i, t in rows)
     sets = [(i, shingle_set(t)) for i, t in rows]
-    left = [(a, b) for x, (a, s) in enumerate(sets) for b, u in sets[:x] if s and u and len(s & u) / len(s | u) >= 0.9]
+    left = [(a, b) for x, (a, s) in enumerate(sets) for b, u in sets[:x] if s and u and len(s & u) / len(s | u) >= 0.8]
     assert left == []
     gone = [shingle_set(every[i]) for i in set(every) - {i for i, _ in rows}]
     all_sets = [(t, shingle_set(t)) for t in every.values()]
@@ -156,6 +156,70 @@ def test_near_copies_with_repeats(spark, tmp_path):
     assert sorted(i for i, _ in texts_of(simhash.near_dedup(spark.read.parquet(path)))) == [1, 3, 5]
 
 
+def test_sample_fingerprints_are_shared():
+    rng = np.random.default_rng(8)
+    for j in (0.5, 0.8):
+        hits, any_ = 0, 0
+        for _ in range(300):
+            n, shared = 200, round(400 * j / (1 + j))
+            h = rng.integers(0, 1 << 63, 2 * n - shared, dtype=np.uint64) * np.uint64(2)
+            equal = simhash.sample_fingerprints(h[:n]) == simhash.sample_fingerprints(h[n - shared :])
+            hits, any_ = hits + equal.sum(), any_ + equal.any()
+        assert abs(hits / (300 * simhash.SAMPLES) - j**simhash.SAMPLED) < 0.03
+        assert any_ == 300 or j < 0.8
+
+
+def test_pairs_are_verified_in_one_group():
+    rng = np.random.default_rng(9)
+    samples = rng.integers(0, 3, (60, 5)) + 10 * np.arange(5)
+    fp, size = np.zeros(60, np.uint64), np.full(60, 7)
+    want = {(a, b) for a in range(60) for b in range(a) if (samples[a] == samples[b]).any()}
+    for cut in (1, 3):  # groups whole, and as pairs of blocks
+        got = []
+        for value in np.unique(samples):
+            rows = np.flatnonzero((samples == value).any(axis=1))
+            for x in range(cut):
+                for y in range(x, cut):
+                    some = rows[(rows % cut == x) | (rows % cut == y)]
+                    side = np.zeros(len(some), int) if x == y else np.where(some % cut == x, 1, 2)
+                    i, j = simhash._candidates(np.full(len(some), value), fp[some], size[some], side, samples[some], 0.8) if len(some) else ([], [])
+                    got += [(max(a, b), min(a, b)) for a, b in zip(some[i].tolist(), some[j].tolist(), strict=True)] if len(some) else []
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_dedup_is_brute_force(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(texts_of(df))
+    by_set: dict = {}
+    for i, t in rows:
+        by_set.setdefault(frozenset(shingle_set(t)) or t, []).append(i)
+    sets = [s for s in by_set if not isinstance(s, str)]
+    holds = collections.defaultdict(list)
+    for x, s in enumerate(sets):
+        for w in s:
+            holds[w].append(x)
+    group = list(range(len(sets)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for x, s in enumerate(sets):
+        for y, n in collections.Counter(y for w in s for y in holds[w] if y < x).items():
+            if n >= 0.8 * (len(s) + len(sets[y]) - n):
+                group[find(x)] = find(y)
+    least = collections.defaultdict(list)
+    for x, s in enumerate(sets):
+        least[find(x)] += by_set[s]
+    want = sorted([min(g) for g in least.values()] + [min(g) for s, g in by_set.items() if isinstance(s, str)])
+    assert sorted(i for i, _ in texts_of(simhash.near_dedup(df))) == want
+    # rows that come by a shuffle, small blocks and tasks
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 8)
+    monkeypatch.setattr(simhash, "TASK_ROWS", 100)
+    assert sorted(i for i, _ in texts_of(simhash.near_dedup(df.repartition(5)))) == want
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 4), (9, 5), (20, 21), (21, 22), (22, 23), (23, 24), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in common.connected_components(e).collect()}

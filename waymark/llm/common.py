@@ -19,12 +19,15 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local one set here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a
+    temporary folder; on a cluster that is an error, as executors wouldn't see each other's files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="waymark-checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
         return found
@@ -113,6 +116,16 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 ROW = "__waymark_row"
 
 
+def stable(docs: DataFrame) -> DataFrame:
+    """docs as rows that come in one order in each scan, so that they can be numbered in several: what comes by shuffles,
+    draws at random or is sampled is written first."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    narrow = ("Relation ", "LocalRelation", "LogicalRDD", "Project", "Filter", "Range", "SubqueryAlias", "Union")
+    loose = any(x in plan for x in ("rand(", "randn(", "uuid(", "shuffle("))
+    nodes = (line.lstrip(" :+-").removeprefix("!") for line in plan.splitlines() if line.strip())
+    return materialize(docs) if loose or not all(n.startswith(narrow) for n in nodes) else docs
+
+
 def quoted(columns: list[str]) -> list[str]:
     """Column names for select(), whatever characters they hold."""
     return ["`" + c.replace("`", "``") + "`" for c in columns]

@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, broadcast_if_small, materialize, quoted
+from .common import ROW, broadcast_if_small, materialize, quoted, stable
 
 
 def _words(text: Column) -> Column:
@@ -82,13 +82,14 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, similarity: f
 
 def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item), one row for each pair of ids, of the largest containment."""
-    found = contained_items(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), items, k, similarity)
+    found = contained_items(stable(docs).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), items, k, similarity)
     best = F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), F.col("n_shared"), F.col("n_item"))).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.n_shared", "m.n_item")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, that contain no test item."""
+    docs = stable(docs)
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     slim = numbered.select(F.col(ROW).alias("_row"), "doc_id", "text")
     bad = contained_items(slim, items, k, similarity).select(F.col("_row").alias(ROW)).distinct()

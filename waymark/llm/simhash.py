@@ -16,7 +16,7 @@ non-null one; an empty table gives an empty result; only the two named columns o
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, broadcast_if_small, connected_components, materialize, new_folder, open_folder, put_file, quoted, words
+from .common import ROW, broadcast_if_small, connected_components, materialize, new_folder, open_folder, put_file, quoted, stable, words
 
 SEED = 42
 CHUNK = 1 << 16
-#: values of shingle sets in a block, and in a file of them: 16 MB
+#: values of shingle sets in a file of them: 16 MB
 BLOCK_SHINGLES = 1 << 21
 
 
@@ -74,21 +74,47 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, k: int, text_col: str = "text", keep: list[str] | None = None, distinct: bool = False) -> DataFrame:
-    """docs' columns in keep plus fp long (the fingerprint's bits as signed) and size int (number of shingles).
-    distinct: each distinct shingle votes and counts once, so that texts with equal shingle sets have equal fp and size."""
+def fingerprints(docs: DataFrame, k: int, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs' columns in keep plus fp long (the fingerprint's bits as signed)."""
 
-    @F.pandas_udf("struct<fp:long,size:int>")
+    @F.pandas_udf("long")
+    def vote(texts: pd.Series) -> pd.Series:
+        return pd.Series([_signed(fingerprint(t, k)) for t in texts], dtype="int64")
+
+    return docs.select(*(keep or []), vote(F.col(text_col)).alias("fp"))
+
+
+#: sample fingerprints of a text, and shingles in a sample: texts of similarity 0.8 have no equal one in 1 of 3e7 pairs
+SAMPLES, SAMPLED = 24, 3
+_ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, (SAMPLES, SAMPLED), dtype=np.uint64) | np.uint64(1)
+_TABLE = np.random.default_rng(12).integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+
+
+def sample_fingerprints(h: np.ndarray) -> np.ndarray:
+    """SAMPLES fingerprints of a set of shingle hashes: each is the SimHash of SAMPLED shingles that lie first in orders
+    of their own (a product with an odd number is an order of all hashes). Sets of similarity J have a sample in common
+    with probability J to the power of SAMPLED. Fingerprints of different samples are told apart by a mark."""
+    first = np.full(_ODD.shape, ~np.uint64(0))
+    for at in range(0, len(h), 4096):
+        np.minimum(first, (h[at : at + 4096, None, None] * _ODD).min(axis=0), out=first)
+    x, y, z = first.T
+    return ((x & y | x & z | y & z) ^ _TABLE).view(np.int64)
+
+
+def set_fingerprints(docs: DataFrame, k: int, text_col: str, keep: list[str]) -> DataFrame:
+    """docs' columns in keep plus fp long (each distinct shingle votes once), size int (distinct shingles) and samples
+    (sample_fingerprints; null for no shingles): equal shingle sets have equal ones."""
+
+    @F.pandas_udf("struct<fp:long,size:int,samples:array<long>>")
     def vote(texts: pd.Series) -> pd.DataFrame:
-        if distinct:
-            both = [(_signed(_majority([h])), len(h)) for h in (shingle_set(t, k) for t in texts)]
-            fp, size = [x for x, _ in both], [n for _, n in both]
-        else:
-            fp = [_signed(fingerprint(t, k)) for t in texts]
-            size = [max(len(w) - k + 1, min(1, len(w))) for w in (words(t) for t in texts)]
-        return pd.DataFrame({"fp": np.array(fp, np.int64), "size": np.array(size, np.int32)})
+        sets = [shingle_set(t, k) for t in texts]
+        return pd.DataFrame({
+            "fp": np.array([_signed(_majority([h])) for h in sets], np.int64),
+            "size": np.array([len(h) for h in sets], np.int32),
+            "samples": pd.Series([sample_fingerprints(h) if len(h) else None for h in sets], dtype=object),
+        })
 
-    return docs.select(*(keep or []), vote(F.col(text_col)).alias("_v")).select(*(keep or []), "_v.fp", "_v.size")
+    return docs.select(*keep, vote(F.col(text_col)).alias("_v")).select(*keep, "_v.*")
 
 
 class VPTree:
@@ -157,64 +183,34 @@ class _Joined:
         return True
 
 
-def _near(f: np.ndarray, size: np.ndarray, side: np.ndarray | None, radius: int, ratio: float | None, label: np.ndarray) -> Iterator[tuple]:
-    """(i, j, distance) of the pairs i < j within radius and ratio, by chunks of rows, i ascending in each; with side, of
-    side 0 and side 1 only. Pairs whose labels are equal when their chunk begins are left out."""
+def _near(f: np.ndarray, side: np.ndarray | None, radius: int) -> Iterator[tuple]:
+    """(i, j, distance) of the pairs i < j within radius, by chunks of rows, i ascending in each; with side, of side 0
+    and side 1 only."""
     n = len(f)
     step = max(1, (1 << 21) // max(1, n))
     for at in range(0, n, step):
         d = np.bitwise_count(f[at : at + step, None] ^ f[None, at:])
         i, j = np.nonzero(d <= radius)
         keep = j > i
-        dist, i, j = d[i[keep], j[keep]], i[keep] + at, j[keep] + at
-        ok = label[i] != label[j]
         if side is not None:
-            ok &= side[i] != side[j]
-        if ratio:
-            ok &= np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
-        yield i[ok], j[ok], dist[ok]
+            keep &= side[i + at] != side[j + at]
+        yield i[keep] + at, j[keep] + at, d[i[keep], j[keep]]
 
 
-def _forest(f: np.ndarray, size: np.ndarray, side: np.ndarray | None, radius: int, ratio: float | None) -> list:
-    """Links (i, j) among f that make up a spanning forest; with side, of the links between side 0 and side 1 only."""
-    joined, out = _Joined(len(f)), []
-    for i, j, dist in _near(f, size, side, radius, ratio, joined.label):
-        order = np.argsort(dist, kind="stable")
-        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-            if joined.join(a, b):
-                out.append((a, b))
-    return out
+#: rows of a shard above which the executor that searches it grows a tree of its own
+SPLIT_ROWS = 4096
 
 
-def _verified_forest(f: np.ndarray, size: np.ndarray, side: np.ndarray | None, radius: int, ratio: float, load: Callable) -> list:
-    """_forest of those links only whose ends' sets have a Jaccard similarity of at least ratio. Every pair within radius
-    is checked unless its ends are joined already. load: the sets of some rows (size values each), one after the other."""
-    linked = np.zeros(len(f), bool)
-    for i, j, _ in _near(f, size, side, radius, ratio, np.arange(len(f))):
-        linked[i] = linked[j] = True
-    rows = np.flatnonzero(linked)
-    if not len(rows):
-        return []
-    f, size, side = f[rows], size[rows].astype(np.int64), None if side is None else side[rows]
-    begin = np.cumsum(size) - size
-    ids = np.unique(load(rows), return_inverse=True)[1]
-    mark = np.zeros(int(ids.max()) + 1, bool)
-    joined, out = _Joined(len(rows)), []
-    for i, j, _ in _near(f, size, side, radius, ratio, joined.label):
-        first = np.flatnonzero(np.diff(i, prepend=-1))
-        for lo, hi in zip(first, np.append(first[1:], len(i)), strict=True):
-            a, others = int(i[lo]), j[lo:hi]
-            others = others[joined.label[others] != joined.label[a]]
-            if not len(others):
-                continue
-            own, n = ids[begin[a] : begin[a] + size[a]], size[others]
-            ends = np.cumsum(n)
-            mark[own] = True
-            shared = np.add.reduceat(mark[ids[np.repeat(begin[others] - (ends - n), n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
-            mark[own] = False
-            for b in others[shared / (size[a] + n - shared) >= ratio].tolist():
+def _forest(f: np.ndarray, side: np.ndarray | None, radius: int) -> list:
+    """Links (i, j) among f that make up a spanning forest; with side, of the links between side 0 and side 1 only."""
+    joined, out = _Joined(len(f)), []
+    tree = VPTree(f[:: max(1, len(f) // SPLIT_ROWS)], max(1, len(f) // SPLIT_ROWS), radius, SPLIT_ROWS // 4) if len(f) > SPLIT_ROWS else None
+    for _, rows in tree.route(f) if tree else [(0, np.arange(len(f)))]:
+        for i, j, dist in _near(f[rows], None if side is None else side[rows], radius):
+            order = np.argsort(dist, kind="stable")
+            for a, b in zip(rows[i[order]].tolist(), rows[j[order]].tolist(), strict=True):
                 if joined.join(a, b):
-                    out.append((int(rows[a]), int(rows[b])))
+                    out.append((a, b))
     return out
 
 
@@ -255,76 +251,169 @@ def read_sets(uri: str, file: np.ndarray, start: np.ndarray, size: np.ndarray) -
     return out
 
 
-def hamming_links(
-    items: DataFrame, radius: int, ratio: float | None = None, leaf_rows: int = 2048, block_rows: int = 65536, sample_one_in: int = 128, sets: str | None = None
-) -> DataFrame:
-    """Edges (a, b) of nodes that connect exactly what pairs within radius connect.
+#: distinct fingerprints of the tree's sample, which the driver holds
+TREE_SAMPLE = 100_000
 
-    sets: the folder of write_sets, items having its columns too; then only pairs count whose sets, of size values each,
-    have a Jaccard similarity of at least ratio, and blocks are also bounded by the values they hold.
 
-    items: node long, fp long, size int, one row a node, from a written table. ratio: only pairs whose smaller size
-    is at least ratio times the larger, found by size classes of which a pair spans two neighbours at most.
-    The driver holds 1/sample_one_in of the distinct fingerprints (all, where there are fewer than 64 * sample_one_in).
+def hamming_links(items: DataFrame, radius: int, leaf_rows: int = 2048, block_rows: int = 1 << 18, sample_rows: int = TREE_SAMPLE) -> DataFrame:
+    """Edges (a, b) of nodes that connect exactly what pairs within radius connect.
+
+    items: node long, fp long, one row a node, from a written table. The driver holds a sample of about sample_rows
+    fingerprints. A shard of over SPLIT_ROWS rows is cut by a tree of its own where it is searched, and one of over
+    block_rows is dealt out as pairs of blocks.
     """
     n = items.count()
-    one_in = sample_one_in if n > 64 * sample_one_in else 1
+    one_in = max(1, n // sample_rows)
     chosen = items.where(F.pmod(F.xxhash64(F.lit("vp"), "fp"), F.lit(one_in)) == 0).select("fp").distinct()
     sample = np.array([r.fp for r in chosen.collect()], np.int64).view(np.uint64)
-    base = np.log(1 / ratio) if ratio else 1.0
     tree = VPTree(sample, one_in, radius, leaf_rows)
-    size_class = (F.floor(F.log(F.greatest("size", F.lit(1))) / base) if ratio else F.lit(0)).cast("long")
-    # classes are as many as the logarithm of the longest text
-    classes = items.groupBy(size_class.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("values")).collect()
-    count, values = {r.c: r.n for r in classes}, {r.c: r["values"] for r in classes}
     bc = items.sparkSession.sparkContext.broadcast(tree)
-    def blocks(c: int, shard: int) -> int:
-        """Into how many blocks the shard's rows of a class, and of the one below it, are cut."""
-        both = (c, c - 1) if ratio else (c,)
-        share = tree.rows[shard] / max(1, n)
-        held = sum(values.get(x, 0) for x in both) / BLOCK_SHINGLES if sets else 0
-        return max(1, int(np.ceil(share * max(sum(count.get(x, 0) for x in both) / block_rows, held))))
-
-    places = ["file", "start"] if sets else []
-    schema = "shard long, i int, j int, node long, fp long, size int, block int" + "".join(f", {c} long" for c in places)
 
     def deal(batches):
         tree = bc.value
         for pdf in batches:
-            x, node, size, cls = (pdf[c].to_numpy() for c in ("fp", "node", "size", "cls"))
-            more = {c: pdf[c].to_numpy() for c in places}
+            x, node = pdf["fp"].to_numpy(), pdf["node"].to_numpy()
             spread = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for shard, rows in tree.route(x.view(np.uint64)):
-                for c in np.unique(cls[rows]).tolist():
-                    own = rows[cls[rows] == c]
-                    for to in (c, c + 1) if ratio else (c,):
-                        k = blocks(to, shard)
-                        block = (spread[own] % np.uint64(k)).astype(np.int32)
-                        for t in range(k):
-                            yield pd.DataFrame({"shard": to * len(tree.rows) + shard, "i": np.minimum(block, t).astype(np.int32), "j": np.maximum(block, t).astype(np.int32), "node": node[own], "fp": x[own], "size": size[own], "block": block, **{c: v[own] for c, v in more.items()}})
+                k = max(1, int(np.ceil(tree.rows[shard] / block_rows)))
+                block = (spread[rows] % np.uint64(k)).astype(np.int32)
+                for t in range(k):
+                    yield pd.DataFrame({"shard": shard, "i": np.minimum(block, t).astype(np.int32), "j": np.maximum(block, t).astype(np.int32), "node": node[rows], "fp": x[rows], "block": block})
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy()
         side = pdf["block"].to_numpy() if pdf["i"].iat[0] != pdf["j"].iat[0] else None
-        fp, size = pdf["fp"].to_numpy().view(np.uint64), pdf["size"].to_numpy()
-        if sets:
-            load = lambda rows: read_sets(sets, *(pdf[c].to_numpy()[rows] for c in ("file", "start", "size")))
-            pairs = _verified_forest(fp, size, side, radius, ratio, load)
-        else:
-            pairs = _forest(fp, size, side, radius, ratio)
-        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        a, b = np.array(_forest(pdf["fp"].to_numpy().view(np.uint64), side, radius), np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
-    dealt = items.select("node", "fp", "size", *places, size_class.alias("cls")).mapInPandas(deal, schema)
+    dealt = items.select("node", "fp").mapInPandas(deal, "shard long, i int, j int, node long, fp long, block int")
     return dealt.groupBy("shard", "i", "j").applyInPandas(search, "a long, b long").distinct()
 
 
+#: rows of one sample fingerprint that are searched together, rows and shingles of a task's table of groups
+GROUP_ROWS, TASK_ROWS = 1024, 8192
+#: fingerprints of two texts of similarity 0.8 differ in about 10 bits, in over this many in fewer than 1 of 1e7 pairs
+FAR = 26
+
+
+def _candidates(group: np.ndarray, fp: np.ndarray, size: np.ndarray, side: np.ndarray, samples: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the pairs to verify: of one group (and of different sides where there are two) whose sizes and
+    fingerprints allow the similarity, and which no group of an earlier sample holds too. Rows come in order of group."""
+    left, right = [], []
+    begin = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+    for lo, hi in zip(begin, np.append(begin[1:], len(group)), strict=True):
+        if hi - lo < 2:
+            continue
+        f, n, s = fp[lo:hi], size[lo:hi], side[lo:hi]
+        ok = np.bitwise_count(f[:, None] ^ f) <= FAR
+        ok &= np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n)
+        if s.any():
+            ok &= s[:, None] != s
+        i, j = np.nonzero(np.triu(ok, 1))
+        left.append(i + lo), right.append(j + lo)
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(left), np.concatenate(right)
+    for at in range(samples.shape[1]):  # the first equal sample is the one whose group has to do the work
+        equal = samples[i, at] == samples[j, at]
+        mine = samples[i, at] == group[i]
+        keep = ~equal | mine
+        if at == 0:
+            done = equal & mine
+        else:
+            keep |= done
+            done |= equal & mine
+        i, j, done = i[keep], j[keep], done[keep]
+    return i, j
+
+
+def _verified(i: np.ndarray, j: np.ndarray, size: np.ndarray, ids: np.ndarray, begin: np.ndarray, similarity: float, n: int) -> list:
+    """Those pairs, as a forest, whose sets (ids[begin[x]:begin[x] + size[x]] of row x) are similar. Pairs whose ends are
+    joined already aren't looked at."""
+    joined, out, mark = _Joined(n), [], np.zeros(int(ids.max(initial=0)) + 1, bool)
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    first = np.flatnonzero(np.diff(i, prepend=-1))
+    for lo, hi in zip(first, np.append(first[1:], len(i)), strict=True):
+        a, others = int(i[lo]), j[lo:hi]
+        others = others[joined.label[others] != joined.label[a]]
+        if not len(others):
+            continue
+        own, m = ids[begin[a] : begin[a] + size[a]], size[others]
+        ends = np.cumsum(m)
+        mark[own] = True
+        shared = np.add.reduceat(mark[ids[np.repeat(begin[others] - (ends - m), m) + np.arange(ends[-1])]], ends - m, dtype=np.int64)
+        mark[own] = False
+        for b in others[shared >= similarity * (size[a] + m - shared)].tolist():
+            if joined.join(a, b):
+                out.append((a, b))
+    return out
+
+
+def similar_links(items: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of nodes that connect what pairs of shingle sets of at least the similarity connect.
+
+    items: node long, fp, size, samples of set_fingerprints, from a written table; texts: (node, text) of the same
+    nodes. Nodes with an equal sample fingerprint are a group, whose pairs are verified on their sets, each pair in the first of its
+    groups. Large groups are cut into blocks of GROUP_ROWS, and each pair of blocks is a row range of its own.
+    """
+    spark = items.sparkSession
+    items = items.where("size > 0")
+    each = items.select("node", F.explode("samples").alias("sample"))
+    groups = each.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(each.join(groups, "sample"))
+    ends = materialize(shared.select("node").distinct())
+    folder = new_folder(spark, "shingle-sets")
+    places = materialize(write_sets(texts.join(broadcast_if_small(ends), "node", "left_semi"), k, folder))
+    near = materialize(places.join(items, "node"))
+    cut = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
+    dealt = shared.select("sample", "node", cut.alias("k")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("sample", "node", "block", F.least("block", "t").alias("i"), F.greatest("block", "t").alias("j"))
+    tasks = max(1, -(-shared.count() // TASK_ROWS))
+    rows = dealt.join(near, "node").withColumn("task", F.pmod(F.xxhash64("sample", "i", "j"), F.lit(tasks)))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["sample", "i", "j"], ignore_index=True)
+        out = []
+        cells = pdf[["sample", "i", "j"]].to_numpy()
+        begin = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(axis=1)))
+        # pairs of blocks of one sample are groups of their own; some thousand rows are looked at together
+        at = 0
+        while at < len(begin):
+            to = at + 1
+            stop = lambda x: begin[x] if x < len(begin) else len(pdf)
+            while to < len(begin) and stop(to + 1) - begin[at] <= 2 * GROUP_ROWS and (cells[begin[to], 0] != cells[begin[at:to], 0]).all():
+                to += 1
+            out += links(pdf.iloc[begin[at] : stop(to)])
+            at = to
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": a, "b": b})
+
+    def links(part: pd.DataFrame) -> list:
+        col = {c: part[c].to_numpy() for c in ("sample", "node", "fp", "size", "block", "i", "j", "file", "start")}
+        side = np.where(col["i"] == col["j"], 0, np.where(col["block"] == col["i"], 1, 2))
+        i, j = _candidates(col["sample"], col["fp"].view(np.uint64), col["size"], side, np.stack(part["samples"].to_numpy()), similarity)
+        if not len(i):
+            return []
+        # nodes are few: a node's set is read once for all its rows here
+        used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+        nodes, at, which = np.unique(col["node"][used], return_index=True, return_inverse=True)
+        size = col["size"][used][at].astype(np.int64)
+        ids = np.unique(read_sets(folder, col["file"][used][at], col["start"][used][at], size), return_inverse=True)[1]
+        x, y = which[back[: len(i)]], which[back[len(i) :]]
+        found = _verified(np.minimum(x, y), np.maximum(x, y), size, ids, np.cumsum(size) - size, similarity, len(nodes))
+        return [(int(nodes[a]), int(nodes[b])) for a, b in found]
+
+    return rows.groupBy("task").applyInPandas(search, "a long, b long").distinct()
+
+
 def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs; see the module's docstring."""
     fps = fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, "text", ["doc_id"])
     fps = materialize(fps)
     items = materialize(fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")))
-    links = hamming_links(items.select("node", F.col("node").alias("fp"), F.lit(0).alias("size")), radius)
+    links = hamming_links(items.select("node", F.col("node").alias("fp")), radius)
     comp = materialize(connected_components(links))
     joined = items.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = materialize(joined)
@@ -335,33 +424,30 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str
     )
 
 
-def near_dedup(docs: DataFrame, k: int = 5, radius: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-copies: of each group the row with the smallest doc_id stays (nulls last), all columns kept.
+def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near-copies: of each group the row with the smallest doc_id stays (nulls last, of several one), all columns kept.
 
-    A group is joined by links between texts whose fingerprints over distinct k-word shingles differ in radius bits at
-    most and whose shingle sets (64-bit hashes) have a Jaccard similarity of at least similarity; every such pair is
-    found. Texts with any other within radius are looked for first, and only their sets are written to the shared
-    folder, where the search for verified links reads them. Equal texts are one node. Texts without words are linked to
-    equal ones only. docs must come from a file or table, as its rows are numbered in two scans.
+    A group is joined by links between texts whose sets of k-word shingles (lower case, 64-bit hashes) have a Jaccard
+    similarity of at least similarity. Candidates are texts with an equal sample fingerprint (see sample_fingerprints);
+    each is verified on the sets. Bits of whole-text fingerprints rule out the rest of unlike pairs only: at 0.8 they
+    differ so much that no bounds of a vantage-point tree prune.
+
+    Equal texts (128-bit hash) are one node. Null is empty; texts without words are linked to equal ones only; texts of
+    fewer words than a shingle have one; very long texts have all their shingles; an empty table gives none.
     """
+    docs = stable(docs)
     numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
     slim = numbered.select(F.col(ROW).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    slim = slim.withColumn("_node", F.xxhash64("_text"))
-    fps = materialize(fingerprints(slim, k, "_text", ["_row", "_id", "_node"], distinct=True))
+    slim = slim.withColumn("_key", F.unhex(F.md5(F.col("_text").cast("binary"))))
+    rows = materialize(set_fingerprints(slim, k, "_text", ["_row", "_id", "_key"]))
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"))
-    items = fps.groupBy(F.col("_node").alias("node")).agg(
-        F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size")
-    )
-    items = materialize(items)
-    links = materialize(hamming_links(items.where("size > 0"), radius, similarity))
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    rows = broadcast_if_small(materialize(ends.join(items, "node").select("node", F.col("first.row").alias("_row"))))
-    texts = slim.select("_row", "_text").join(rows, "_row").select("node", F.col("_text").alias("text"))
-    folder = new_folder(docs.sparkSession, "shingle-sets")
-    near = materialize(items.join(materialize(write_sets(texts, k, folder)), "node"))
-    comp = connected_components(hamming_links(near, radius, similarity, sets=folder))
-    groups = materialize(items.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    kept = materialize(groups.groupBy("component").agg(F.min("first").alias("first")))
-    keep = materialize(groups.join(kept.select("component", F.col("first.row").alias("_keep")), "component").select(F.col("node").alias("_node"), "_keep"))
-    gone = materialize(fps.join(keep, "_node").where("_row <> _keep").select(F.col("_row").alias(ROW)))
+    items = rows.groupBy("_key").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("samples").alias("samples"))
+    items = materialize(items.withColumn("node", F.monotonically_increasing_id()))
+    one = items.select(F.col("first.row").alias("_row"), "node")
+    texts = slim.select("_row", F.col("_text").alias("text")).join(one, "_row").select("node", "text")
+    comp = connected_components(similar_links(items.select("node", "fp", "size", "samples"), texts, k, similarity))
+    groups = materialize(items.select("node", "_key", "first").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    kept = groups.groupBy("component").agg(F.min("first").alias("first")).select("component", F.col("first.row").alias("_keep"))
+    keep = materialize(groups.join(kept, "component").select("_key", "_keep"))
+    gone = materialize(rows.select("_row", "_key").join(keep, "_key").where("_row <> _keep").select(F.col("_row").alias(ROW)))
     return numbered.join(broadcast_if_small(gone), ROW, "left_anti").select(*quoted(docs.columns))
