@@ -11,6 +11,8 @@ import public_tokenizers as P
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from waymark.llm import ann, bpe, common, decontaminate, ngram_lm, pfor, quality, sharding, simhash, substring, toxicity
 
 DATA = "/root/testdata/sf0.001"
@@ -480,6 +482,68 @@ def test_quality(spark, docs, odd, empty):
     assert quality.score_quality(empty, marks).count() == 0
 
 
+def test_training_rows_are_bounded(spark):
+    df = spark.createDataFrame([(1 if i < 300 else i, f"t{i % 37}") for i in range(400)], "doc_id long, text string")
+    marks = labels(spark, [(i, 1, 1) for i in [1, *range(300, 400)]])
+    rows = quality.training_rows(df, marks, "quality", 3, 1, 10_000)
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    whole = sorted(r.h for r in rows.collect())
+    assert len(whole) == 300 * (not held(1)) + sum(not held(i) for i in range(300, 400))
+    few = quality.training_rows(df, marks, "quality", 3, 1, 60)
+    ids = sorted(r.doc_id for r in df.join(marks, "doc_id").where("crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(60).collect())
+    some = sorted(r.h for r in df.where(F.col("doc_id").isin(ids)).select(F.xxhash64("doc_id", "text").alias("h")).collect())
+    assert sorted(r.h for r in few.collect()) == some[:60]
+    got = []
+    ftrl = toxicity.ftrl
+    try:
+        toxicity.ftrl = lambda rows, *a: got.extend(rows) or ftrl(rows, *a)
+        toxicity.fit_toxicity(df, marks, max_features=25)
+    finally:
+        toxicity.ftrl = ftrl
+    assert 0 < sum(len(f) for f, _ in got) <= 25
+
+
+def test_ftrl_is_the_slow_version():
+    rng = np.random.default_rng(6)
+    rows = [(np.unique(rng.integers(0, 40, 9)).astype(np.int32), int(rng.random() < 0.4)) for _ in range(120)]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.3, 0.1
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        free = l1 if i != "bias" else 0.0
+        rate = (beta + math.sqrt(n[i])) / alpha + (l2 if i != "bias" else 0.0)
+        return 0.0 if abs(z[i]) <= free else (math.copysign(free, z[i]) - z[i]) / rate
+
+    for _ in range(3):
+        for f, y in rows:
+            at = [*f.tolist(), "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    m = toxicity.ftrl(rows, alpha, beta, l1, l2, 3)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert dict(zip(m.index.tolist(), m.weight.tolist(), strict=True)) == pytest.approx(want) and m.bias == pytest.approx(weight("bias"))
+
+
+def test_ridge_is_least_squares(spark):
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = quality.fit_quality(df, marks, n_features=40, ridge=0.01)
+    rows = quality.training_rows(df, marks, "quality", 3, 1, quality.MAX_ROWS)
+    rows = rows.withColumn("c", F.pmod(F.xxhash64(F.lit("calibrate"), "h"), F.lit(quality.CALIBRATED)) == 0).collect()
+    fitted = [r for r in rows if not r.c] if sum(r.c for r in rows) >= quality.LEAST else rows
+    phi = m.features(np.stack([quality.statistics(r.text) for r in fitted]))
+    y = np.array([r.y for r in fitted], float)
+    # the same minimum, as least squares over rows to which the penalty's rows are added
+    root = np.diag([math.sqrt(0.01 * len(y))] * 40 + [math.sqrt(1e-9)])
+    want = np.linalg.lstsq(np.vstack([phi, root]), np.concatenate([y, np.zeros(41)]), rcond=None)[0]
+    assert np.allclose(m.beta, want, atol=1e-6)
+    assert (np.diff(m.values) >= 0).all()
+
+
 def test_isotonic():
     k, v = quality.isotonic(np.array([3.0, 1, 2, 2, 4]), np.array([0.0, 0, 1, 1, 1]))
     assert np.interp([0, 1, 2, 3, 4, 9], k, v).tolist() == pytest.approx([0, 0, 2 / 3, 2 / 3, 1, 1])

@@ -2,11 +2,14 @@
 
 The Fourier features cos(Wx + b) approximate a Gaussian kernel over standardized statistics of the text alone. Each
 partition of the training table sums its part of the normal equations; the driver adds the parts and solves them.
-Training takes at most max_rows labelled rows, those whose ids hash lowest; scores are for every row and whole texts.
+Training takes at most max_rows rows of documents with labels, those that hash lowest; one in CALIBRATED of them, chosen by hash,
+is left out of the equations and calibrates the scores (all rows do both where that part is too small or holds one
+class only). Scores are for every row and whole texts.
 
 Defined results: null and empty texts have all-zero statistics and are scored like others; rows without a doc_id are
 scored and never learned from; labels that are null or for absent documents are left out; of several labels for one
-doc_id the largest counts, and of several texts each is learned from; without both classes every score is 0.5 or the one
+doc_id the largest counts, and of several texts or repeated rows each is learned from, up to max_rows; very long texts are
+measured whole; without both classes every score is 0.5 or the one
 class seen; an empty table gives no rows.
 """
 
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MAX_ROWS = 40_000
+#: one in so many training rows calibrates, if there are at least LEAST of them
+CALIBRATED, LEAST = 4, 200
 N_STATS = 18
 
 
@@ -89,32 +94,52 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return knots, np.repeat([b[0] for b in blocks], 2)
 
 
-def training_labels(labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int) -> DataFrame:
-    """(doc_id, y) of at most max_rows labelled ids outside the held-out fold, those that hash lowest."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_rows: int) -> DataFrame:
+    """(h, y, text): at most max_rows rows of docs with a label and outside the held-out fold, those of the lowest h, a
+    hash of id and text. Labels are cut to the max_rows ids that hash lowest first, so that the join's small side is
+    bounded too; several rows of one id are cut after it."""
     y = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     y = y.where(F.crc32(F.col("doc_id").cast("string")) % modulus != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = materialize(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    # chosen has max_rows rows of two numbers at most: a proven bound for the broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")
+    total = rows.count()
+    if total <= max_rows:
+        return rows
+    # the hash below which about max_rows rows lie, from a histogram of its upper bits; the limit cuts ties
+    bucket = F.shiftright("h", 48)
+    upto, n = None, 0
+    for r in rows.groupBy(bucket.alias("b")).count().orderBy("b").collect():  # 65,536 rows at most
+        upto, n = r.b, n + r["count"]
+        if n >= max_rows:
+            break
+    return rows.where(bucket <= upto).orderBy("h").limit(max_rows)
 
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held_out: int = 1, max_rows: int = MAX_ROWS, n_features: int = 256, gamma: float = 0.05, ridge: float = 1e-3
 ) -> QualityModel:
     """A model learned from labelled rows whose crc32(doc_id as text) mod modulus is not held_out."""
-    chosen = materialize(training_labels(labels, label, modulus, held_out, max_rows))
-    schema = "y int, x array<double>"
+    schema = "y int, c boolean, x array<double>"
 
     def measure(batches):
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "x": [statistics(t) for t in pdf["text"]]})
-
-    # chosen has max_rows rows of two numbers at most: a proven bound for the broadcast
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
-    train = materialize(train.mapInPandas(measure, schema).repartition(8))
+            yield pd.DataFrame({"y": pdf["y"], "c": pdf["c"], "x": [statistics(t) for t in pdf["text"]]})
+
+    rows = training_rows(docs, labels, label, modulus, held_out, max_rows)
+    calibrates = F.pmod(F.xxhash64(F.lit("calibrate"), "h"), F.lit(CALIBRATED)) == 0
+    train = materialize(rows.select("y", calibrates.alias("c"), "text").mapInPandas(measure, schema).repartition(8))
+    parts = train.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).collect()
+    apart = len(parts) == 2 and all(r.lo < r.hi for r in parts) and min(r.n for r in parts) >= LEAST
+    if not apart:
+        fitted = calibrating = train
+    else:
+        fitted, calibrating = train.where(~F.col("c")), train.where("c")
     rng = np.random.default_rng(7)
     w = rng.normal(0, np.sqrt(2 * gamma), (N_STATS, n_features))
     b = rng.uniform(0, 2 * np.pi, n_features)
     parts = [F.struct(F.avg(F.col("x")[i]), F.stddev_pop(F.col("x")[i])) for i in range(N_STATS)]
-    row = train.agg(F.count(F.lit(1)), *parts).first()
+    row = fitted.agg(F.count(F.lit(1)), *parts).first()
     if not row[0]:
         zero = np.zeros(n_features + 1)
         return QualityModel(np.zeros(N_STATS), np.ones(N_STATS), w, b, zero, np.zeros(1), np.full(1, 0.5))
@@ -131,7 +156,7 @@ def fit_quality(
         yield pd.DataFrame({"a": [a.tobytes()], "v": [v.tobytes()]})
 
     a, v = np.zeros((n_features + 1, n_features + 1)), np.zeros(n_features + 1)
-    for r in train.mapInPandas(sums, "a binary, v binary").collect():
+    for r in fitted.mapInPandas(sums, "a binary, v binary").collect():
         a += np.frombuffer(r.a).reshape(a.shape)
         v += np.frombuffer(r.v)
     penalty = np.eye(len(v)) * ridge * row[0]
@@ -143,7 +168,7 @@ def fit_quality(
             if len(pdf):
                 yield pd.DataFrame({"s": model.features(np.stack(pdf["x"].to_numpy())) @ model.beta, "y": pdf["y"].astype(float)})
 
-    got = train.mapInPandas(raw, "s double, y double").collect()  # two numbers for each of max_rows rows at most
+    got = calibrating.mapInPandas(raw, "s double, y double").collect()  # two numbers for each of max_rows rows at most
     model.knots, model.values = isotonic(np.array([r.s for r in got]), np.array([r.y for r in got]))
     return model
 

@@ -2,11 +2,13 @@
 
 Each distinct hashed feature of a text (words, word pairs, pairs with one or two words between) has its own learning
 rate; the L1 term leaves few non-zero weights, which are sent to the workers as two short sorted arrays.
-Features of at most max_rows labelled rows (ids that hash lowest) are made on the executors, and the driver runs the
-passes over them one row at a time, as FTRL-proximal does. Scores are for all rows and whole texts.
+Features of at most max_rows rows of documents with labels (those that hash lowest) are made on the executors, and the driver runs
+the passes over them one row at a time, as FTRL-proximal does. The driver takes at most max_features numbers of four
+bytes: rows are taken in order of their hash, without those that would go beyond. Scores are for all rows and whole texts.
 
 Defined results: null and empty texts have the bias alone; rows without a doc_id are scored, never learned from; null
-labels are left out, of several for one doc_id the largest counts; without labels every score is 0.5.
+labels are left out, of several for one doc_id the largest counts; of several texts or repeated rows each is learned
+from, up to the bounds; without labels every score is 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, words
-from .quality import training_labels
+from .quality import training_rows
 
 BITS = 22
 MAX_ROWS = 8_000
+#: 80 MB
+MAX_FEATURES = 20_000_000
 SPAN = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,20 +84,29 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float, beta: float, l1: floa
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.0, epochs: int = 8
+    docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.0, epochs: int = 8
 ) -> ToxicityModel:
     """A model learned from labelled rows whose crc32(doc_id as text) mod modulus is not held_out."""
-    chosen = materialize(training_labels(labels, "toxic", modulus, held_out, max_rows))
 
     @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t).tobytes() for t in texts], dtype=object)
 
-    # chosen has max_rows rows of two numbers at most: a proven bound for the broadcast
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    train = train.select("doc_id", "y", hashed("text").alias("f"), F.xxhash64("text").alias("h"))
-    got = sorted(train.collect(), key=lambda r: (hash((r.h, r.doc_id)), r.doc_id))
-    return ftrl([(np.frombuffer(r.f, np.int32), r.y) for r in got], alpha, beta, l1, l2, epochs)
+    rows = training_rows(docs, labels, "toxic", modulus, held_out, max_rows)
+    train = materialize(rows.select("h", "y", hashed("text").alias("f")))
+    taken, total = set(), 0
+    for r in train.select("h", (F.length("f") / 4).cast("long").alias("n")).orderBy("h", "n").collect():  # max_rows at most
+        if total + r.n <= max_features:
+            taken.add((r.h, r.n))
+            total += r.n
+    got = ((r.h, r.y, np.frombuffer(r.f, np.int32)) for r in train.toLocalIterator())
+    got = sorted((r for r in got if (r[0], len(r[2])) in taken), key=lambda r: (hash((r[0], 1)), r[1]))
+    held, learned = 0, []
+    for _, y, f in got:  # equal rows share a hash: the bound holds for them as well
+        if held + len(f) <= max_features:
+            learned.append((f, y))
+            held += len(f)
+    return ftrl(learned, alpha, beta, l1, l2, epochs)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, **options) -> DataFrame:
