@@ -262,29 +262,41 @@ def test_spans_and_cuts(spark, odd):
 # 3
 
 
-def test_byte_bpe(spark, docs, odd, empty):
-    c = bpe.codec(RANKS, P.PATTERN)
-    for df in (docs, odd):
+@pytest.mark.parametrize("sizes", [(bpe.CHUNK, bpe.OVERLAP, bpe.PART), (16, 8, 1 << 10), (64, 4, 200)])
+def test_byte_bpe(spark, docs, odd, empty, sizes):
+    """Chunks and parts down to a few characters, through the query's own path."""
+    c, at = bpe.codec(RANKS, P.PATTERN), dict(zip(("chunk", "overlap", "part"), sizes, strict=True))
+    for df in (docs.limit(80), odd):
         want = []
         for i, t in texts_of(df):
             ids = c.encoding.encode_ordinary(t or "")
             want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-        assert sorted((tuple(r) for r in bpe.round_trip(df, RANKS, P.PATTERN).collect()), key=repr) == sorted(want, key=repr)
-    assert bpe.round_trip(empty, RANKS, P.PATTERN).count() == 0
-    both = bpe.decode_documents(bpe.encode_documents(odd, RANKS, P.PATTERN), RANKS, P.PATTERN)
-    assert all(bytes(r.decoded).decode() == (r.text or "") for r in both.collect())
+        assert sorted((tuple(r) for r in bpe.round_trip(df, RANKS, P.PATTERN, **at).collect()), key=repr) == sorted(want, key=repr)
+    assert bpe.round_trip(empty, RANKS, P.PATTERN, **at).count() == 0
+
+
+def test_columns_of_encoded_documents(spark, odd, empty):
+    df = odd.withColumn("ids", F.lit("mine")).withColumn("Decoded", F.lit(1))
+    both = bpe.decode_documents(bpe.encode_documents(df, RANKS, P.PATTERN, part=300), RANKS, P.PATTERN, ids_col="ids_1")
+    assert both.columns == [*df.columns, "ids_1", "decoded_1"]
+    assert all(bytes(r.decoded_1).decode() == (r.text or "") and r.ids == "mine" and r.Decoded == 1 for r in both.collect())
+    assert bpe.encode_documents(empty, RANKS, P.PATTERN).count() == 0
 
 
 def test_chunks_meet():
     c = bpe.codec(RANKS, P.PATTERN)
     rng = np.random.default_rng(1)
-    bits = ["a", "Bc", " ", "  ", "\n", "\n \n", "12", "'s", "'", "!?", "é", "日", " ", "word" * 9, " " * 40, "x" * 70]
+    bits = ["a", "Bc", " ", "  ", "\n", "\n \n", "12", "'s", "'", "!?", "é", "日", "\u00a0", "word" * 9, " " * 40, "x" * 70]
     for _ in range(150):
         t = "".join(rng.choice(bits, 120))
-        for chunk, overlap in ((16, 4), (40, 8)):
-            cuts = c.cuts(t, chunk, overlap)
-            assert cuts[0] == 0 and cuts[-1] == len(t) and all(a < b for a, b in pairwise(cuts))
-            assert c.encode(t, chunk, overlap).tolist() == c.encoding.encode_ordinary(t)
+        for chunk, overlap in ((16, 4), (40, 8), (7, 30)):
+            runs = list(c.stitched(t, chunk, overlap))
+            assert [p for r, _ in runs for p in r] == c.pattern.findall(t)
+            assert [s for _, r in runs for s in r.tolist()] == [m.start() for m in c.pattern.finditer(t)]
+            assert np.frombuffer(c.encode(t, chunk, overlap), "<u4").tolist() == c.encoding.encode_ordinary(t)
+    some = bpe.Codec(RANKS, r"[a-z]+|[0-9]")  # leaves characters out
+    for t in ("ab 12!cd", "", "!!", "a" * 50 + "--" + "7" * 50):
+        assert np.frombuffer(some.encode(t, 16, 8), "<u4").tolist() == some.encoding.encode_ordinary(t)
 
 
 # 4

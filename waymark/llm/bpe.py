@@ -1,20 +1,27 @@
 """Byte-level BPE by overlapping chunks.
 
-A long text is cut into overlapping chunks that are pre-tokenised on their own; a chunk's pre-token boundaries are
-taken over from the place where they meet the previous chunk's boundaries (from there on both agree, as the pattern
-looks ahead only). The text is then cut at boundaries that follow a non-blank character, where both sides
-pre-tokenise alone as they do together, and the pieces are encoded. Decoding joins the tokens' raw bytes.
+Every text is cut into chunks that overlap, each chunk is pre-tokenised on its own, and neighbours are stitched where their
+pre-token boundaries meet again: from a boundary that both have on, both have the same pre-tokens, as the pattern looks
+ahead only. The pre-tokens so found are encoded, each distinct one once while it is remembered. Where two chunks don't
+meet in their overlap (one pre-token is longer), they are pre-tokenised as one.
+
+A text of over PART bytes is spread over tasks by the same rule: parts of it are pre-tokenised in tasks of their own, which
+send the boundaries in their overlaps; where these meet the text is cut, and the pieces are encoded in tasks of their own.
+Pieces are cut after a non-blank character, where both sides pre-tokenise alone as they do together. Only the ids of such a text are
+gathered in one task, as they are one value. Decoding joins the tokens' raw bytes.
 
 Defined results: null texts are empty; empty texts have no tokens; lone surrogates cannot occur in Spark strings;
-rows are encoded one by one, so repeated rows give repeated results; other columns are not read.
+rows are encoded one by one, so repeated rows give repeated results; an empty table gives no rows; other columns are not
+read. An input column that has the name of a new one stays, and the new one's name gets the first free number (ids_1).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -23,7 +30,28 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+from .common import ROW, stable
+
+CHUNK, OVERLAP = 1 << 12, 1 << 8
+PART = 1 << 20
+#: pre-tokens remembered, of at most so many characters
+REMEMBERED, SHORT = 500_000, 64
+
+
+class _Pieces(dict):
+    """The ids of pre-tokens as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.encode(piece.encode()), "<u4").tobytes()
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Codec:
@@ -34,45 +62,62 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pieces = _Pieces(self.encoding._core_bpe.encode_single_piece)
         self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
 
-    def _starts(self, text: str, lo: int, hi: int) -> list[int]:
-        """Starts of the matches in text[lo:hi], and hi."""
-        return [lo + m.start() for m in self.pattern.finditer(text[lo:hi])] + [hi]
-
-    def cuts(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-        """Places that split text into pieces of about a chunk: 0, cuts, len(text)."""
-        n, out, lo = len(text), [0], 0
-        while n - lo > chunk:
-            hi = lo + chunk
-            mine = self._starts(text, lo, hi)
-            # a match that the chunk's end may have shortened, and the blank look-ahead before it, are not trusted
-            trusted = {s for s in mine[:-2] if s > out[-1]}
-            at, meet = max(lo + 1, hi - overlap), None
-            while meet is None and at > lo:
-                ahead = self._starts(text, at, min(n, hi + overlap))[:-2]
-                meet = next((s for s in ahead if s in trusted and s > lo and not text[s - 1].isspace()), None)
-                if at == lo + 1:
-                    break
-                at = max(lo + 1, at - 4 * overlap)
-            if meet is None:
-                chunk *= 2  # one pre-token, or blanks only: look at more at once
+    def pre_tokens(self, text: str, lo: int, hi: int) -> tuple[list[str], np.ndarray]:
+        """(the matches in text[lo:hi], where each starts)."""
+        found = [] if self.pattern.groups else self.pattern.findall(text, lo, hi)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        if self.pattern.groups or int(size.sum()) != hi - lo:  # a pattern that leaves characters out
+            spans = [m.span() for m in self.pattern.finditer(text, lo, hi)]
+            return [text[a:b] for a, b in spans], np.array([a for a, _ in spans], np.int64)
+        return found, lo + np.cumsum(size) - size
+
+    def stitched(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[list[str], np.ndarray]]:
+        """The pre-tokens of text and their starts, as runs of the chunks that they come from."""
+        n = len(text)
+        bounds = [(lo, min(n, lo + chunk + overlap)) for lo in range(0, max(1, n), chunk)]
+        while len(bounds) > 1 and bounds[-2][1] == n:  # the last chunk lies in the overlap of the one before
+            bounds.pop()
+        held, at = self.pre_tokens(text, *bounds[0]), 0
+        lo = bounds[0][0]
+        for a, b in bounds[1:]:
+            new = self.pre_tokens(text, a, b)
+            # the last match may go on beyond its chunk: its start, and what lies behind, is not trusted
+            both = np.intersect1d(held[1][at:-1], new[1][new[1] > a], assume_unique=True)
+            if not len(both):
+                held, at = self._together(text, lo, b, held, at), 0
+                lo = int(held[1][0]) if len(held[1]) else lo
                 continue
-            out.append(meet)
-            lo = meet
-        return [*out, n]
-
-    def encode(self, text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
-        text = text or ""
-        one = lambda s: self.encoding.encode_to_numpy(s, disallowed_special=())
-        if len(text) <= chunk:
-            return one(text).astype("<u4", copy=False)
-        return np.concatenate([one(text[a:b]) for a, b in pairwise(self.cuts(text, chunk, overlap))]).astype("<u4")
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+            end, first = np.searchsorted(held[1], both[0]), np.searchsorted(new[1], both[0])
+            yield held[0][at:end], held[1][at:end]
+            held, at, lo = new, int(first), int(both[0])
+        yield held[0][at:], held[1][at:]
+
+    def _together(self, text: str, lo: int, hi: int, held: tuple[list[str], np.ndarray], at: int) -> tuple[list[str], np.ndarray]:
+        """Pre-tokens from the last trusted one of held up to hi, behind those before it."""
+        keep = max(at, len(held[0]) - 2)
+        start = int(held[1][keep]) if len(held[1]) > keep else lo
+        more = self.pre_tokens(text, start, hi)
+        return held[0][at:keep] + more[0], np.concatenate([held[1][at:keep], more[1]])
+
+    def encode(self, text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        runs = (found for found, _ in self.stitched(text or "", chunk, overlap))
+        return b"".join(map(self.pieces.__getitem__, chain.from_iterable(runs)))
+
+    def edges(self, text: str, before: int, after: int, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+        """Boundaries of a part of a text, after non-blank characters: those below `before`, and those from `after` on but the last."""
+        starts = np.concatenate([s for _, s in self.stitched(text, chunk, overlap)])
+        ok = [s for s in starts[(starts < before) | (starts >= after)].tolist() if s > 0 and not text[s - 1].isspace()]
+        last = int(starts[-1]) if len(starts) else 0
+        return [s for s in ok if s < before], [s for s in ok if after <= s < last]
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -81,38 +126,95 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with the first number that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in chain([name], (f"{name}_{i}" for i in range(1, len(taken) + 2))) if x.lower() not in taken)
+
+
+def _long_ids(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int, part: int) -> DataFrame:
+    """(ROW, ids) of texts (ROW, text) that are spread over tasks; part: characters in a part."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lap = 16 * overlap
+
+    def parts(batches):
+        for pdf in batches:
+            for row, text in zip(pdf[ROW].tolist(), pdf["text"], strict=True):
+                for i, lo in enumerate(range(0, len(text), part)):
+                    yield pd.DataFrame({ROW: [row], "part": [i], "text": [text[lo : lo + part + lap]]})
+
+    def edges(batches):
+        for pdf in batches:
+            for row, i, text in zip(pdf[ROW].tolist(), pdf["part"].tolist(), pdf["text"], strict=True):
+                head, tail = codec(path, pattern).edges(text, lap, part, chunk, overlap)
+                yield pd.DataFrame({ROW: [row], "part": [i], "head": [[i * part + s for s in head]], "tail": [[i * part + s for s in tail]]})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        cuts, last = [], 0
+        for tail, head in zip(pdf["tail"].iloc[:-1], pdf["head"].iloc[1:], strict=True):
+            # parts that don't meet stay one piece
+            if len(both := np.intersect1d(tail, head)) and both[0] > last:
+                last = int(both[0])
+                cuts.append(last)
+        return pd.DataFrame({ROW: pdf[ROW].iloc[:1], "cuts": [cuts]})
+
+    def pieces(batches):
+        for pdf in batches:
+            for row, text, cuts in zip(pdf[ROW].tolist(), pdf["text"], pdf["cuts"], strict=True):
+                for i, (a, b) in enumerate(pairwise([0, *cuts, len(text)])):
+                    yield pd.DataFrame({ROW: [row], "piece": [i], "text": [text[a:b]]})
+
+    def encode(batches):
+        for pdf in batches:
+            yield pd.DataFrame({ROW: pdf[ROW], "piece": pdf["piece"], "ids": [codec(path, pattern).encode(t, chunk, overlap) for t in pdf["text"]]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({ROW: pdf[ROW].iloc[:1], "ids": [b"".join(pdf.sort_values("piece")["ids"])]})
+
+    cut = texts.mapInPandas(parts, f"{ROW} long, part int, text string").repartition(tasks, ROW, "part")
+    cut = cut.mapInPandas(edges, f"{ROW} long, part int, head array<long>, tail array<long>").groupBy(ROW).applyInPandas(meet, f"{ROW} long, cuts array<long>")
+    each = texts.join(cut, ROW).mapInPandas(pieces, f"{ROW} long, piece int, text string").repartition(tasks, ROW, "piece")
+    return each.mapInPandas(encode, f"{ROW} long, piece int, ids binary").groupBy(ROW).applyInPandas(whole, f"{ROW} long, ids binary")
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, part: int = PART) -> DataFrame:
     """docs' columns plus ids (binary, little-endian unsigned 32-bit) of the text column."""
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
-        c = codec(path, pattern)
-        return pd.Series([c.encode(t).tobytes() for t in texts], dtype=object)
+        return pd.Series([codec(path, pattern).encode(t, chunk, overlap) for t in texts], dtype=object)
 
-    return docs.withColumn("ids", encode("text"))
+    docs, name = stable(docs), free_name(docs, name)
+    text = F.col(f"`{text_col}`")
+    long = F.coalesce(F.octet_length(text), F.lit(0)) > part
+    if docs.where(long).isEmpty():
+        return docs.withColumn(name, encode(text))
+    short = docs.where(~long).withColumn(name, encode(text))
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id()).where(long)
+    ids = _long_ids(numbered.select(ROW, text.alias("text")), path, pattern, chunk, overlap, part).withColumnRenamed("ids", name)
+    return short.unionByName(numbered.join(ids, ROW).drop(ROW))
 
 
-def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode_documents(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """encoded's columns plus decoded (binary): the joined bytes of ids; null ids decode to nothing.
     An id outside the ranks raises IndexError."""
 
     @F.pandas_udf("binary")
     def decode(ids: pd.Series) -> pd.Series:
-        c = codec(path, pattern)
-        return pd.Series([c.decode(np.frombuffer(x or b"", "<u4")) for x in ids], dtype=object)
+        return pd.Series([codec(path, pattern).decode(x or b"") for x in ids], dtype=object)
 
-    return encoded.withColumn("decoded", decode("ids"))
+    return encoded.withColumn(free_name(encoded, name), decode(F.col(f"`{ids_col}`")))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row, encoded and decoded in one pass over batches."""
+def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, part: int = PART) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row: encoded, then decoded from the ids."""
 
     @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        c, rows = codec(path, pattern), []
-        for t in texts:
-            ids = c.encode(t)
-            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+    def digest(ids: pd.Series) -> pd.DataFrame:
+        c = codec(path, pattern)
+        rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(c.decode(x)).hexdigest()) for x in ids]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", digest("text").alias("r")).select("doc_id", "r.*")
+    coded = encode_documents(docs.select("doc_id", "text"), path, pattern, chunk=chunk, overlap=overlap, part=part)
+    return coded.select("doc_id", digest("ids").alias("r")).select("doc_id", "r.*")
