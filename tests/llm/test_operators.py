@@ -250,9 +250,53 @@ def test_substrings(spark, docs, odd, empty, window):
     assert substring.kept_digest(empty, window).count() == 0
 
 
+def test_factors_are_long(spark, tmp_path):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+
+    def factors(*texts):
+        path = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+        found = collections.defaultdict(list)
+        for r in substring.repeated_spans(spark.read.parquet(path), 35).collect():
+            found[r.doc_id].append((r.start, r.end, r.source_row, r.source_word))
+        return {i: sorted(f) for i, f in found.items()}
+
+    assert factors(two, f"{one} {two}", f"{one} {two}") == {0: [(0, 60, 1, 60)], 1: [(0, 120, 2, 0)], 2: [(0, 120, 1, 0)]}
+    # the first source of the first window ends early; the window across its end leads to a longer one
+    assert factors(f"{one} x", f"{one} {two}", f"{one} {two} y")[2] == [(0, 120, 1, 0)]
+    assert factors(f"{one} {three}", f"{two} {one}", f"z {three} {two} {one}")[2] == [(1, 61, 0, 60), (61, 181, 1, 0)]
+    # only windows across the boundary repeat behind a factor: the second one is what they add
+    w = [f"m{i}" for i in range(80)]
+    got = factors(" ".join(w[:50]), " ".join(w[20:70]), " ".join(w))
+    assert got[2] == [(0, 50, 0, 0), (50, 70, 1, 30)]
+    # a repeat within one document, overlapping itself
+    assert factors(" ".join(["r"] * 50)) == {0: [(0, 49, 0, 1), (49, 50, 0, 34)]}
+
+
+def test_factors_part_the_duplicate_words(spark, docs, odd):
+    for df, window in ((docs, 35), (odd, 35), (docs, 8)):
+        words_of = {}
+        for n, (i, t) in enumerate((r[0], r[1]) for r in df.select(F.monotonically_increasing_id().alias("n"), "text").orderBy("n").collect()):
+            words_of[i] = toks(t)
+        numbered = df.withColumn("doc_id", F.monotonically_increasing_id())
+        spans = collections.defaultdict(list)
+        for r in substring.repeated_spans(numbered, window).collect():
+            spans[r.doc_id].append(r)
+        cover = {i: m for (i, _, m) in slow_cover(list(words_of.items()), window)}
+        for i, m in cover.items():
+            mine = sorted(spans[i], key=lambda r: r.start)
+            assert all(a.end <= b.start for a, b in pairwise(mine))
+            mark = [False] * len(m)
+            for r in mine:
+                mark[r.start : r.end] = [True] * (r.end - r.start)
+                assert words_of[r.source_row][r.source_word : r.source_word + r.end - r.start] == words_of[i][r.start : r.end]
+                assert (r.source_row, r.source_word) != (i, r.start)
+            assert mark == m
+
+
 def test_spans_and_cuts(spark, odd):
     spans = {(r.doc_id, r.start, r.end) for r in substring.repeated_spans(odd.where("doc_id >= 20"), 35).collect()}
-    assert {(20, 0, 120), (21, 1, 121), (22, 0, 120), (22, 120, 180), (23, 1, 61)} <= spans
+    assert spans == {(20, 0, 120), (21, 1, 121), (22, 0, 120), (22, 120, 180), (23, 1, 61)}
     cut = substring.remove_repeats(odd, 35, length_col="n_chars")
     assert cut.columns == odd.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in cut.collect()}

@@ -1,19 +1,27 @@
-"""Repeated passages by relative Lempel-Ziv factors.
+"""Repeated passages by relative Lempel-Ziv parsing.
 
-The reference is the whole corpus, indexed in blocks of the hash space: the index maps every word sequence of one
-window's length that occurs twice or more to its hashes and one source (row, word). Documents are factored greedily against every
-block: a factor starts where the next window is indexed and runs on while the following windows continue the same
-source; where a factor ends, the window at the boundary is looked up again, so that passages that straddle factors
-are found too. Factors of at least a window are the repeated spans.
+The reference is the whole corpus, in two indexes in the shared folder. Windows (word sequences of one window's length) that
+occur twice or more are indexed in blocks of the hash space, each with two of its places (row, word). Reference
+blocks hold, for ranges of rows by hash, the sequences of window hashes at all places that may repeat, so that a match can be followed
+word by word in either direction from any place.
 
-The index is built in two passes, so that only what may repeat is moved. First the minimizers of word 18-grams
+Documents are parsed greedily from left to right. At a word whose window is indexed, the factor is followed along that
+window's source (another place than its own) as far as document and source agree. Then the boundary is checked: if the window that holds
+the first word beyond is indexed as well, its source is followed backwards; if that covers the whole factor, it is the longer
+match and takes its place, and so on. The next factor starts where one ends, or, if only windows across the boundary
+repeat, is what the last of these adds. Factors don't overlap; their union is the duplicate words, and all of it, as
+each indexed window lies in a factor or in two neighbours.
+
+The indexes are built in two passes, so that only what may repeat is moved. First the minimizers of word 18-grams
 (35-word windows; in general half a window) are counted: equal windows have equal minimizers. Then windows whose minimizer
 repeats are counted by a 128-bit hash. Each task sums what it has by sorting before it sends one block of hashes to
-each bucket, so a passage in a third of all documents weighs no more there than others.
+each bucket, so a passage in a third of all documents weighs no more there than others. Buckets are as many as hold
+BUCKET_BYTES of text each.
 
-Defined results: null and empty texts have no words; shorter texts than a window lose nothing; repeated rows repeat
-each other's windows; doc_id may be null or repeated, as rows are scanned on their own; extra columns are not read
-(or, in remove_repeats, kept); an empty table gives an empty result. Windows are compared by 128 hash bits.
+Defined results: null and empty texts have no words; shorter texts than a window lose nothing; very long texts are parsed
+whole; repeated rows repeat each other's windows; doc_id may be null or repeated, as rows are numbered; extra columns are not
+read (or, in remove_repeats, kept); an empty table gives an empty result. Windows are compared by 128 hash bits, and by 64
+of them along a source.
 """
 
 from __future__ import annotations
@@ -21,19 +29,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, new_folder, quoted, words
-from .hashindex import HashIndex, bucket_of, pack, unpack, write_bucket
+from .common import ROW, new_folder, open_folder, put_file, quoted, stable, words
+from .hashindex import HELD_BYTES, HashIndex, bucket_of, pack, unpack, write_bucket
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 FLUSH = 2_000_000
 BATCH_WORDS = 300_000
+BUCKET_BYTES = 32 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -136,13 +147,88 @@ def _send(keys: list[np.ndarray], columns: list[np.ndarray], buckets: int) -> It
     yield pd.DataFrame({"bucket": there.astype(np.int32), "blob": blobs})
 
 
-def build_index(rows: DataFrame, window: int) -> HashIndex:
+class Blocks:
+    """Reference blocks in a folder: runs of window hashes at successive words of a row, by row and word."""
+
+    def __init__(self, uri: str, n: int):
+        self.uri, self.n = uri, n
+        self._open: dict[int, tuple] = {}
+        self._held = 0
+
+    def block_of(self, rows: np.ndarray) -> np.ndarray:
+        return bucket_of(_mix(rows.astype(np.uint64) + np.uint64(1)), self.n)
+
+    def send(self, h: np.ndarray, row: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(block, blob) of hashes that come by rows and words; a row is in one block."""
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)]))
+        size = np.diff(np.append(first, len(h)))
+        at = self.block_of(row[first])
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(self.n + 1))
+        for b in np.flatnonzero(np.diff(ends)):
+            runs = order[ends[b] : ends[b + 1]]
+            n = size[runs]
+            values = h[np.repeat(first[runs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            yield int(b), np.array([len(runs)], "<i8").tobytes() + pack(row[first[runs]], pos[first[runs]].astype("<i8"), n) + values.tobytes()
+
+    @staticmethod
+    def _read(blob) -> tuple[np.ndarray, ...]:
+        n = int(np.frombuffer(blob, "<i8", 1)[0])
+        row, pos, size = np.frombuffer(blob, "<i8", 3 * n, 8).reshape(3, n)
+        return row, pos, size, np.frombuffer(blob, "<u8", int(size.sum()), 8 + 24 * n)
+
+    def write(self, block: int, blobs: list[bytes]) -> None:
+        parts = [self._read(x) for x in blobs]
+        row, pos, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        values = np.concatenate([p[3] for p in parts])
+        first = np.cumsum(size) - size
+        order = np.lexsort((pos, row))
+        n = size[order]
+        values = values[np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        put_file(self.uri, f"r{block:06d}", [np.array([len(n)], "<i8").tobytes(), pack(row[order], pos[order], n), values.tobytes()])
+
+    def _block(self, block: int) -> tuple:
+        if block not in self._open:
+            fs, path = open_folder(self.uri)
+            if isinstance(fs, pafs.LocalFileSystem):
+                raw = np.memmap(f"{path}/r{block:06d}", np.uint8, "r")
+            else:
+                with fs.open_input_file(f"{path}/r{block:06d}") as f:
+                    raw = np.frombuffer(f.read(), np.uint8)
+                self._held += len(raw)
+                if self._held > HELD_BYTES:
+                    self._open.clear()
+                    self._held = len(raw)
+            row, pos, size, values = self._read(raw)
+            self._open[block] = row, pos, np.concatenate([[0], np.cumsum(size)]), values
+        return self._open[block]
+
+    def around(self, row: int, pos: int) -> tuple[np.ndarray, int]:
+        """(the run of hashes that holds word pos of a row, where in the run that is)."""
+        rows, starts, begin, values = self._block(int(self.block_of(np.array([row]))[0]))
+        lo, hi = np.searchsorted(rows, [row, row + 1])
+        i = lo + int(np.searchsorted(starts[lo:hi], pos, side="right")) - 1
+        return values[begin[i] : begin[i + 1]], pos - int(starts[i])
+
+
+@dataclass
+class Index:
+    """What repeats: grams are minimizers, windows have two places, blocks are the reference."""
+
+    grams: HashIndex
+    windows: HashIndex
+    blocks: Blocks
+
+
+def build_index(rows: DataFrame, window: int) -> Index:
     """The index of all windows that occur twice in rows (_row long, text)."""
     spark = rows.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     first, second = new_folder(spark, "grams"), new_folder(spark, "windows")
     grams = HashIndex(first, buckets, ["u8"])
     kinds = ["u8", "u8", "i8", "i4"]
+    blocks = Blocks(new_folder(spark, "reference"), buckets)
 
     def anchors(batches):
         held, n = [], 0
@@ -163,6 +249,12 @@ def build_index(rows: DataFrame, window: int) -> HashIndex:
 
     def windows(batches):
         held, n = [], 0
+
+        def flush():
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield pd.DataFrame(((-1 - b, blob) for b, blob in blocks.send(cols[0], *cols[2:])), columns=["bucket", "blob"])
+            yield from _send(cols[:2], cols[2:], buckets)
+
         for pdf in batches:
             ids = pdf["_row"].to_numpy()
             for at, docs, b in _batches(list(pdf["text"]), window):
@@ -175,96 +267,136 @@ def build_index(rows: DataFrame, window: int) -> HashIndex:
                 held.append([*b.hashes(s), ids[at + which], pos.astype(np.int32)])
                 n += len(s)
                 if n >= FLUSH:
-                    cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-                    yield from _send(cols[:2], cols[2:], buckets)
+                    yield from flush()
                     held, n = [], 0
         if n:
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            yield from _send(cols[:2], cols[2:], buckets)
+            yield from flush()
 
     def indexed(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iat[0])
+        if bucket < 0:
+            blocks.write(-1 - bucket, list(pdf["blob"]))
+            return pd.DataFrame({"bucket": pdf["bucket"][:1]})
         a, b, row, pos = (np.concatenate(c) for c in zip(*(unpack(x, kinds) for x in pdf["blob"]), strict=True))
         order = np.lexsort((pos, row, b, a))
         a, b, row, pos = a[order], b[order], row[order], pos[order]
         same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        head = np.concatenate([[True], ~same]) & np.concatenate([same, [False]])
-        write_bucket(second, int(pdf["bucket"].iat[0]), [a[head], b[head], row[head], pos[head]])
+        head = np.concatenate([[True], ~same])
+        last = np.append(np.flatnonzero(head)[1:], len(a)) - 1
+        head = np.flatnonzero(head)
+        head, last = head[last > head], last[last > head]
+        write_bucket(second, bucket, [a[head], b[head], row[head], pos[head], row[last], pos[last]])
         return pd.DataFrame({"bucket": pdf["bucket"][:1]})
 
     sent = "bucket int, blob binary"
     rows.select("text").mapInPandas(anchors, sent).groupBy("bucket").applyInPandas(repeated, "bucket int").count()
     rows.select("_row", "text").mapInPandas(windows, sent).groupBy("bucket").applyInPandas(indexed, "bucket int").count()
-    index = HashIndex(second, buckets, kinds)
-    index.grams = grams
-    return index
-
-
-def factor(b: Batch, index: HashIndex) -> tuple[np.ndarray, ...]:
-    """Greedy factors of a batch: starts, ends (word numbers in the batch), and their sources' rows and words."""
-    s = b.candidates(index.grams)
-    h1, h2 = b.hashes(s) if len(s) else (s.astype(np.uint64),) * 2
-    found, (other, row, pos) = index.lookup(h1)
-    found &= other == h2
-    s, row, pos = s[found], row[found], pos[found]
-    goes_on = np.zeros(len(s), bool)
-    goes_on[1:] = (s[1:] == s[:-1] + 1) & (row[1:] == row[:-1]) & (pos[1:] == pos[:-1] + 1)
-    first = np.flatnonzero(~goes_on)
-    last = np.append(first[1:], len(s)) - 1 if len(first) else first
-    return s[first], s[last] + b.window, row[first], pos[first]
+    return Index(grams, HashIndex(second, buckets, [*kinds, "i8", "i4"]), blocks)
 
 
-def covered(b: Batch, index: HashIndex) -> np.ndarray:
-    """For each word of the batch, whether a factor covers it."""
-    lo, hi, _, _ = factor(b, index)
-    step = np.zeros(len(b.h) + 1, np.int64)
-    np.add.at(step, lo, 1)
-    np.add.at(step, hi, -1)
-    return np.cumsum(step[:-1]) > 0
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading values are equal."""
+    n = min(len(a), len(b))
+    for at in range(0, n, 1024):
+        differ = np.flatnonzero(a[at : min(n, at + 1024)] != b[at : min(n, at + 1024)])
+        if len(differ):
+            return at + int(differ[0])
+    return n
 
 
-def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text"))
+def factor(b: Batch, index: Index, rows: np.ndarray, lens: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Factors of a batch of documents with these row numbers and numbers of words: (start, end, source's row, source's word),
+    start and end being word numbers in the batch."""
+    s = b.candidates(index.grams)
+    if not len(s):
+        return
+    h1, h2 = b.hashes(s)
+    there, (other, row, pos, row2, pos2) = index.windows.lookup(h1)
+    there &= other == h2
+    s, h, row, pos, row2, pos2 = (x[there] for x in (s, h1, row, pos, row2, pos2))
+    if not len(s):
+        return
+    which = np.searchsorted(b.ends, s, side="right")
+    base = (b.ends - lens)[which]
+    # a window's source is another place than its own
+    own = (row == rows[which]) & (pos == s - base)
+    row, pos = np.where(own, row2, row), np.where(own, pos2, pos).astype(np.int64)
+    # runs of successive indexed windows of one document
+    new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1] + 1) | (which[1:] != which[:-1])]))
+    run_end = np.repeat(np.append(new[1:], len(s)), np.diff(np.append(new, len(s))))
+    run_start = np.repeat(new, np.diff(np.append(new, len(s))))
+    i, done, doc = 0, 0, -1
+    while i < len(s):
+        if which[i] != doc:
+            doc, done = int(which[i]), 0
+        stop, at = int(run_end[i]), i
+        run, k = index.blocks.around(int(row[i]), int(pos[i]))
+        r, p, n = int(row[i]), int(pos[i]), _agree(h[i:stop], run[k:])
+        while i + n < stop:  # the window across the boundary is indexed: its source may hold all of the factor
+            t = i + n
+            run, k = index.blocks.around(int(row[t]), int(pos[t]))
+            back = _agree(h[i:t][::-1], run[max(0, k - n) : k][::-1])
+            if back < n:
+                break
+            ahead = _agree(h[t:stop], run[k:])
+            r, p, n = int(row[t]), int(pos[t]) - n, n + ahead
+        start, end = int(s[i]), int(s[i]) + n - 1 + b.window
+        yield max(start, done), end, r, p + max(start, done) - start
+        done, at = end, i + n
+        # go on at the factor's end, or at the last window across it
+        i = int(np.searchsorted(s, end, side="right")) - 1
+        if i < at or which[i] != doc:
+            i = at
+
+
+def _marks(texts: list, rows: np.ndarray, window: int, index: Index) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(words, whether each is in a factor) for each text, in order."""
+    for at, docs, b in _batches(texts, window):
+        step = np.zeros(len(b.h) + 1, np.int8)
+        for lo, hi, _, _ in factor(b, index, rows[at : at + len(docs)], np.array([len(d) for d in docs])):
+            step[lo] += 1  # factors don't overlap
+            step[hi] -= 1
+        mark = np.cumsum(step[:-1]) > 0
+        for d, end in zip(docs, b.ends, strict=True):
+            yield d, mark[end - len(d) : end]
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, start, end, source_row, source_word) of every factor, in word numbers, end exclusive."""
-    index = build_index(_numbered(docs, text_col), window)
+    """(doc_id, start, end, source_row, source_word) of every factor, in word numbers, end exclusive; rows are numbered in
+    order of monotonically_increasing_id."""
+    rows = stable(docs).select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    index = build_index(rows.select("_row", "text"), window)
 
     def spans(batches):
         for pdf in batches:
-            ids = pdf["doc_id"].tolist()
+            ids, numbers = pdf["doc_id"].tolist(), pdf["_row"].to_numpy()
             for at, texts, b in _batches(list(pdf["text"]), window):
-                lo, hi, row, pos = factor(b, index)
+                lens = np.array([len(t) for t in texts])
+                found = list(factor(b, index, numbers[at : at + len(texts)], lens))
+                lo, hi, row, pos = np.array(found, np.int64).reshape(-1, 4).T
                 which = np.searchsorted(b.ends, lo, side="right")
-                base = (b.ends - np.array([len(t) for t in texts]))[which]
-                yield pd.DataFrame({"doc_id": pd.array([ids[at + i] for i in which], "Int64"), "start": lo - base, "end": hi - base, "source_row": row, "source_word": pos})
+                base = (b.ends - lens)[which]
+                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(ids[at + i]) else int(ids[at + i]) for i in which], "Int64"), "start": lo - base, "end": hi - base, "source_row": row, "source_word": pos})
 
-    schema = "doc_id long, start long, end long, source_row long, source_word int"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(spans, schema)
-
-
-def _marks(texts: list, window: int, index: HashIndex) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(words, whether each is covered) for each text, in order."""
-    for _, docs, b in _batches(texts, window):
-        mark = covered(b, index)
-        for d, end in zip(docs, b.ends, strict=True):
-            yield d, mark[end - len(d) : end]
+    schema = "doc_id long, start long, end long, source_row long, source_word long"
+    return rows.mapInPandas(spans, schema)
 
 
 def kept_digest(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of docs."""
-    index = build_index(_numbered(docs, "text"), window)
+    rows = stable(docs).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+    index = build_index(rows.select("_row", "text"), window)
 
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept_sha256:string>")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for d, mark in _marks(list(texts), window, index):
+    def digest(numbers: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for d, mark in _marks(list(texts), numbers.to_numpy(), window, index):
             n = int(mark.sum())
             kept = d if not n else [w for w, m in zip(d, mark.tolist(), strict=True) if not m]
-            rows.append((len(d), n, hashlib.sha256(b" ".join(kept)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
+            out.append((len(d), n, hashlib.sha256(b" ".join(kept)).hexdigest()))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
 
-    return docs.select("doc_id", digest("text").alias("r")).select("doc_id", "r.*")
+    return rows.select("doc_id", digest("_row", "text").alias("r")).select("doc_id", "r.*")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -285,15 +417,17 @@ def cut(text: str, mark: np.ndarray) -> str:
 def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with every repeated passage cut from its text; texts without one, and other columns, are unchanged,
     but that length_col, if named, gets the number of characters of each text that was cut."""
-    index = build_index(_numbered(docs, text_col), window)
+    docs = stable(docs)
+    number = F.monotonically_increasing_id()
+    index = build_index(docs.select(number.alias("_row"), F.col(text_col).alias("text")), window)
 
     @F.pandas_udf("string")
-    def left(texts: pd.Series) -> pd.Series:
+    def left(numbers: pd.Series, texts: pd.Series) -> pd.Series:
         whole = list(texts)
-        marks = (m for _, m in _marks(whole, window, index))
+        marks = (m for _, m in _marks(whole, numbers.to_numpy(), window, index))
         return pd.Series([t if t is None or not m.any() else cut(t, m) for t, m in zip(whole, marks, strict=True)], dtype=object)
 
-    new = docs.withColumn(ROW, left(F.col(text_col)))  # the cut text, until it takes the text's place
+    new = docs.withColumn(ROW, number).withColumn(ROW, left(F.col(ROW), F.col(text_col)))  # the cut text, until it takes the text's place
     if length_col:
         same, kind = F.col(ROW).eqNullSafe(F.col(text_col)), docs.schema[length_col].dataType
         new = new.withColumn(length_col, F.when(same, F.col(length_col)).otherwise(F.length(ROW).cast(kind)))
