@@ -171,24 +171,49 @@ def test_sample_fingerprints_are_shared():
         assert any_ == 300 or j < 0.8
 
 
-def test_pairs_are_verified_in_one_group():
+def test_pairs_are_verified_in_one_cell():
     rng = np.random.default_rng(9)
     samples = rng.integers(0, 3, (60, 5)) + 10 * np.arange(5)
-    fp, size = np.zeros(60, np.uint64), np.full(60, 7)
-    want = {(a, b) for a in range(60) for b in range(a) if (samples[a] == samples[b]).any()}
+    comp = rng.integers(0, 30, 60)
+    want = {(a, b) for a in range(60) for b in range(a) if (samples[a] == samples[b]).any() and comp[a] != comp[b]}
     for cut in (1, 3):  # groups whole, and as pairs of blocks
         got = []
         for value in np.unique(samples):
             rows = np.flatnonzero((samples == value).any(axis=1))
             for x in range(cut):
                 for y in range(x, cut):
-                    some = rows[(rows % cut == x) | (rows % cut == y)]
-                    side = np.zeros(len(some), int) if x == y else np.where(some % cut == x, 1, 2)
-                    i, j = simhash._candidates(np.full(len(some), value), fp[some], size[some], side, samples[some], 0.8) if len(some) else ([], [])
-                    got += [(max(a, b), min(a, b)) for a, b in zip(some[i].tolist(), some[j].tolist(), strict=True)] if len(some) else []
+                    r = rows[(rows % cut == x) | (rows % cut == y)]
+                    side = np.zeros(len(r), int) if x == y else np.where(r % cut == x, 1, 2)
+                    part = {"cell": np.ones(len(r), int), "fp": np.zeros(len(r), np.uint64), "size": np.full(len(r), 7), "component": comp[r], "side": side, "samples": samples[r], "sample": np.full(len(r), value)}
+                    i, j = simhash._candidates(part, 0.8, True) if len(r) else (r, r)
+                    got += [(max(a, b), min(a, b)) for a, b in zip(r[i].tolist(), r[j].tolist(), strict=True)]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_sets_are_held_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 40))) for _ in range(40)]
+    size = np.array([len(x) for x in sets])
+    i, j = np.triu_indices(40, 1)
+    most = []
+
+    def load(rows):
+        most.append(size[rows].sum())
+        return np.concatenate([sets[r] for r in rows])
+
+    def components():
+        e = simhash._verified(i, j, size, load, 0.5)
+        label = list(range(40))
+        for a, b in e:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(x for x in range(40) if label[x] == g) for g in label}, len(e)
+
+    want = components()
+    monkeypatch.setattr(simhash, "HELD_SHINGLES", 50)
+    most.clear()
+    assert components() == want and max(most) <= 80
+
+
 def test_near_dedup_is_brute_force(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = sorted(texts_of(df))
@@ -219,6 +244,7 @@ def test_near_dedup_is_brute_force(spark, monkeypatch):
     # rows that come by a shuffle, small blocks and tasks
     monkeypatch.setattr(simhash, "GROUP_ROWS", 8)
     monkeypatch.setattr(simhash, "TASK_ROWS", 100)
+    monkeypatch.setattr(simhash, "FIRST_SAMPLES", 1)
     assert sorted(i for i, _ in texts_of(simhash.near_dedup(df.repartition(5)))) == want
 
 

@@ -290,138 +290,156 @@ def hamming_links(items: DataFrame, radius: int, leaf_rows: int = 2048, block_ro
     return dealt.groupBy("shard", "i", "j").applyInPandas(search, "a long, b long").distinct()
 
 
-#: rows of one sample fingerprint that are searched together, rows and shingles of a task's table of groups
-GROUP_ROWS, TASK_ROWS = 1024, 8192
+#: rows in a block of a group, rows in a task's table of groups, shingles that a task holds at once, samples of the first round
+GROUP_ROWS, TASK_ROWS, HELD_SHINGLES, FIRST_SAMPLES = 1024, 8192, 1 << 20, 4
 #: fingerprints of two texts of similarity 0.8 differ in about 10 bits, in over this many in fewer than 1 of 1e7 pairs
 FAR = 26
 
 
-def _candidates(group: np.ndarray, fp: np.ndarray, size: np.ndarray, side: np.ndarray, samples: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of the pairs to verify: of one group (and of different sides where there are two) whose sizes and
-    fingerprints allow the similarity, and which no group of an earlier sample holds too. Rows come in order of group."""
+def _candidates(part: dict[str, np.ndarray], similarity: float, once: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the pairs to verify: of one cell (and of different sides, where there are sides 1 and 2) and different
+    components, whose sizes and fingerprints allow the similarity; once: and which share no earlier sample. Rows come
+    in order of cell."""
     left, right = [], []
-    begin = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
-    for lo, hi in zip(begin, np.append(begin[1:], len(group)), strict=True):
-        if hi - lo < 2:
+    cell, fp, size, comp = (part[c] for c in ("cell", "fp", "size", "component"))
+    begin = np.flatnonzero(np.diff(cell, prepend=-1))
+    for lo, hi in zip(begin, np.append(begin[1:], len(cell)), strict=True):
+        side = part["side"][lo:hi]
+        x, y = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if side.any() else (np.arange(hi - lo),) * 2
+        if not len(x) or not len(y) or hi - lo < 2:
             continue
-        f, n, s = fp[lo:hi], size[lo:hi], side[lo:hi]
-        ok = np.bitwise_count(f[:, None] ^ f) <= FAR
-        ok &= np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n)
-        if s.any():
-            ok &= s[:, None] != s
-        i, j = np.nonzero(np.triu(ok, 1))
-        left.append(i + lo), right.append(j + lo)
+        x, y = x + lo, y + lo
+        ok = np.bitwise_count(fp[x, None] ^ fp[y]) <= FAR
+        ok &= comp[x, None] != comp[y]
+        ok &= np.minimum(size[x, None], size[y]) >= similarity * np.maximum(size[x, None], size[y])
+        i, j = np.nonzero(ok if side.any() else np.triu(ok, 1))
+        left.append(x[i]), right.append(y[j])
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = np.concatenate(left), np.concatenate(right)
-    for at in range(samples.shape[1]):  # the first equal sample is the one whose group has to do the work
-        equal = samples[i, at] == samples[j, at]
-        mine = samples[i, at] == group[i]
-        keep = ~equal | mine
-        if at == 0:
-            done = equal & mine
-        else:
-            keep |= done
+    if once:
+        samples, own = part["samples"], part["sample"]
+        done = np.zeros(len(i), bool)
+        for at in range(samples.shape[1]):  # the first equal sample is the one whose cell has to do the work
+            equal = samples[i, at] == samples[j, at]
+            mine = samples[i, at] == own[i]
+            keep = ~equal | mine | done
             done |= equal & mine
-        i, j, done = i[keep], j[keep], done[keep]
+            i, j, done = i[keep], j[keep], done[keep]
     return i, j
 
 
-def _verified(i: np.ndarray, j: np.ndarray, size: np.ndarray, ids: np.ndarray, begin: np.ndarray, similarity: float, n: int) -> list:
-    """Those pairs, as a forest, whose sets (ids[begin[x]:begin[x] + size[x]] of row x) are similar. Pairs whose ends are
-    joined already aren't looked at."""
-    joined, out, mark = _Joined(n), [], np.zeros(int(ids.max(initial=0)) + 1, bool)
-    order = np.argsort(i, kind="stable")
+def _verified(i: np.ndarray, j: np.ndarray, size: np.ndarray, load, similarity: float) -> list:
+    """Those pairs, as a forest, whose sets (load: the sets of some rows, one after the other) are similar. Pairs whose ends
+    are joined already aren't looked at. At most HELD_SHINGLES are held at once, or two sets."""
+    joined, out = _Joined(len(size)), []
+    i, j = np.minimum(i, j), np.maximum(i, j)
+    order = np.lexsort((j, i))
     i, j = i[order], j[order]
-    first = np.flatnonzero(np.diff(i, prepend=-1))
-    for lo, hi in zip(first, np.append(first[1:], len(i)), strict=True):
-        a, others = int(i[lo]), j[lo:hi]
-        others = others[joined.label[others] != joined.label[a]]
-        if not len(others):
+    at, step = 0, 1 << 16
+    while at < len(i):
+        to = min(len(i), at + step)
+        rows = np.unique(np.concatenate([i[at:to], j[at:to]]))
+        if to - at > 1 and size[rows].sum() > HELD_SHINGLES:
+            step = max(1, (to - at) // 4)
             continue
-        own, m = ids[begin[a] : begin[a] + size[a]], size[others]
-        ends = np.cumsum(m)
-        mark[own] = True
-        shared = np.add.reduceat(mark[ids[np.repeat(begin[others] - (ends - m), m) + np.arange(ends[-1])]], ends - m, dtype=np.int64)
-        mark[own] = False
-        for b in others[shared >= similarity * (size[a] + m - shared)].tolist():
-            if joined.join(a, b):
-                out.append((a, b))
+        n = size[rows]
+        begin = np.cumsum(n) - n
+        ids = np.unique(load(rows), return_inverse=True)[1]
+        mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
+        x, y = np.searchsorted(rows, i[at:to]), np.searchsorted(rows, j[at:to])
+        first = np.flatnonzero(np.diff(x, prepend=-1))
+        for lo, hi in zip(first, np.append(first[1:], len(x)), strict=True):
+            a, others = int(x[lo]), y[lo:hi]
+            others = others[joined.label[rows[others]] != joined.label[rows[a]]]
+            if not len(others):
+                continue
+            own, m = ids[begin[a] : begin[a] + n[a]], n[others]
+            ends = np.cumsum(m)
+            mark[own] = True
+            shared = np.add.reduceat(mark[ids[np.repeat(begin[others] - (ends - m), m) + np.arange(ends[-1])]], ends - m, dtype=np.int64)
+            mark[own] = False
+            for b in others[shared >= similarity * (n[a] + m - shared)].tolist():
+                if joined.join(int(rows[a]), int(rows[b])):
+                    out.append((int(rows[a]), int(rows[b])))
+        at, step = to, min(1 << 16, step * 2)
     return out
 
 
+def _search(cells: DataFrame, count: int, folder: str, similarity: float, once: bool) -> DataFrame:
+    """Edges (a, b) found in cells (sample, x, y, node, side, component, fp, size, file, start, and samples if once)."""
+    tasks = max(1, -(-count // TASK_ROWS))
+    names = ["node", "fp", "size", "side", "component", "file", "start", "sample"]
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["sample", "x", "y"], ignore_index=True)
+        keys = pdf[["sample", "x", "y"]].to_numpy()
+        new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
+        begin = np.append(np.flatnonzero(new), len(pdf))
+        out, at = [], 0
+        while at < len(begin) - 1:  # some cells together
+            to = max(at + 1, int(np.searchsorted(begin, begin[at] + 2 * GROUP_ROWS, side="right")) - 1)
+            part = pdf.iloc[begin[at] : begin[to]]
+            col = {c: part[c].to_numpy() for c in names} | {"cell": np.cumsum(new[begin[at] : begin[to]])}
+            col["fp"] = col["fp"].view(np.uint64)
+            if once:
+                col["samples"] = np.stack(part["samples"].to_numpy())
+            i, j = _candidates(col, similarity, once)
+            if len(i):  # a node's set is read once for all its rows here
+                used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+                nodes, where, which = np.unique(col["node"][used], return_index=True, return_inverse=True)
+                file, start, size = (col[c][used][where] for c in ("file", "start", "size"))
+                load = lambda r, f=file, s=start, n=size: read_sets(folder, f[r], s[r], n[r])
+                found = _verified(which[back[: len(i)]], which[back[len(i) :]], size.astype(np.int64), load, similarity)
+                out += [(int(nodes[a]), int(nodes[b])) for a, b in found]
+            at = to
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": a, "b": b})
+
+    dealt = cells.withColumn("task", F.pmod(F.xxhash64("sample", "x", "y"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(search, "a long, b long").distinct()
+
+
 def similar_links(items: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """Edges (a, b) of nodes that connect what pairs of shingle sets of at least the similarity connect.
 
     items: node long, fp, size, samples of set_fingerprints, from a written table; texts: (node, text) of the same
-    nodes. Nodes with an equal sample fingerprint are a group, whose pairs are verified on their sets, each pair in the first of its
-    groups. Large groups are cut into blocks of GROUP_ROWS, and each pair of blocks is a row range of its own.
+    nodes. Nodes with an equal sample fingerprint are a group. First, groups of FIRST_SAMPLES samples are cut into blocks, and pairs
+    within a block verified: that joins most of what belongs together. Then pairs of nodes that are not joined yet are
+    verified in the first of their groups: the group's largest component is cut into blocks, and so are its other
+    nodes, and each block of these meets each other one. So a large group of near-copies costs its size, and only one of
+    many texts that are unlike, but share a sample, the square of its size.
     """
-    spark = items.sparkSession
     items = items.where("size > 0")
-    each = items.select("node", F.explode("samples").alias("sample"))
+    each = items.select("node", F.posexplode("samples").alias("i", "sample"))
     groups = each.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(each.join(groups, "sample"))
     ends = materialize(shared.select("node").distinct())
-    folder = new_folder(spark, "shingle-sets")
+    folder = new_folder(items.sparkSession, "shingle-sets")
     places = materialize(write_sets(texts.join(broadcast_if_small(ends), "node", "left_semi"), k, folder))
     near = materialize(places.join(items, "node"))
-    cut = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
-    dealt = shared.select("sample", "node", cut.alias("k")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("sample", "node", "block", F.least("block", "t").alias("i"), F.greatest("block", "t").alias("j"))
-    tasks = max(1, -(-shared.count() // TASK_ROWS))
-    rows = dealt.join(near, "node").withColumn("task", F.pmod(F.xxhash64("sample", "i", "j"), F.lit(tasks)))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sample", "i", "j"], ignore_index=True)
-        out = []
-        cells = pdf[["sample", "i", "j"]].to_numpy()
-        begin = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(axis=1)))
-        # pairs of blocks of one sample are groups of their own; some thousand rows are looked at together
-        at = 0
-        while at < len(begin):
-            to = at + 1
-            stop = lambda x: begin[x] if x < len(begin) else len(pdf)
-            while to < len(begin) and stop(to + 1) - begin[at] <= 2 * GROUP_ROWS and (cells[begin[to], 0] != cells[begin[at:to], 0]).all():
-                to += 1
-            out += links(pdf.iloc[begin[at] : stop(to)])
-            at = to
-        a, b = np.array(out, np.int64).reshape(-1, 2).T
-        return pd.DataFrame({"a": a, "b": b})
-
-    def links(part: pd.DataFrame) -> list:
-        col = {c: part[c].to_numpy() for c in ("sample", "node", "fp", "size", "block", "i", "j", "file", "start")}
-        side = np.where(col["i"] == col["j"], 0, np.where(col["block"] == col["i"], 1, 2))
-        i, j = _candidates(col["sample"], col["fp"].view(np.uint64), col["size"], side, np.stack(part["samples"].to_numpy()), similarity)
-        if not len(i):
-            return []
-        # nodes are few: a node's set is read once for all its rows here
-        used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-        nodes, at, which = np.unique(col["node"][used], return_index=True, return_inverse=True)
-        size = col["size"][used][at].astype(np.int64)
-        ids = np.unique(read_sets(folder, col["file"][used][at], col["start"][used][at], size), return_inverse=True)[1]
-        x, y = which[back[: len(i)]], which[back[len(i) :]]
-        found = _verified(np.minimum(x, y), np.maximum(x, y), size, ids, np.cumsum(size) - size, similarity, len(nodes))
-        return [(int(nodes[a]), int(nodes[b])) for a, b in found]
-
-    return rows.groupBy("task").applyInPandas(search, "a long, b long").distinct()
-
-
-def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs; see the module's docstring."""
-    fps = fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, "text", ["doc_id"])
-    fps = materialize(fps)
-    items = materialize(fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least")))
-    links = hamming_links(items.select("node", F.col("node").alias("fp")), radius)
-    comp = materialize(connected_components(links))
-    joined = items.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    joined = materialize(joined)
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = materialize(joined.join(least, "component").select(F.col("node").alias("fp"), "component_id"))
-    return fps.join(ids, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    blocks = lambda n: F.ceil(F.col(n) / GROUP_ROWS).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("node", "i"), blocks(n)).cast("int")
+    zero, none = F.lit(0), F.lit(-1)
+    early = shared.where(F.col("i") < FIRST_SAMPLES).select("sample", "node", block("n").alias("x"), zero.alias("y"), zero.alias("side"), F.col("node").alias("component"))
+    first = materialize(_search(early.join(near.drop("samples"), "node"), early.count(), folder, similarity, False))
+    comp = materialize(connected_components(first))
+    labelled = materialize(shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    parts = labelled.groupBy("sample", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = parts.groupBy("sample").agg(F.max(F.struct("m", "component")).alias("l"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    open_ = materialize(labelled.join(largest.select("sample", F.col("l.component").alias("main"), F.col("l.m").alias("m"), (F.col("all") - F.col("l.m")).alias("rest")), "sample"))
+    main = open_.where("component = main")
+    rest = open_.where("component <> main")
+    cell = lambda df, x, y, side: df.select("sample", "node", x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"), "component")
+    upto = lambda n: F.explode(F.sequence(zero, blocks(n) - 1))
+    a = cell(main.withColumn("t", upto("rest")), block("m"), F.col("t"), F.lit(1))
+    b = cell(rest.withColumn("t", upto("m")), F.col("t"), block("rest"), F.lit(2))
+    # other nodes among themselves: blocks i <= j, at x = -1 - i
+    mine = rest.withColumn("own", block("rest")).withColumn("t", upto("rest"))
+    side = F.when(F.col("own") == F.col("t"), 0).when(F.col("own") < F.col("t"), 1).otherwise(2)
+    c = cell(mine, none - F.least("own", "t"), F.greatest("own", "t"), side)
+    cells = materialize(a.union(b).union(c))
+    return first.union(_search(cells.join(near, "node"), cells.count(), folder, similarity, True)).distinct()
 
 
 def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
