@@ -353,7 +353,7 @@ def test_columns_of_encoded_documents(spark, odd, empty):
     assert bpe.encode_documents(empty, RANKS, P.PATTERN).count() == 0
 
 
-def test_chunks_meet():
+def test_chunks_meet(monkeypatch):
     c = bpe.codec(RANKS, P.PATTERN)
     rng = np.random.default_rng(1)
     bits = ["a", "Bc", " ", "  ", "\n", "\n \n", "12", "'s", "'", "!?", "é", "日", "\u00a0", "word" * 9, " " * 40, "x" * 70]
@@ -364,6 +364,9 @@ def test_chunks_meet():
             assert [p for r, _ in runs for p in r] == c.pattern.findall(t)
             assert [s for _, r in runs for s in r.tolist()] == [m.start() for m in c.pattern.finditer(t)]
             assert np.frombuffer(c.encode(t, chunk, overlap), "<u4").tolist() == c.encoding.encode_ordinary(t)
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    t = " ".join(rng.choice(["a", "bc", "d", "efg", "hi", "j", "kl", "m"], 300))
+    assert np.frombuffer(bpe.Codec(RANKS, P.PATTERN).encode(t), "<u4").tolist() == c.encoding.encode_ordinary(t)
     some = bpe.Codec(RANKS, r"[a-z]+|[0-9]")  # leaves characters out
     for t in ("ab 12!cd", "", "!!", "a" * 50 + "--" + "7" * 50):
         assert np.frombuffer(some.encode(t, 16, 8), "<u4").tolist() == some.encoding.encode_ordinary(t)

@@ -64,3 +64,21 @@ def test_tokens(kept):
 
 def test_run(spark, kept):
     assert pipeline.run(spark, DATA).count() == kept[5].count()
+
+
+def test_stages_on_odd_and_empty_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, columns with the names of new ones, no n_chars; and no rows."""
+    schema = "doc_id long, text string, ids string, Decoded int, n_tokens string, _row int, score double"
+    long = " ".join(f"w{i} and" for i in range(30_000))
+    rows = [(i, t, "i", 1, "n", 2, 0.5) for i, t in [(None, "a b c"), (1, None), (2, ""), (3, " \n"), (4, "a b c"), (4, "a b c"), (5, long), (6, "é 日本 ok")]]
+    for name, some in (("odd", rows), ("empty", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        for _, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, docs, DATA)
+            assert out.columns == docs.columns and out.count() <= docs.count()
+        out = pipeline.tokenize(spark, docs, DATA)
+        assert out.columns == [*docs.columns, "ids_1", "decoded_1", "n_tokens_1"] and out.count() == len(some)
+        assert all(r.decoded_1 == (r.text or "") and r.n_tokens_1 * 4 == len(r.ids_1) and (r.ids, r.Decoded) == ("i", 1) for r in out.collect())
+    near = pipeline.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/odd"), DATA)
+    assert sorted((r.doc_id, r.text is None) for r in near.collect()) == [(1, True), (3, False), (4, False), (5, False), (6, False)]

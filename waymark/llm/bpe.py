@@ -34,21 +34,24 @@ from .common import ROW, stable
 
 CHUNK, OVERLAP = 1 << 12, 1 << 8
 PART = 1 << 20
-#: pre-tokens remembered, of at most so many characters
+#: pre-tokens remembered (twice as many at most), of at most so many characters
 REMEMBERED, SHORT = 120_000, 64
 
 
 class _Pieces(dict):
-    """The ids of pre-tokens as little-endian unsigned 32-bit integers."""
+    """The ids of pre-tokens as little-endian unsigned 32-bit integers. The last REMEMBERED new ones are here; of those before,
+    as many are in old and come back when they are asked for."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece.encode()), "<u4").tobytes()
+        if (ids := self.old.get(piece)) is None:
+            ids = np.array(self.encode(piece.encode()), "<u4").tobytes()
         if len(piece) <= SHORT:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
