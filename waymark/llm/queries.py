@@ -12,7 +12,7 @@ from .pfor import token_digest
 from .quality import score_quality
 from .sharding import shard_documents
 from .simhash import simhash_components
-from .substring import kept_digest
+from .substring import KEPT_SQL, kept_digest
 from .toxicity import score_toxicity
 
 
@@ -80,4 +80,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_minhash_containment": LEAKS_SQL.replace("{docs}", "documents")}
+ORACLE_SQL: dict[str, str] = {"op2_substring_rlz": KEPT_SQL, "op5_minhash_containment": LEAKS_SQL.replace("{docs}", "documents")}

@@ -432,3 +432,23 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", le
         same, kind = F.col(ROW).eqNullSafe(F.col(text_col)), docs.schema[length_col].dataType
         new = new.withColumn(length_col, F.when(same, F.col(length_col)).otherwise(F.length(ROW).cast(kind)))
     return new.withColumn(text_col, F.col(ROW)).select(*quoted(docs.columns))
+
+
+#: The rows of kept_digest for windows of 35 words in DuckDB SQL.
+KEPT_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT r, i, md5(array_to_string(w[i:i+34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), hit AS (
+  SELECT r, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)
+), cover AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM hit
+), word AS (
+  SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN cover USING (r, p) GROUP BY r
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r
+"""
