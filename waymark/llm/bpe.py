@@ -35,7 +35,7 @@ from .common import ROW, stable
 CHUNK, OVERLAP = 1 << 12, 1 << 8
 PART = 1 << 20
 #: pre-tokens remembered (twice as many at most), of at most so many characters
-REMEMBERED, SHORT = 120_000, 64
+REMEMBERED, SHORT = 30_000, 64
 
 
 class _Pieces(dict):

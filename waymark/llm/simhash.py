@@ -107,12 +107,12 @@ def set_fingerprints(docs: DataFrame, k: int, text_col: str, keep: list[str]) ->
 
     @F.pandas_udf("struct<fp:long,size:int,samples:array<long>>")
     def vote(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, k) for t in texts]
-        return pd.DataFrame({
-            "fp": np.array([_signed(_majority([h])) for h in sets], np.int64),
-            "size": np.array([len(h) for h in sets], np.int32),
-            "samples": pd.Series([sample_fingerprints(h) if len(h) else None for h in sets], dtype=object),
-        })
+        fp, size, samples = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int32), []
+        for i, t in enumerate(texts):  # one set at a time is held
+            h = shingle_set(t, k)
+            fp[i], size[i] = _signed(_majority([h])), len(h)
+            samples.append(sample_fingerprints(h) if len(h) else None)
+        return pd.DataFrame({"fp": fp, "size": size, "samples": pd.Series(samples, dtype=object)})
 
     return docs.select(*keep, vote(F.col(text_col)).alias("_v")).select(*keep, "_v.*")
 
