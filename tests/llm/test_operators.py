@@ -661,6 +661,30 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id = 0")).count() == 0
 
 
+def test_neighbours_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 600)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 40)
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = zip(*((r.vec_id, r.embedding) for r in vectors.collect()), strict=True)
+    ids, x = np.array(ids), np.array(x, float)
+    asks = np.flatnonzero(ids % 20 == 0)
+    s = x[asks] @ x.T
+    s[np.arange(len(asks)), asks] = -np.inf
+    best = ids[np.argsort(-s, axis=1)[:, :20]]
+    found = collections.defaultdict(set)
+    for r in ann.nearest(vectors).collect():
+        found[r.query_id].add(r.vec_id)
+    assert set(found) == set(ids[asks].tolist()) and all(len(f) == 20 for f in found.values())
+    assert sum(len(found[i] & set(b)) for i, b in zip(ids[asks].tolist(), best.tolist(), strict=True)) >= 0.95 * best.size
+
+
+def test_large_ids_keep_their_order(spark):
+    """Ids that doubles can't tell apart, beside a null one."""
+    big = 1 << 60
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (None, [1.0, 0.0]), *((big + i, [1.0, 0.0]) for i in (3, 1, 2))], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in ann.nearest(df).orderBy("rank").collect() if r.query_id == 0] == [big + 1, big + 2, big + 3, None]
+
+
 def test_probing_finds_all_within_radius():
     rng = np.random.default_rng(2)
     code = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
