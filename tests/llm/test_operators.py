@@ -407,6 +407,24 @@ def test_kneser_ney(spark, docs, odd, empty):
     assert {(r.train_tokens, r.base_score, r.score) for r in ngram_lm.score_texts(only).collect()} == {(0, 0.0, 0.0)}
 
 
+@pytest.mark.parametrize("order, pruned", [(2, False), (3, False), (3, True)])
+def test_frequent_words_are_split(spark, docs, odd, empty, monkeypatch, order, pruned):
+    """Where things are kept changes nothing: no frequent words, some of the words, all of them."""
+    for df in (docs.limit(60), odd):
+        scores = []
+        for share in (1, 2e-3, 1e-6):
+            monkeypatch.setattr(ngram_lm, "HOT_BUCKETS", 0)
+            monkeypatch.setattr(ngram_lm, "HOT_SHARE", share)
+            scores.append(sorted((tuple(r) for r in ngram_lm.score_texts(df, order=order, pruned=pruned).collect()), key=repr))
+        assert scores[0] == scores[1] == scores[2]
+        words = collections.Counter(w for _, t in texts_of(df) for w in toks((t or "").encode().lower().decode()))
+        for share in (2e-3, 1e-6):
+            monkeypatch.setattr(ngram_lm, "HOT_SHARE", share)
+            some = [xxhash.xxh3_64_intdigest(w) for w, n in words.items() if n >= share * words.total()]
+            assert some and ngram_lm.frequent(df, 1, 4).tolist() == sorted(some)
+    assert ngram_lm.frequent(empty, 1, 4).tolist() == []
+
+
 @pytest.mark.parametrize("pruned", [False, True])
 def test_kneser_ney_of_order_three(spark, docs, odd, empty, pruned):
     for df in (docs.limit(60), odd):

@@ -14,7 +14,10 @@ Order three: p(w|uv) = max(c(uvw) - D"(c), 0)/c(uv) + g(uv) p(w|v), and p(w|v) a
 With pruned, triples that occur once are not stored, as usual for models of this order: their whole count goes to g(uv), so that
 probabilities still sum to one. All counts, totals and discounts are taken before that, from all triples.
 
-Buckets are as many as hold BUCKET_BYTES of text each. All followers of one word are in one bucket.
+Buckets are as many as hold BUCKET_BYTES of text each. All that follows one word is in one bucket, but for frequent words,
+those that fill HOT_BUCKETS buckets by a sample of some SAMPLE_BYTES of text: what follows these is dealt by the next word, and
+the sums for them and the pairs that end in them are added up in the next step. The sample steers where things are
+kept, not what is counted; frequent words are 1 / HOT_SHARE at most.
 
 Defined results: null and empty texts are the end token alone; rows without a doc_id are learned from and scored;
 repeated rows count each time; without training documents every probability is 1/(V+1) = 1; other columns are not read.
@@ -37,10 +40,12 @@ from .hashindex import HashIndex, bucket_of, write_bucket
 FLUSH = 4_400_000
 BATCH_WORDS = 300_000
 BUCKET_BYTES = 16 << 20
+HOT_BUCKETS, HOT_SHARE, SAMPLE_BYTES = 2, 1 / 65_536, 64 << 20
 #: bits of a word's number in a sorted triple; more distinct words than that are flushed in parts
 NUMBER = 21
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(s)) for s in (b"\x00 begin", b"\x00 end"))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+NONE = np.zeros(0, np.uint64)
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -49,6 +54,33 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def among(v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether each word is one of the sorted frequent ones."""
+    return hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v if len(hot) else np.zeros(len(v), bool)
+
+
+def place(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
+    """The bucket of what is known of w after v."""
+    b = bucket_of(v, buckets)
+    if (often := among(v, hot)).any():
+        b[often] = bucket_of(pair_key(v[often], w[often]), buckets)
+    return b
+
+
+def frequent(texts: DataFrame, size: int, buckets: int) -> np.ndarray:
+    """The sorted hashes of the words that are a larger share of a sample's words than HOT_BUCKETS buckets hold."""
+    share = max(HOT_BUCKETS / buckets, HOT_SHARE)
+    if not size or share >= 1:
+        return NONE
+    some = texts.select("text") if size <= SAMPLE_BYTES else texts.select("text").sample(SAMPLE_BYTES / size, 1)
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    each = some.select(F.explode(F.split(low, r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
+    # the first row is the count of all words, its w being null
+    total, *top = each.rollup("w").count().orderBy(F.desc("count"), F.col("w").asc_nulls_first()).limit(int(1 / share) + 1).collect() or [None]
+    found = [r for r in top if r["count"] >= share * total["count"]]
+    return np.sort(np.array([xxhash.xxh3_64_intdigest(r.w.encode()) for r in found], np.uint64))
+
+
 def sequences(texts: list, limit: int = BATCH_WORDS):
     """(context hashes, word hashes, tokens per text) of runs of texts, each text ending in END."""
     held, lens, n = [], [], 0
@@ -102,9 +134,18 @@ def _long(raw: memoryview, n: int) -> np.ndarray:
     return c
 
 
-def _blocks(v: np.ndarray, w: np.ndarray, c: np.ndarray, buckets: int) -> pd.DataFrame:
+def _dealt(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each bucket's entries begin, and the columns in the order of buckets. v: sorted."""
+    to = place(v, w, buckets, hot)
+    if len(hot):
+        order = np.argsort(to, kind="stable")
+        to, columns = to[order], [c[order] for c in columns]
+    return np.searchsorted(to, np.arange(buckets + 1)), list(columns)
+
+
+def _blocks(v: np.ndarray, w: np.ndarray, c: np.ndarray, buckets: int, hot: np.ndarray = NONE) -> pd.DataFrame:
     """Sorted distinct pairs as one blob a bucket: contexts, their numbers of words, words, counts."""
-    ends = np.searchsorted(bucket_of(v, buckets), np.arange(buckets + 1))
+    ends, (v, w, c) = _dealt(v, w, buckets, hot, v, w, c)
     out = []
     for b in np.flatnonzero(np.diff(ends)):
         s = slice(ends[b], ends[b + 1])
@@ -143,17 +184,17 @@ def _unsqueeze(blob: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
-def _triple_blocks(v: np.ndarray, w: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """The triples of a sequence, distinct and counted, as one blob a bucket of the middle word: the words, contexts
-    (v, u) and words by number, sizes of contexts, counts."""
+def _triple_blocks(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray = NONE) -> Iterator[tuple[int, bytes]]:
+    """The triples of a sequence, distinct and counted, as one blob a bucket of the middle word (and the last, after frequent
+    ones): the words, contexts (v, u) and words by number, sizes of contexts, counts."""
     names, code = np.unique(np.concatenate([v, w]), return_inverse=True)
     if len(names) >> NUMBER:
         if half := int(np.searchsorted(np.flatnonzero(v == BEGIN), len(v) // 2)):
             # texts stay whole: cut at the one that begins nearest after the middle
             cut = np.append(np.flatnonzero(v == BEGIN), len(v))[half]
             if 0 < cut < len(v):
-                yield from _triple_blocks(v[:cut], w[:cut], buckets)
-                yield from _triple_blocks(v[cut:], w[cut:], buckets)
+                yield from _triple_blocks(v[:cut], w[:cut], buckets, hot)
+                yield from _triple_blocks(v[cut:], w[cut:], buckets, hot)
                 return
     cv, cw = code[: len(v)].astype(np.uint64), code[len(v) :].astype(np.uint64)
     first = np.uint64(np.searchsorted(names, BEGIN))
@@ -168,7 +209,7 @@ def _triple_blocks(v: np.ndarray, w: np.ndarray, buckets: int) -> Iterator[tuple
     else:
         key, c = np.unique(cv << (shift + shift) | cu << shift | cw, return_counts=True)
         cv, cu, cw = key >> (shift + shift), key >> shift & low, key & low
-    ends = np.searchsorted(bucket_of(names[cv], buckets), np.arange(buckets + 1))
+    ends, (cv, cu, cw, c) = _dealt(names[cv], names[cw], buckets, hot, cv, cu, cw, c)
     for b in np.flatnonzero(np.diff(ends)):
         s = slice(ends[b], ends[b + 1])
         at = _runs(cv[s], cu[s])
@@ -199,11 +240,12 @@ STATS = ("types", "tokens", "vocabulary", "docs", "n1", "n2", "n3", "n4")
 class Model:
     """The mapped arrays, and what is known of the whole corpus. stats, follow_stats and, at order three, triple_stats: as STATS."""
 
-    def __init__(self, folders: dict[str, str], buckets: int, stats: list[int], follow_stats: list[int], triple_stats: list[int] | None = None, pruned: bool = False):
-        dtypes = {"pairs": ["u8", "u1"], "big": ["u8", "u8"], "contexts": ["u8", "u8", "u4", "u4", "u4"], "follows": ["u8", "u8"]}
+    def __init__(self, folders: dict[str, str], buckets: int, stats: list[int], follow_stats: list[int], triple_stats: list[int] | None = None, pruned: bool = False, hot: np.ndarray = NONE):
+        dtypes = {"pairs": ["u8", "u1"], "big": ["u8", "u8"], "contexts": ["u8", "u8", "u4", "u4", "u4"], "follows": ["u8", "u8"], "hot": ["u8", "u8", "u8", "u8", "u8", "u8"]}
         if triple_stats:
-            dtypes |= {"triples": ["u8", "u1"], "big3": ["u8", "u8"], "contexts3": ["u8", "u1"], "rich3": dtypes["contexts"], "words": ["u8", "u8"]}
+            dtypes |= {"triples": ["u8", "u1"], "big3": ["u8", "u8"], "contexts3": ["u8", "u1"], "rich3": dtypes["contexts"], "hot3": ["u8", "u8", "u8", "u8", "u8"], "words": ["u8", "u8"]}
         self.index = {k: HashIndex(folders[k], buckets, d) for k, d in dtypes.items()}
+        self.hot = hot
         self.types, self.n, self.v, self.docs, *ones = stats
         self.d = discounts(ones)
         self.d3 = None
@@ -220,6 +262,8 @@ class Model:
         """(log10 p(w|v), count of w in training) for each token."""
         names, back = np.unique(np.concatenate([v, w]), return_inverse=True)
         _, (total, m1, m2, m3) = self.index["contexts"].lookup(names)
+        often = among(names, self.hot)
+        total[often], m1[often], m2[often], m3[often], times = self.index["hot"].lookup(names[often])[1]
         k = self.index["follows"].lookup(names)[1][0].astype(np.int64)
         lower = np.maximum(k - self.d1[np.minimum(k, 3)], 0) / max(1, self.types) + self.g0 / (self.v + 1)
         bv, bw = back[: len(v)], back[len(v) :]
@@ -236,18 +280,21 @@ class Model:
             all3 = m1 + 2 * m2
             if (rich := code == 255).any():
                 all3[rich], m1[rich], m2[rich], m3[rich] = self.index["rich3"].lookup(known[rich], where[rich])[1]
+            if (split := among(v[at], self.hot)).any():
+                all3[split], m1[split], m2[split], m3[split] = self.index["hot3"].lookup(known[split])[1]
             spare = np.where(all3 > 0, (self.once * m1 + self.d3[2] * m2 + self.d3[3] * m3) / np.maximum(all3, 1), 1.0)
             c = self._counts(v, h, w, "triples", "big3")
             p = np.maximum(c - self.d3[np.minimum(c, 3)], 0) / np.maximum(all3[which], 1) + spare[which] * p
             total = self.index["words"].lookup(names)[1][0].astype(np.float64)
+            total[often] = times
         count = total[bw]
         count[w == END] = self.docs
         return np.log10(p), count
 
     def _counts(self, v: np.ndarray, context: np.ndarray, w: np.ndarray, few: str, big: str) -> np.ndarray:
-        """The count of each pair of a context and a word, in the bucket of v."""
+        """The count of each pair of a context and a word, in the bucket of v (and w, if v is frequent)."""
         keys, at, which = np.unique(pair_key(context, w), return_index=True, return_inverse=True)
-        where = bucket_of(v[at], self.index[few].buckets)
+        where = place(v[at], w[at], self.index[few].buckets, self.hot)
         c = self.index[few].lookup(keys, where)[1][0].astype(np.int64)
         many = c == 255
         if many.any():
@@ -263,7 +310,8 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    folders = {k: new_folder(spark, f"lm-{k}") for k in ("pairs", "big", "contexts", "follows", "triples", "big3", "contexts3", "rich3", "words")}
+    folders = {k: new_folder(spark, f"lm-{k}") for k in ("pairs", "big", "contexts", "follows", "triples", "big3", "contexts3", "rich3", "words", "hot", "hot3")}
+    hot = frequent(texts, size, buckets)
 
     def count(batches):
         held, n = [], 0
@@ -281,11 +329,11 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
         v, w = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         if degree == 3:
-            return pd.DataFrame(_triple_blocks(v, w, buckets), columns=["bucket", "blob"])
+            return pd.DataFrame(_triple_blocks(v, w, buckets, hot), columns=["bucket", "blob"])
         order = np.lexsort((w, v))
         v, w = v[order], w[order]
         first = _runs(v, w)
-        return _blocks(v[first], w[first], np.diff(np.append(first, len(v))), buckets)
+        return _blocks(v[first], w[first], np.diff(np.append(first, len(v))), buckets, hot)
 
     def ones(c: np.ndarray) -> list[int]:
         return [int((c == i).sum()) for i in range(1, 5)]
@@ -296,6 +344,20 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
         kinds = [np.add.reduceat(x.astype("<u4"), at).astype("<u4") for x in (c == 1, c == 2, c > 2)]
         return [v[at], np.add.reduceat(c, at).astype("<u8"), *kinds]
 
+    def send(first: int, columns: list[np.ndarray]) -> list[tuple[int, bytes]]:
+        """Rows of a table of sums for frequent words, to the buckets of their keys, whose numbers begin at first."""
+        table = np.stack([c.astype("<u8") for c in columns])
+        table = table[:, np.argsort(table[0])]
+        ends = np.searchsorted(bucket_of(table[0], buckets), np.arange(buckets + 1))
+        return [(first + int(t), table[:, ends[t] : ends[t + 1]].tobytes()) for t in np.flatnonzero(np.diff(ends))]
+
+    def add_up(blobs: pd.Series, width: int) -> list[np.ndarray]:
+        """The columns of tables of sums: keys in order, and the sums over equal ones."""
+        table = np.concatenate([np.frombuffer(x, "<u8").reshape(width, -1) for x in blobs], axis=1)
+        table = table[:, np.argsort(table[0])]
+        at = _runs(table[0])
+        return [table[0][at], *(np.add.reduceat(c, at) for c in table[1:])]
+
     def write_counts(b: int, key: np.ndarray, c: np.ndarray, few: str, big: str) -> None:
         order = np.argsort(key)
         write_bucket(folders[few], b, [key[order], np.minimum(c[order], 255).astype("u1")])
@@ -303,20 +365,23 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
         write_bucket(folders[big], b, [key[order], c[order].astype("<u8")])
 
     def merge_triples(b: int, blobs: pd.Series) -> tuple:
-        """Write a bucket's triples and their contexts; its pairs, their counts, and the triples' statistics."""
+        """Write a bucket's triples and their contexts; its pairs, their counts, how often each
+        of their contexts occurs, and rows to send: the triples' statistics and sums for frequent words."""
         v, u, w, c = (np.concatenate(x) for x in zip(*map(_untriple, blobs), strict=True))
         order = np.lexsort((w, u, v))
         v, u, w, c = v[order], u[order], w[order], c[order]
         first = _runs(v, u, w)
         v, u, w, c = v[first], u[first], w[first], np.add.reduceat(c, first)
-        at = _runs(v)
-        write_bucket(folders["words"], b, [v[at], np.add.reduceat(c, at).astype("<u8")])
+        times, out = np.add.reduceat(c, _runs(v)), []
         inner = v != BEGIN
         if inner.any():
             h, c3 = pair_key(u[inner], v[inner]), c[inner]
             some = c3 > 1 if pruned else np.ones(len(c3), bool)
             write_counts(b, pair_key(h[some], w[inner][some]), c3[some], "triples", "big3")
             context = contexts_of(h, c3)
+            if (often := among(v[inner][_runs(h)], hot)).any():
+                out += send(buckets, [x[often] for x in context])
+                context = [x[~often] for x in context]
             order = np.argsort(context[0])
             if pruned:  # contexts of pruned triples alone leave all to the lower order, as unknown ones do
                 order = order[(context[3] + context[4])[order] > 0]
@@ -330,12 +395,12 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
         v, w, c = v[order], w[order], c[order]
         first = _runs(v, w)
         n = np.where(v[first] == BEGIN, np.add.reduceat(c, first), np.diff(np.append(first, len(v))))
-        return v[first], w[first], n, [(-2, np.array(stats, "<u8").tobytes())]
+        return v[first], w[first], n, times, [*out, (-2, np.array(stats, "<u8").tobytes())]
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(pdf["bucket"].iat[0])
         if degree == 3:
-            v, w, c, out = merge_triples(b, pdf["blob"])
+            v, w, c, times, out = merge_triples(b, pdf["blob"])
         else:
             v, w, c = (np.concatenate(x) for x in zip(*map(_unblock, pdf["blob"]), strict=True))
             order = np.lexsort((w, v))
@@ -346,10 +411,16 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
         at = _runs(v)
         context = contexts_of(v, c)
         total = context[1].astype(np.int64)
-        write_bucket(folders["contexts"], b, context)
+        times = times if degree == 3 else total
+        often = among(v[at], hot)
+        write_bucket(folders["contexts"], b, [x[~often] for x in context])
+        if degree == 3:
+            write_bucket(folders["words"], b, [v[at][~often], times[~often].astype("<u8")])
+        if often.any():
+            out += send(2 * buckets, [x[often] for x in (*context, times)])
         write_counts(b, pair_key(v, w), c, "pairs", "big")
         docs = int(total[v[at] == BEGIN].sum())
-        stats = [len(v), int(total.sum()), len(at) - (docs > 0), docs, *ones(c)]
+        stats = [len(v), int(total.sum()), int((~often).sum()) - (docs > 0), docs, *ones(c)]
         out.append((-1, np.array(stats, "<u8").tobytes()))
         w, n = np.unique(w, return_counts=True)
         ends = np.searchsorted(bucket_of(w, buckets), np.arange(buckets + 1))
@@ -362,6 +433,16 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
         b = int(pdf["bucket"].iat[0])
         if b < 0:
             stats = np.sum([np.frombuffer(x, "<u8") for x in pdf["blob"]], axis=0)
+        elif b >= 2 * buckets:
+            table = add_up(pdf["blob"], 6)
+            write_bucket(folders["hot"], b - 2 * buckets, table)
+            stats = [0, 0, len(table[0]), 0, 0, 0, 0, 0]
+        elif b >= buckets:
+            table = add_up(pdf["blob"], 5)
+            if pruned:  # as with the contexts of other words
+                table = [x[table[3] + table[4] > 0] for x in table]
+            write_bucket(folders["hot3"], b - buckets, table)
+            stats = [0] * len(STATS)
         else:
             ws, ns = [], []
             for x in pdf["blob"]:
@@ -375,7 +456,7 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
             n = np.add.reduceat(n, first)
             write_bucket(folders["follows"], b, [w[first], n.astype("<u8")])
             stats = [len(n), 0, 0, 0, *ones(n)]
-        return pd.DataFrame({"level": [{-2: 3, -1: 2}.get(b, 1)], "stats": [np.array(stats, "<u8").tobytes()]})
+        return pd.DataFrame({"level": [{-2: 3, -1: 2}.get(b, 1 if b < 2 * buckets else 2)], "stats": [np.array(stats, "<u8").tobytes()]})
 
     sent = "bucket int, blob binary"
     merged = texts.select("text").mapInPandas(count, sent).groupBy("bucket").applyInPandas(merge, sent)
@@ -384,7 +465,7 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
         sums[r.level] += np.frombuffer(r.stats, "<u8").astype(np.int64)
     whole = sums[2]
     whole[2] += whole[3] > 0
-    return Model(folders, buckets, whole.tolist(), sums[1].tolist(), sums[3].tolist() if degree == 3 else None, pruned)
+    return Model(folders, buckets, whole.tolist(), sums[1].tolist(), sums[3].tolist() if degree == 3 else None, pruned, hot)
 
 
 def score_texts(docs: DataFrame, modulus: int = 7, held_out: int = 2, order: int = 2, pruned: bool = False) -> DataFrame:
