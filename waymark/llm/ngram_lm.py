@@ -40,7 +40,7 @@ from .hashindex import HashIndex, bucket_of, write_bucket
 FLUSH = 4_400_000
 BATCH_WORDS = 300_000
 BUCKET_BYTES = 16 << 20
-HOT_BUCKETS, HOT_SHARE, SAMPLE_BYTES = 2, 1 / 65_536, 64 << 20
+HOT_BUCKETS, HOT_SHARE, SAMPLE_BYTES = 2, 1 / 65_536, 4 << 20
 #: bits of a word's number in a sorted triple; more distinct words than that are flushed in parts
 NUMBER = 21
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(s)) for s in (b"\x00 begin", b"\x00 end"))
@@ -187,7 +187,8 @@ def _unsqueeze(blob: bytes, n: int) -> list[np.ndarray]:
 def _triple_blocks(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray = NONE) -> Iterator[tuple[int, bytes]]:
     """The triples of a sequence, distinct and counted, as one blob a bucket of the middle word (and the last, after frequent
     ones): the words, contexts (v, u) and words by number, sizes of contexts, counts."""
-    names, code = np.unique(np.concatenate([v, w]), return_inverse=True)
+    # each word of v is BEGIN or the one of w before
+    names, cw = np.unique(np.append(w, BEGIN), return_inverse=True)
     if len(names) >> NUMBER:
         if half := int(np.searchsorted(np.flatnonzero(v == BEGIN), len(v) // 2)):
             # texts stay whole: cut at the one that begins nearest after the middle
@@ -196,8 +197,9 @@ def _triple_blocks(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray =
                 yield from _triple_blocks(v[:cut], w[:cut], buckets, hot)
                 yield from _triple_blocks(v[cut:], w[cut:], buckets, hot)
                 return
-    cv, cw = code[: len(v)].astype(np.uint64), code[len(v) :].astype(np.uint64)
-    first = np.uint64(np.searchsorted(names, BEGIN))
+    cw = cw.astype(np.uint64)
+    first, cw = cw[-1], cw[:-1]
+    cv = np.where(v == BEGIN, first, np.concatenate([[first], cw[:-1]]).astype(np.uint64))
     cu = np.where(cv == first, first, np.concatenate([[first], cv[:-1]]).astype(np.uint64))
     shift, low = np.uint64(NUMBER), np.uint64((1 << NUMBER) - 1)
     if len(names) >> NUMBER:  # one text of so many words: too wide for one number
@@ -207,7 +209,9 @@ def _triple_blocks(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray =
         c = np.diff(np.append(at, len(cv)))
         cv, cu, cw = cv[at], cu[at], cw[at]
     else:
-        key, c = np.unique(cv << (shift + shift) | cu << shift | cw, return_counts=True)
+        key = cv << (shift + shift) | cu << shift | cw
+        del cv, cu, cw
+        key, c = np.unique(key, return_counts=True)
         cv, cu, cw = key >> (shift + shift), key >> shift & low, key & low
     ends, (cv, cu, cw, c) = _dealt(names[cv], names[cw], buckets, hot, cv, cu, cw, c)
     for b in np.flatnonzero(np.diff(ends)):
