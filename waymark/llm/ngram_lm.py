@@ -134,10 +134,9 @@ def _long(raw: memoryview, n: int) -> np.ndarray:
     return c
 
 
-def _dealt(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Where each bucket's entries begin, and the columns in the order of buckets. v: sorted."""
-    to = place(v, w, buckets, hot)
-    if len(hot):
+def _dealt(to: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each bucket's entries begin, and the columns in the order of buckets."""
+    if (to[1:] < to[:-1]).any():
         order = np.argsort(to, kind="stable")
         to, columns = to[order], [c[order] for c in columns]
     return np.searchsorted(to, np.arange(buckets + 1)), list(columns)
@@ -145,7 +144,7 @@ def _dealt(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray, *columns
 
 def _blocks(v: np.ndarray, w: np.ndarray, c: np.ndarray, buckets: int, hot: np.ndarray = NONE) -> pd.DataFrame:
     """Sorted distinct pairs as one blob a bucket: contexts, their numbers of words, words, counts."""
-    ends, (v, w, c) = _dealt(v, w, buckets, hot, v, w, c)
+    ends, (v, w, c) = _dealt(place(v, w, buckets, hot), buckets, v, w, c)
     out = []
     for b in np.flatnonzero(np.diff(ends)):
         s = slice(ends[b], ends[b + 1])
@@ -187,21 +186,35 @@ def _unsqueeze(blob: bytes, n: int) -> list[np.ndarray]:
 def _triple_blocks(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray = NONE) -> Iterator[tuple[int, bytes]]:
     """The triples of a sequence, distinct and counted, as one blob a bucket of the middle word (and the last, after frequent
     ones): the words, contexts (v, u) and words by number, sizes of contexts, counts."""
-    # each word of v is BEGIN or the one of w before
-    names, cw = np.unique(np.append(w, BEGIN), return_inverse=True)
+    yield from _triples(v == BEGIN, w, buckets, hot)
+
+
+def _triples(starts: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """_triple_blocks of words w, starts being where texts begin. Large arrays go as soon as they can."""
+    all_words = np.append(w, BEGIN)
+    order = np.argsort(all_words)
+    ordered = all_words[order]
+    del all_words
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    names = ordered[new]
+    del ordered
+    cw = np.empty(len(order), np.uint32)
+    cw[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    del order, new
     if len(names) >> NUMBER:
-        if half := int(np.searchsorted(np.flatnonzero(v == BEGIN), len(v) // 2)):
+        if half := int(np.searchsorted(np.flatnonzero(starts), len(w) // 2)):
             # texts stay whole: cut at the one that begins nearest after the middle
-            cut = np.append(np.flatnonzero(v == BEGIN), len(v))[half]
-            if 0 < cut < len(v):
-                yield from _triple_blocks(v[:cut], w[:cut], buckets, hot)
-                yield from _triple_blocks(v[cut:], w[cut:], buckets, hot)
+            cut = np.append(np.flatnonzero(starts), len(w))[half]
+            if 0 < cut < len(w):
+                yield from _triples(starts[:cut], w[:cut], buckets, hot)
+                yield from _triples(starts[cut:], w[cut:], buckets, hot)
                 return
-    cw = cw.astype(np.uint64)
-    first, cw = cw[-1], cw[:-1]
-    cv = np.where(v == BEGIN, first, np.concatenate([[first], cw[:-1]]).astype(np.uint64))
-    cu = np.where(cv == first, first, np.concatenate([[first], cv[:-1]]).astype(np.uint64))
-    shift, low = np.uint64(NUMBER), np.uint64((1 << NUMBER) - 1)
+    del w
+    first, cw = cw[-1:], cw[:-1]
+    # the word before is the one before in w, but where a text begins
+    cv = np.where(starts, first, np.concatenate([first, cw[:-1]]))
+    cu = np.where(starts, first, np.concatenate([first, cv[:-1]]))
     if len(names) >> NUMBER:  # one text of so many words: too wide for one number
         order = np.lexsort((cw, cu, cv))
         cv, cu, cw = cv[order], cu[order], cw[order]
@@ -209,11 +222,28 @@ def _triple_blocks(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray =
         c = np.diff(np.append(at, len(cv)))
         cv, cu, cw = cv[at], cu[at], cw[at]
     else:
-        key = cv << (shift + shift) | cu << shift | cw
-        del cv, cu, cw
-        key, c = np.unique(key, return_counts=True)
-        cv, cu, cw = key >> (shift + shift), key >> shift & low, key & low
-    ends, (cv, cu, cw, c) = _dealt(names[cv], names[cw], buckets, hot, cv, cu, cw, c)
+        shift, low = np.uint64(NUMBER), np.uint64((1 << NUMBER) - 1)
+        key = cv.astype(np.uint64)
+        for x in (cu, cw):
+            key <<= shift
+            key |= x
+        del cv, cu, cw, x
+        key.sort()
+        at = _runs(key)
+        c = np.diff(np.append(at, len(key)))
+        key = key[at]
+        del at
+        cw = (key & low).astype(np.uint32)
+        key >>= shift
+        cu = (key & low).astype(np.uint32)
+        key >>= shift
+        cv = key.astype(np.uint32)
+        del key
+    to = bucket_of(names, buckets)[cv]
+    if (often := among(names, hot)[cv]).any():
+        to[often] = bucket_of(pair_key(names[cv[often]], names[cw[often]]), buckets)
+    ends, (cv, cu, cw, c) = _dealt(to, buckets, cv, cu, cw, c)
+    del to, often
     for b in np.flatnonzero(np.diff(ends)):
         s = slice(ends[b], ends[b + 1])
         at = _runs(cv[s], cu[s])
@@ -321,7 +351,7 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
         held, n = [], 0
         for pdf in batches:
             for v, w, _ in sequences(list(pdf["text"])):
-                held.append((v, w))
+                held.append((v == BEGIN if degree == 3 else v, w))
                 n += len(v)
                 if n >= FLUSH:
                     yield flush(held)
@@ -329,11 +359,15 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
         if n:
             yield flush(held)
 
-    def flush(held):
-        v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+    def joined(held):
+        out = [np.concatenate(x) for x in zip(*held, strict=True)]
         held.clear()
+        return out
+
+    def flush(held):
         if degree == 3:
-            return pd.DataFrame(_triple_blocks(v, w, buckets, hot), columns=["bucket", "blob"])
+            return pd.DataFrame(_triples(*joined(held), buckets, hot), columns=["bucket", "blob"])
+        v, w = joined(held)
         order = np.lexsort((w, v))
         v, w = v[order], w[order]
         first = _runs(v, w)
