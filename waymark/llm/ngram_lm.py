@@ -67,6 +67,11 @@ def place(v: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray) -> np.nda
     return b
 
 
+def tables(buckets: int) -> int:
+    """How many files the sums for frequent words are dealt to: fewer, as each bucket of triples sends rows to each."""
+    return max(1, buckets // 16)
+
+
 def frequent(texts: DataFrame, size: int, buckets: int) -> np.ndarray:
     """The sorted hashes of the words that are a larger share of a sample's words than HOT_BUCKETS buckets hold."""
     share = max(HOT_BUCKETS / buckets, HOT_SHARE)
@@ -278,7 +283,7 @@ class Model:
         dtypes = {"pairs": ["u8", "u1"], "big": ["u8", "u8"], "contexts": ["u8", "u8", "u4", "u4", "u4"], "follows": ["u8", "u8"], "hot": ["u8", "u8", "u8", "u8", "u8", "u8"]}
         if triple_stats:
             dtypes |= {"triples": ["u8", "u1"], "big3": ["u8", "u8"], "contexts3": ["u8", "u1"], "rich3": dtypes["contexts"], "hot3": ["u8", "u8", "u8", "u8", "u8"], "words": ["u8", "u8"]}
-        self.index = {k: HashIndex(folders[k], buckets, d) for k, d in dtypes.items()}
+        self.index = {k: HashIndex(folders[k], tables(buckets) if k in ("hot", "hot3") else buckets, d) for k, d in dtypes.items()}
         self.hot = hot
         self.types, self.n, self.v, self.docs, *ones = stats
         self.d = discounts(ones)
@@ -386,7 +391,7 @@ def fit(texts: DataFrame, order: int = 2, pruned: bool = False) -> Model:
         """Rows of a table of sums for frequent words, to the buckets of their keys, whose numbers begin at first."""
         table = np.stack([c.astype("<u8") for c in columns])
         table = table[:, np.argsort(table[0])]
-        ends = np.searchsorted(bucket_of(table[0], buckets), np.arange(buckets + 1))
+        ends = np.searchsorted(bucket_of(table[0], tables(buckets)), np.arange(tables(buckets) + 1))
         return [(first + int(t), table[:, ends[t] : ends[t + 1]].tobytes()) for t in np.flatnonzero(np.diff(ends))]
 
     def add_up(blobs: pd.Series, width: int) -> list[np.ndarray]:
