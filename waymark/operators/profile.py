@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -23,7 +24,7 @@ def _number_text(c: Column) -> Column:
     def text(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if pd.isna(v) else str(float(v)))
 
-    return text(c)
+    return F.when(F.isnan(c), "nan").otherwise(text(c))
 
 
 def as_text(c: Column, kind: T.DataType) -> Column:
@@ -38,12 +39,17 @@ def as_text(c: Column, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
-def profile(df: DataFrame, table: str, max_distinct_rows: int = MAX_DISTINCT_ROWS, ids: list[str] | None = None) -> DataFrame:
+def sql_text(c: Column, kind: T.DataType) -> Column:
+    """A value as SQL's cast to text writes it: as as_text does, but without zeros that end a fraction of a second, and true or false."""
+    return c.cast("string") if isinstance(kind, (T.BooleanType, T.TimestampType, T.TimestampNTZType)) else as_text(c, kind)
+
+
+def profile(df: DataFrame, table: str, max_distinct_rows: int | None = MAX_DISTINCT_ROWS, ids: list[str] | None = None, text: Callable = as_text) -> DataFrame:
     """One row (SCHEMA) for each column of df.
 
     Counts, null counts and bounds are one aggregate over one scan. Distinct counts, exact and without
     nulls, are an aggregate of their own for each column, as all in one would multiply the rows by the columns.
-    Beyond max_distinct_rows distinct counts and bounds are null. Columns without an order (arrays, maps,
+    Beyond max_distinct_rows (None: no limit) distinct counts and bounds are null; text writes bounds. Columns without an order (arrays, maps,
     structs, binary, variants) have no bounds. An empty table has zero counts and null bounds.
     """
     fields = [f for f in df.schema if ids is None or f.name in ids]
@@ -55,16 +61,16 @@ def profile(df: DataFrame, table: str, max_distinct_rows: int = MAX_DISTINCT_ROW
             aggs += [F.min(name(f)).alias(f"a{i}"), F.max(name(f)).alias(f"b{i}")]
     # one row from here on, so that the texts of bounds and the gate cost nothing
     one = df.agg(*aggs)
-    within = F.col("rows") <= max_distinct_rows
+    within = F.lit(True) if max_distinct_rows is None else F.col("rows") <= max_distinct_rows
     cells = []
     for i, f in enumerate(fields):
         has = isinstance(f.dataType, _BOUNDED)
-        lo, hi = (as_text(F.col(f"{x}{i}"), f.dataType) if has else F.lit(None).cast("string") for x in "ab")
+        lo, hi = (text(F.col(f"{x}{i}"), f.dataType) if has else F.lit(None).cast("string") for x in "ab")
         cells.append(F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("col_ord"), F.col(f"n{i}").alias("null_count"), F.when(within, lo).alias("min_value"), F.when(within, hi).alias("max_value")))
     cheap = one.select("rows", F.explode(F.array(*cells)).alias("c")).select(F.col("rows").alias("row_count"), "c.*")
-    if df.count() <= max_distinct_rows:
+    if max_distinct_rows is None or df.count() <= max_distinct_rows:
         parts = [df.agg(F.count_distinct(name(f)).alias("distinct_count")).select(F.lit(i).alias("col_ord"), "distinct_count") for i, f in enumerate(fields)]
-        cheap = cheap.join(F.broadcast(reduce(DataFrame.union, parts)), "col_ord")  # a row for each column
+        cheap = cheap.join(reduce(DataFrame.union, parts), "col_ord")  # a row for each column; not broadcast, as that must end in spark.sql.broadcastTimeout
     else:
         cheap = cheap.withColumn("distinct_count", F.lit(None).cast("long"))
     ratio = F.when(F.col("row_count") == 0, 0.0).otherwise(F.col("null_count") / F.col("row_count"))
