@@ -190,6 +190,24 @@ def test_pairs_are_verified_in_one_cell():
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_copies_come_by_the_tree(spark):
+    """Copies whose fingerprints, of whole texts or of one sample, are a bit apart and nowhere equal; one pair is too far."""
+    rng = np.random.default_rng(10)
+    long = lambda: int(rng.integers(-(1 << 62), 1 << 62))
+    rows, texts = [], []
+    for node, fp_bits, sample_bits in ((0, 8, None), (2, 31, 64), (4, 31, 7)):  # in which bits two differ; None: in all by chance
+        fp, first = long(), long()
+        for at, (f, x) in enumerate(((fp, first), (fp ^ fp_bits, long() if sample_bits is None else first ^ sample_bits))):
+            rows.append((node + at, f, 116, [x] + [long() for _ in range(simhash.SAMPLES - 1)]))
+            texts.append((node + at, LONG.replace("w0 ", f"p{node} ")))
+    items = spark.createDataFrame(rows, "node long, fp long, size int, samples array<long>")
+    links = simhash.similar_links(common.materialize(items), spark.createDataFrame(texts, "node long, text string"), 5, 0.8)
+    assert sorted((min(r), max(r)) for r in links.collect()) == [(0, 1), (2, 3)]
+    e = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 5), (20, 21), (23, 24), (21, 23)], "a long, b long")
+    for links in (e, e.limit(0)):
+        assert sorted(map(tuple, simhash.few_components(links).collect())) == sorted(map(tuple, common.connected_components(links).collect()))
+
+
 def test_sets_are_held_in_parts(monkeypatch):
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 30, rng.integers(1, 40))) for _ in range(40)]

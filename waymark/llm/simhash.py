@@ -204,7 +204,7 @@ SPLIT_ROWS = 4096
 def _forest(f: np.ndarray, side: np.ndarray | None, radius: int) -> list:
     """Links (i, j) among f that make up a spanning forest; with side, of the links between side 0 and side 1 only."""
     joined, out = _Joined(len(f)), []
-    tree = VPTree(f[:: max(1, len(f) // SPLIT_ROWS)], max(1, len(f) // SPLIT_ROWS), radius, SPLIT_ROWS // 4) if len(f) > SPLIT_ROWS else None
+    tree = VPTree(f[:: max(1, len(f) // SPLIT_ROWS)], max(1, len(f) // SPLIT_ROWS), radius, SPLIT_ROWS // 16) if len(f) > SPLIT_ROWS else None
     for _, rows in tree.route(f) if tree else [(0, np.arange(len(f)))]:
         for i, j, dist in _near(f[rows], None if side is None else side[rows], radius):
             order = np.argsort(dist, kind="stable")
@@ -272,13 +272,17 @@ def hamming_links(items: DataFrame, radius: int, leaf_rows: int = 2048, block_ro
     def deal(batches):
         tree = bc.value
         for pdf in batches:
+            if not len(pdf):
+                continue
             x, node = pdf["fp"].to_numpy(), pdf["node"].to_numpy()
             spread = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            out = []
             for shard, rows in tree.route(x.view(np.uint64)):
                 k = max(1, int(np.ceil(tree.rows[shard] / block_rows)))
                 block = (spread[rows] % np.uint64(k)).astype(np.int32)
                 for t in range(k):
-                    yield pd.DataFrame({"shard": shard, "i": np.minimum(block, t).astype(np.int32), "j": np.maximum(block, t).astype(np.int32), "node": node[rows], "fp": x[rows], "block": block})
+                    out.append((np.full(len(rows), shard), np.minimum(block, t), np.maximum(block, t), node[rows], x[rows], block))
+            yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("shard", "i", "j", "node", "fp", "block"), zip(*out, strict=True), strict=True)})
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy()
@@ -290,7 +294,7 @@ def hamming_links(items: DataFrame, radius: int, leaf_rows: int = 2048, block_ro
     return dealt.groupBy("shard", "i", "j").applyInPandas(search, "a long, b long").distinct()
 
 
-#: rows in a block of a group, rows in a task's table of groups, shingles that a task holds at once, samples of the first round
+#: rows in a block of a group, rows in a task's table of groups, shingles that a task holds at once, fingerprints of the first round
 GROUP_ROWS, TASK_ROWS, HELD_SHINGLES, FIRST_SAMPLES = 1024, 8192, 1 << 20, 4
 #: fingerprints of two texts of similarity 0.8 differ in about 10 bits, in over this many in fewer than 1 of 1e7 pairs
 FAR = 26
@@ -367,7 +371,9 @@ def _verified(i: np.ndarray, j: np.ndarray, size: np.ndarray, load, similarity:
 
 
 def _search(cells: DataFrame, count: int, folder: str, similarity: float, once: bool) -> DataFrame:
-    """Edges (a, b) found in cells (sample, x, y, node, side, component, fp, size, file, start, and samples if once)."""
+    """Edges (a, b) found in cells (sample, x, y, node, side, component, fp, size, file, start, and if once samples and at: which
+    of these is the one in group sample). Samples are compared as they are, but for that one: a pair that has an earlier one
+    in common is left to that one's group, and one whose samples are only near each other is verified here."""
     tasks = max(1, -(-count // TASK_ROWS))
     names = ["node", "fp", "size", "side", "component", "file", "start", "sample"]
 
@@ -384,6 +390,7 @@ def _search(cells: DataFrame, count: int, folder: str, similarity: float, once:
             col["fp"] = col["fp"].view(np.uint64)
             if once:
                 col["samples"] = np.stack(part["samples"].to_numpy())
+                col["samples"][np.arange(len(part)), part["at"].to_numpy()] = col["sample"]
             i, j = _candidates(col, similarity, once)
             if len(i):  # a node's set is read once for all its rows here
                 used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
@@ -400,20 +407,51 @@ def _search(cells: DataFrame, count: int, folder: str, similarity: float, once:
     return dealt.groupBy("task").applyInPandas(search, "a long, b long").distinct()
 
 
-def similar_links(items: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+#: a shard of the driver's tree has one in so many fingerprints, or SHARD_ROWS if that is less; links up to which the driver joins them
+TREE_SHARE, SHARD_ROWS, DRIVER_LINKS = 64, 1 << 20, 1 << 16
+
+
+def few_components(links: DataFrame) -> DataFrame:
+    """connected_components of so few links that the driver holds them: without its rounds of jobs."""
+    nodes, ends = np.unique(np.array([tuple(r) for r in links.select("a", "b").collect()], np.int64), return_inverse=True)
+    joined, least = _Joined(len(nodes)), np.full(len(nodes), len(nodes))
+    for a, b in ends.reshape(-1, 2).tolist():
+        joined.join(a, b)
+    np.minimum.at(least, joined.label, np.arange(len(nodes)))
+    return links.sparkSession.createDataFrame(list(zip(nodes.tolist(), nodes[least[joined.label]].tolist(), strict=True)), "node long, component long")
+
+
+def fingerprint_groups(each: DataFrame, radius: int) -> DataFrame:
+    """each (node long, i int, sample long: a fingerprint) with group long and n, the rows in it; rows alone in a group are left out.
+
+    A group is what pairs of fingerprints within radius connect. Equal ones are one point of the vantage-point tree,
+    which finds the pairs of all others."""
+    points = materialize(each.groupBy("sample").agg(F.count(F.lit(1)).alias("n")))
+    leaf = min(SHARD_ROWS, max(2048, points.count() // TREE_SHARE))
+    links = materialize(hamming_links(points.select(F.col("sample").alias("node"), F.col("sample").alias("fp")), radius, leaf, 2 * SHARD_ROWS, TREE_SHARE << 8))
+    comp = (few_components if links.count() <= DRIVER_LINKS else connected_components)(links).select(F.col("node").alias("sample"), F.col("component").alias("group"))
+    linked = materialize(points.join(broadcast_if_small(comp), "sample"))
+    sums = linked.groupBy("group").agg(F.sum("n").alias("n"))
+    linked = materialize(linked.select("sample", "group").join(sums, "group").select("sample", "group", "n"))
+    alone = points.where("n > 1").join(broadcast_if_small(linked.select("sample")), "sample", "left_anti")
+    return each.join(alone.select("sample", F.col("sample").alias("group"), "n").union(linked), "sample")
+
+
+def similar_links(items: DataFrame, texts: DataFrame, k: int, similarity: float, radius: int = 1) -> DataFrame:
     """Edges (a, b) of nodes that connect what pairs of shingle sets of at least the similarity connect.
 
     items: node long, fp, size, samples of set_fingerprints, from a written table; texts: (node, text) of the same
-    nodes. Nodes with an equal sample fingerprint are a group. First, groups of FIRST_SAMPLES samples are cut into blocks, and pairs
+    nodes. The vantage-point tree is searched for all fingerprints, those of whole texts and of samples: nodes with
+    fingerprints within radius are a group (see fingerprint_groups). First, groups of the first FIRST_SAMPLES fingerprints (the whole
+    text's comes first) are cut into blocks, and pairs
     within a block verified: that joins most of what belongs together. Then pairs of nodes that are not joined yet are
     verified in the first of their groups: the group's largest component is cut into blocks, and so are its other
     nodes, and each block of these meets each other one. So a large group of near-copies costs its size, and only one of
     many texts that are unlike, but share a sample, the square of its size.
     """
-    items = items.where("size > 0")
+    items = items.where("size > 0").withColumn("samples", F.concat(F.array("fp"), "samples"))
     each = items.select("node", F.posexplode("samples").alias("i", "sample"))
-    groups = each.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(each.join(groups, "sample"))
+    shared = materialize(fingerprint_groups(each, radius).select(F.col("group").alias("sample"), "node", "i", "n"))
     ends = materialize(shared.select("node").distinct())
     folder = new_folder(items.sparkSession, "shingle-sets")
     places = materialize(write_sets(texts.join(broadcast_if_small(ends), "node", "left_semi"), k, folder))
@@ -430,7 +468,7 @@ def similar_links(items: DataFrame, texts: DataFrame, k: int, similarity: float)
     open_ = materialize(labelled.join(largest.select("sample", F.col("l.component").alias("main"), F.col("l.m").alias("m"), (F.col("all") - F.col("l.m")).alias("rest")), "sample"))
     main = open_.where("component = main")
     rest = open_.where("component <> main")
-    cell = lambda df, x, y, side: df.select("sample", "node", x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"), "component")
+    cell = lambda df, x, y, side: df.select("sample", "node", F.col("i").alias("at"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"), "component")
     upto = lambda n: F.explode(F.sequence(zero, blocks(n) - 1))
     a = cell(main.withColumn("t", upto("rest")), block("m"), F.col("t"), F.lit(1))
     b = cell(rest.withColumn("t", upto("m")), F.col("t"), block("rest"), F.lit(2))
@@ -458,13 +496,14 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str
     )
 
 
-def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 1) -> DataFrame:
     """docs without near-copies: of each group the row with the smallest doc_id stays (nulls last, of several one), all columns kept.
 
     A group is joined by links between texts whose sets of k-word shingles (lower case, 64-bit hashes) have a Jaccard
-    similarity of at least similarity. Candidates are texts with an equal sample fingerprint (see sample_fingerprints);
-    each is verified on the sets. Bits of whole-text fingerprints rule out the rest of unlike pairs only: at 0.8 they
-    differ so much that no bounds of a vantage-point tree prune.
+    similarity of at least similarity. Candidates are texts of which the vantage-point tree finds two fingerprints within radius: those
+    of whole texts, or those of one sample (see sample_fingerprints). Each is verified on the sets. At 0.8 whole texts'
+    fingerprints differ in some 10 bits, where no bounds prune; samples' are then equal, so that a small radius will do. Over
+    FAR bits between those of whole texts rule out most unlike pairs.
 
     Equal texts (128-bit hash) are one node. Null is empty; texts without words are linked to equal ones only; texts of
     fewer words than a shingle have one; very long texts have all their shingles; an empty table gives none.
@@ -479,7 +518,7 @@ def near_dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str
     items = materialize(items.withColumn("node", F.monotonically_increasing_id()))
     one = items.select(F.col("first.row").alias("_row"), "node")
     texts = slim.select("_row", F.col("_text").alias("text")).join(one, "_row").select("node", "text")
-    comp = connected_components(similar_links(items.select("node", "fp", "size", "samples"), texts, k, similarity))
+    comp = connected_components(similar_links(items.select("node", "fp", "size", "samples"), texts, k, similarity, radius))
     groups = materialize(items.select("node", "_key", "first").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
     kept = groups.groupBy("component").agg(F.min("first").alias("first")).select("component", F.col("first.row").alias("_keep"))
     keep = materialize(groups.join(kept, "component").select("_key", "_keep"))
