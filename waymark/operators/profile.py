@@ -39,9 +39,22 @@ def as_text(c: Column, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
+def _time_sql_text(c: Column, kind: T.DataType) -> Column:
+    s = c.cast("string")
+    year, day, time = (F.regexp_extract(s, r"^\+?(-?\d+)(-\d\d-\d\d)(.*)$", i) for i in (1, 2, 3))
+    n = year.cast("int")
+    text = F.concat(F.format_string("%04d", F.when(n > 0, n).otherwise(1 - n)), day, F.when(n > 0, "").otherwise(" (BC)"), time)
+    last, first = ("+5881580-07-11", "-5877641-06-24") if isinstance(kind, T.DateType) else ("+294247-01-10 04:00:54.775807", "-290308-12-21 19:59:05.224193")
+    return F.when(s == last, "infinity").when(s == first, "-infinity").otherwise(text)
+
+
 def sql_text(c: Column, kind: T.DataType) -> Column:
-    """A value as SQL's cast to text writes it: as as_text does, but without zeros that end a fraction of a second, and true or false."""
-    return c.cast("string") if isinstance(kind, (T.BooleanType, T.TimestampType, T.TimestampNTZType)) else as_text(c, kind)
+    """A value as DuckDB's cast to text writes it: as as_text does, but true or false, fractions of a second without zeros at their end, years
+    beyond 9999 without a sign and before 1 as BC, and the last and first values as infinity. Timestamps have no offset, as the declared ones
+    have no time zone: Spark doesn't tell columns with one from its own INT96, which DuckDB takes for timestamps without."""
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return _time_sql_text(c, kind)
+    return c.cast("string") if isinstance(kind, T.BooleanType) else as_text(c, kind)
 
 
 def profile(df: DataFrame, table: str, max_distinct_rows: int | None = MAX_DISTINCT_ROWS, ids: list[str] | None = None, text: Callable = as_text) -> DataFrame:
