@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -82,3 +86,49 @@ def test_stages_on_odd_and_empty_rows(spark, tmp_path):
         assert all(r.decoded_1 == (r.text or "") and r.n_tokens_1 * 4 == len(r.ids_1) and (r.ids, r.Decoded) == ("i", 1) for r in out.collect())
     near = pipeline.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/odd"), DATA)
     assert sorted((r.doc_id, r.text is None) for r in near.collect()) == [(1, True), (3, False), (4, False), (5, False), (6, False)]
+
+
+#: tokenizes 10,000 texts in one worker, one batch; prints the MB (shared pages in part) that the largest worker holds at most, and after it
+HELD = """
+import re, sys, threading
+from pathlib import Path
+from pyspark.sql import SparkSession, functions as F
+import corpus_pipeline, psutil
+
+def held():
+    mb = [0]
+    for p in psutil.Process().children(recursive=True):
+        try:
+            if "pyspark.daemon" in " ".join(p.cmdline()):
+                mb.append(sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", Path(f"/proc/{p.pid}/smaps_rollup").read_text()))) / 1024)
+        except (psutil.Error, OSError):
+            pass
+    return max(mb)
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+words = F.transform(F.sequence(F.lit(1), F.lit(500)), lambda x: F.conv(F.pmod(F.xxhash64("id", x), F.lit(3000)).cast("string"), 10, 26))
+docs = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+docs.write.parquet(sys.argv[1] + "/docs")
+docs = spark.read.parquet(sys.argv[1] + "/docs")
+most, over = [0.0], threading.Event()
+
+def watch():
+    while not over.wait(0.2):
+        most[0] = max(most[0], held())
+
+t = threading.Thread(target=watch)
+t.start()
+corpus_pipeline.tokenize(spark, docs, "").write.parquet(sys.argv[1] + "/out")
+over.set(), t.join()
+print("HELD", int(most[0]), int(held()), spark.read.parquet(sys.argv[1] + "/out").where("n_tokens > 500 and text = decoded").count())
+"""
+
+
+def test_workers_give_memory_back(tmp_path):
+    """A worker holds little more than the codec, and the texts and ids of a batch as Arrow columns, and keeps none of them."""
+    root = os.path.dirname(pipeline.__file__)
+    ran = subprocess.run([sys.executable, "-c", HELD, str(tmp_path)], cwd=root, env=os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}, capture_output=True, text=True, timeout=300)
+    most, after, rows = map(int, ran.stdout.rpartition("HELD ")[2].split())
+    assert rows == 10_000
+    assert most < 250
+    assert after < 170

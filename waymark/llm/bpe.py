@@ -25,17 +25,20 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, stable
+from .common import ROW, release, stable
 
 CHUNK, OVERLAP = 1 << 12, 1 << 8
 PART = 1 << 20
 #: pre-tokens remembered (twice as many at most), of at most so many characters
 REMEMBERED, SHORT = 30_000, 64
+#: values of an Arrow column that are Python objects at once
+AT_ONCE = 256
 
 
 class _Pieces(dict):
@@ -129,6 +132,16 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _each(values: pa.Array, f, kind: pa.DataType) -> pa.Array:
+    """f of each value, as an Arrow column of that kind: of a batch, only AT_ONCE values are Python objects at a time."""
+    release()  # what the batch before left
+    parts = [pa.array(map(f, values.slice(at, AT_ONCE).to_pylist()), kind) for at in range(0, len(values), AT_ONCE)]
+    out = pa.concat_arrays(parts) if parts else pa.array([], kind)
+    del parts
+    release()
+    return out
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with the first number that no column of df has."""
     taken = {c.lower() for c in df.columns}
@@ -184,9 +197,10 @@ def _long_ids(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: in
 def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, part: int = PART) -> DataFrame:
     """docs' columns plus ids (binary, little-endian unsigned 32-bit) of the text column."""
 
-    @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([codec(path, pattern).encode(t, chunk, overlap) for t in texts], dtype=object)
+    @F.arrow_udf("binary")
+    def encode(texts: pa.Array) -> pa.Array:
+        c = codec(path, pattern)
+        return _each(texts, lambda t: c.encode(t, chunk, overlap), pa.binary())
 
     docs, name = stable(docs), free_name(docs, name)
     text = F.col(f"`{text_col}`")
@@ -203,9 +217,10 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids_col: str =
     """encoded's columns plus decoded (binary): the joined bytes of ids; null ids decode to nothing.
     An id outside the ranks raises IndexError."""
 
-    @F.pandas_udf("binary")
-    def decode(ids: pd.Series) -> pd.Series:
-        return pd.Series([codec(path, pattern).decode(x or b"") for x in ids], dtype=object)
+    @F.arrow_udf("binary")
+    def decode(ids: pa.Array) -> pa.Array:
+        c = codec(path, pattern)
+        return _each(ids, lambda x: c.decode(x or b""), pa.binary())
 
     return encoded.withColumn(free_name(encoded, name), decode(F.col(f"`{ids_col}`")))
 
@@ -213,11 +228,13 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids_col: str =
 def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, part: int = PART) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row: encoded, then decoded from the ids."""
 
-    @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
-    def digest(ids: pd.Series) -> pd.DataFrame:
+    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    def digest(ids: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(c.decode(x)).hexdigest()) for x in ids]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        row = lambda x: {"n_tokens": len(x) // 4, "ids_sha256": hashlib.sha256(x).hexdigest(), "decoded_sha256": hashlib.sha256(c.decode(x)).hexdigest()}
+        return _each(ids, row, kind)
 
     coded = encode_documents(docs.select("doc_id", "text"), path, pattern, chunk=chunk, overlap=overlap, part=part)
     return coded.select("doc_id", digest("ids").alias("r")).select("doc_id", "r.*")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,20 @@ def put_file(uri: str, name: str, parts: list[bytes]) -> None:
     fs.move(draft, f"{path}/{name}")
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # not glibc
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that is free back to the system. Workers live on between tasks and stages, and malloc and Arrow keep what a
+    batch of texts took; called where a batch ends."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def _checksum(df: DataFrame) -> tuple:
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, broadcast_if_small, connected_components, materialize, new_folder, open_folder, put_file, quoted, stable, words
+from .common import ROW, broadcast_if_small, connected_components, materialize, new_folder, open_folder, put_file, quoted, release, stable, words
 
 SEED = 42
 CHUNK = 1 << 16
@@ -107,11 +107,13 @@ def set_fingerprints(docs: DataFrame, k: int, text_col: str, keep: list[str]) ->
 
     @F.pandas_udf("struct<fp:long,size:int,samples:array<long>>")
     def vote(texts: pd.Series) -> pd.DataFrame:
+        release()
         fp, size, samples = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int32), []
         for i, t in enumerate(texts):  # one set at a time is held
             h = shingle_set(t, k)
             fp[i], size[i] = _signed(_majority([h])), len(h)
             samples.append(sample_fingerprints(h) if len(h) else None)
+        release()
         return pd.DataFrame({"fp": fp, "size": size, "samples": pd.Series(samples, dtype=object)})
 
     return docs.select(*keep, vote(F.col(text_col)).alias("_v")).select(*keep, "_v.*")
@@ -234,6 +236,8 @@ def write_sets(texts: DataFrame, k: int, uri: str) -> DataFrame:
                     nodes, starts, sets, n = [], [], [], 0
             if nodes:
                 yield put(nodes, starts, sets)
+            del nodes, starts, sets
+            release()
 
     return texts.select("node", "text").mapInPandas(write, "node long, file long, start long")
 
@@ -400,6 +404,7 @@ def _search(cells: DataFrame, count: int, folder: str, similarity: float, once:
                 found = _verified(which[back[: len(i)]], which[back[len(i) :]], size.astype(np.int64), load, similarity)
                 out += [(int(nodes[a]), int(nodes[b])) for a, b in found]
             at = to
+        release()
         a, b = np.array(out, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": a, "b": b})
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, new_folder, open_folder, put_file, quoted, stable, words
+from .common import ROW, new_folder, open_folder, put_file, quoted, release, stable, words
 from .hashindex import HELD_BYTES, HashIndex, bucket_of, pack, unpack, write_bucket
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -423,9 +423,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", le
 
     @F.pandas_udf("string")
     def left(numbers: pd.Series, texts: pd.Series) -> pd.Series:
+        release()
         whole = list(texts)
         marks = (m for _, m in _marks(whole, numbers.to_numpy(), window, index))
-        return pd.Series([t if t is None or not m.any() else cut(t, m) for t, m in zip(whole, marks, strict=True)], dtype=object)
+        out = pd.Series([t if t is None or not m.any() else cut(t, m) for t, m in zip(whole, marks, strict=True)], dtype=object)
+        release()
+        return out
 
     new = docs.withColumn(ROW, number).withColumn(ROW, left(F.col(ROW), F.col(text_col)))  # the cut text, until it takes the text's place
     if length_col:
